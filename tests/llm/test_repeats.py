@@ -52,6 +52,8 @@ def corpus(seed, n=120):
         rows.append((10 + i, r.choice([" ", "\n", "  "]).join(t)))
         if r.random() < 0.1:
             rows.append((1000 + i, rows[-1][1]))
+    rows.append((3000, "por " * 30 + "osos " * 40 + "a b c a b c a b c a b c a b c a b c a b c a b c"))
+    rows.append((3001, "xyz " * 9))
     return rows
 
 

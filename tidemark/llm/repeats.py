@@ -149,23 +149,25 @@ def _deal(w: Windows, label: Callable, n_buckets: int) -> Callable[[Iterator[pa.
                 continue
             ok = _valid(first, last, w.length, total)
             grams = X.window_hash(_values(w, data, starts, ends, 0), w.gram)
-            least = X.sliding_min(grams, w.length - w.gram + 1)[:total]
             win = np.flatnonzero(ok)
             if not len(win):
                 continue
+            # low bits of the sort key hold the place, so that a text that repeats itself makes a run for each occurrence
+            low = np.uint64((1 << len(grams).bit_length()) - 1)
+            place = X.sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w.length - w.gram + 1)[win] & low
+            least = grams[place.astype(np.int64)]
             doc = np.searchsorted(first, win, side="right") - 1
-            least = least[win]
 
-            def cut(mark: np.ndarray, win=win, doc=doc, least=least) -> np.ndarray:
+            def cut(mark: np.ndarray, win=win, place=place) -> np.ndarray:
                 new = np.ones(len(win), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | (mark[1:] != mark[:-1]) | (win[1:] != win[:-1] + 1)
+                new[1:] = (place[1:] != place[:-1]) | (mark[1:] != mark[:-1]) | (win[1:] != win[:-1] + 1)
                 return np.flatnonzero(new)
 
             mark = np.zeros(len(win), np.int8)  # 1: repeated in this block, and the one that is sent; 2: not sent
             a = cut(mark)
             n = np.diff(np.concatenate((a, [len(win)])))
             _, inverse, times = np.unique(least[a], return_inverse=True, return_counts=True)
-            shared = (times[inverse] > 1) | (n > w.length - w.gram + 1)
+            shared = times[inverse] > 1
             if shared.any():
                 some = _explode(a[shared], n[shared])
                 group = label(w, data, starts, ends, win[some])
