@@ -46,9 +46,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it whole; of a document that is taken in part, its first words follow."""
-    mixed = mixing.mix_sources(docs).groupBy("doc_id", "text_key").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).dropDuplicates(["doc_id", "text_key"])
-    d = keyed.join(mixed, X.same_row(keyed, mixed)).select(*(keyed[c] for c in COLUMNS), mixed["size"], mixed["taken"])
+    mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("k"), F.col("source").alias("s")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
+    # rows that repeat doc_id, text and source are taken together
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).dropDuplicates(["doc_id", "text_key", "source"])
+    d = keyed.join(mixed, same).select(*COLUMNS, "size", "taken")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = F.col("taken") - whole * F.col("size")
     copies = F.array_repeat(F.col("size"), whole)

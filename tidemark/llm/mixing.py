@@ -48,7 +48,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_key, size, source_size, target, taken) for each row of documents (doc_id, text, source).
+    """(doc_id, text_key, source, row, size, source_size, target, taken) for each row of documents (doc_id, text, source).
 
     Each source is taken whole as often as its target allows; of the rest, documents come in the order of exponential keys
     -ln(u) / quality, u a hash of the document and the seed, up to the target: of the last one only the words that are
@@ -83,4 +83,4 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     within = W.partitionBy("source", "bin").orderBy("key", "doc_id", "text_key", "row").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return d.select("doc_id", "text_key", "row", "size", "source_size", "target", (F.col("times") * F.col("size") + part).alias("taken"))
+    return d.select("doc_id", "text_key", "source", "row", "size", "source_size", "target", (F.col("times") * F.col("size") + part).alias("taken"))

@@ -30,6 +30,17 @@ class Similarity:
         """The most elements that only one of two linked sets holds, if neither has more than larger elements."""
         return 2 * larger * (self.den - self.num) // (self.den + self.num)
 
+    def parts(self, band: int) -> int:
+        """Groups of a band: so many that also its smallest sets mostly fill more of them than can differ."""
+        apart = int(self.most_apart(tops(np.array(band))))
+        if not apart:
+            return 1
+        least = max(1.0, BAND**band * self.num / self.den)
+        p = apart + 2
+        while p < 4 * least and p * (1 - np.exp(-least / p)) - 2 * np.sqrt(p * np.exp(-least / p)) < apart + 1:
+            p += 1 + p // 50
+        return p
+
     def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The least overlap with which sets of a and b elements link."""
         return -(-(a + b) * self.num // (self.den + self.num))
@@ -76,6 +87,11 @@ def count_vectors(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
 
 
+def tops(band: np.ndarray) -> np.ndarray:
+    """A size that no set of the band exceeds."""
+    return np.floor(BAND ** (band + 1.0) + 1).astype(np.int64)
+
+
 def bands(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
 
@@ -93,9 +109,8 @@ def signatures(sim: Similarity, v: np.ndarray, first: np.ndarray) -> tuple[np.nd
     for up in (0, 1):
         band = own + up
         use = (size > 0) & (bands(size * sim.den // sim.num) > own) if up else size > 0
-        top = np.maximum(np.floor(BAND ** (band + 1.0) + 1).astype(np.int64), size)
-        apart = sim.most_apart(top)
-        parts = np.where(apart > 0, apart + 3 + apart // 20, 1)
+        apart = sim.most_apart(tops(band))
+        parts = np.array([sim.parts(b) for b in np.unique(band)], np.int64)[np.unique(band, return_inverse=True)[1]]
         deal = 0
         while use.any():
             docs = np.flatnonzero(use)
