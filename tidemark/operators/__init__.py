@@ -1,0 +1 @@
+"""operators of the log, snapshot and metrics engine."""

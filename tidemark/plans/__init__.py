@@ -1,0 +1 @@
+"""plans of the log, snapshot and metrics engine."""

@@ -1,0 +1 @@
+"""sources of the log, snapshot and metrics engine."""

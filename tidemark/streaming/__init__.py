@@ -1,0 +1 @@
+"""streaming of the log, snapshot and metrics engine."""
