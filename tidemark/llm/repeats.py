@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import textops as X
 
 BUCKET_BYTES = 12 << 20
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 36 << 20
+#: Text of a block where tokens are words, and where they are bytes: a token takes some hundred bytes of working memory.
+BLOCK_WORDS, BLOCK_BYTES = 3 << 20, 1 << 20
 SHUFFLED = "bucket long, kind int, doc_id long, text_key long, h1 long, h2 long, start int, stop int, dup boolean, blob binary"
 SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("dup", pa.bool_()), ("blob", pa.binary())])
 BLOB, SPAN, LOOSE = 0, 1, 2
@@ -96,12 +98,15 @@ def _by_radix(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
         if not len(at):
             break
         d = digits[pos[at] + depth] & keep
+        unlike = np.flatnonzero(d[1:] != d[:-1])
+        unlike = unlike[group[unlike + 1] == group[unlike]]
+        if not len(unlike):  # every group agrees in this digit
+            continue
         odd = np.zeros(int(group[-1]) + 1, bool)
-        odd[group[1:][(d[1:] != d[:-1]) & (group[1:] == group[:-1])]] = True
-        if odd.any():
-            sub = np.flatnonzero(odd[group])
-            order = sub[np.lexsort((d[sub], group[sub]))]
-            at[sub], d[sub] = at[order], d[order]
+        odd[group[unlike]] = True
+        sub = np.flatnonzero(odd[group])
+        order = sub[np.lexsort((d[sub], group[sub]))]
+        at[sub], d[sub] = at[order], d[order]
         new = np.ones(len(at), bool)
         new[1:] = (group[1:] != group[:-1]) | (d[1:] != d[:-1])
         group = np.cumsum(new) - 1
@@ -138,8 +143,8 @@ def _spans_of(hit: np.ndarray, run: np.ndarray, start: np.ndarray) -> tuple[np.n
 
 def _deal(w: Windows, label: Callable, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for t in X.blocks(batches, "text"):
+        pack = zstandard.ZstdCompressor(level=5)
+        for t in X.blocks(batches, "text", BLOCK_WORDS if w.by_words else BLOCK_BYTES):
             ids, keys = t["doc_id"].fill_null(0).to_numpy(), t["text_key"].to_numpy()
             null_id = t["doc_id"].is_null().to_numpy()
             data, off = X.texts(t["text"])
@@ -191,7 +196,7 @@ def _deal(w: Windows, label: Callable, n_buckets: int) -> Callable[[Iterator[pa.
             rows: list[tuple[int, bytes]] = []
             for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):
                 d = doc[a[i:j]]
-                head = [ids[d].astype(np.int64), null_id[d].astype(np.int8), keys[d].astype(np.int64), least[a[i:j]], (win[a[i:j]] - first[d]).astype(np.int32), n[i:j].astype(np.int32), (be - bs)[i:j].astype(np.int32), mark[a[i:j]].astype(np.int8)]
+                head = [ids[d].astype(np.int64), null_id[d].astype(np.int8), keys[d].astype(np.int32), (least[a[i:j]] >> np.uint64(32)).astype(np.uint32), (win[a[i:j]] - first[d]).astype(np.int32), n[i:j].astype(np.int32), (be - bs)[i:j].astype(np.int32), mark[a[i:j]].astype(np.int8)]
                 body = b"".join(x.tobytes() for x in head) + X.gather(data, bs[i:j], be[i:j], gap=1).tobytes()
                 rows.append((int(bucket[i]), struct.pack("<qq", j - i, len(body)) + pack.compress(body)))
             if rows:
@@ -208,7 +213,7 @@ def _runs(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         n, size = struct.unpack_from("<qq", b)
         raw = np.frombuffer(unpack.decompress(b[16:], max_output_size=size), np.uint8)
         at, head = 0, []
-        for kind in (np.int64, np.int8, np.int64, np.uint64, np.int32, np.int32, np.int32, np.int8):
+        for kind in (np.int64, np.int8, np.int32, np.uint32, np.int32, np.int32, np.int32, np.int8):
             width = np.dtype(kind).itemsize * n
             head.append(np.frombuffer(raw[at : at + width].tobytes(), kind))
             at += width
@@ -278,9 +283,14 @@ def _meet(w: Windows, label: Callable, chunk: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
+def _short_keyed(documents: DataFrame) -> DataFrame:
+    """keyed(), with keys of 31 bits: they only tell rows with one doc_id apart, and they travel with every run."""
+    return X.keyed(documents).withColumn("text_key", F.col("text_key").bitwiseAND(F.lit((1 << 31) - 1)))
+
+
 def repeated_spans(documents: DataFrame, w: Windows, label: Callable, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, text_key, spans): tokens [start, stop) of each text that lie in windows that start anywhere else too."""
-    docs = X.keyed(documents)
+    docs = _short_keyed(documents)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, round(3.2 * total / bucket_bytes))
     parts = min(n_buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16))
@@ -319,7 +329,7 @@ def _cleaned(w: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def without_repeats(documents: DataFrame, w: Windows, label: Callable, keep_text: bool = True, **sizes: int) -> DataFrame:
-    docs, found = X.keyed(documents), repeated_spans(documents, w, label, **sizes)
+    docs, found = _short_keyed(documents), repeated_spans(documents, w, label, **sizes)
     joined = docs.join(found, X.same_row(docs, found), "left").select(docs["doc_id"], docs["text"], found["spans"])
     out = joined.mapInArrow(_cleaned(w), "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
