@@ -25,7 +25,8 @@ from tidemark.llm import textops as X
 MAGIC = b"TDAC1\0\0\0"
 STEP = 512
 SHARD_TOKENS = 1 << 19
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 3 << 18
+BLOCK_BYTES = 2 << 20
 END = 2
 
 
@@ -96,6 +97,9 @@ class Vocabulary:
     """Ids of words, each distinct word encoded by the library once; forgets all after KNOWN_WORDS words."""
 
     def __init__(self, file: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -112,7 +116,8 @@ class Vocabulary:
         return np.where((self.h1[i] == h1) & (self.h2[i] == h2), i, -1)
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        plain = [k for k, w in enumerate(words) if w.isascii() and w.isalpha()]
+        letters = [w.lower().isalpha() for w in words]
+        plain = [k for k, yes in enumerate(letters) if yes]
         out: list[list[int]] = [[]] * len(words)
         for i in range(0, len(plain), 2000):  # letters alone are one piece each, so many can share a call
             part = plain[i : i + 2000]
@@ -122,9 +127,9 @@ class Vocabulary:
             ids = e.ids
             for k, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 out[k] = ids[a:b]
-        rest = [k for k, w in enumerate(words) if not (w.isascii() and w.isalpha())]
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
+        rest = [k for k, yes in enumerate(letters) if not yes]
+        for i in range(0, len(rest), 2000):
+            part = rest[i : i + 2000]
             for k, e in zip(part, self.tokenizer.encode_batch([words[k] for k in part], add_special_tokens=False), strict=True):
                 out[k] = e.ids
         return out
@@ -159,13 +164,33 @@ class Vocabulary:
         return pool[np.arange(int(size.sum())) + np.repeat(at - before, size)], size
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!?;:")] = True
+
+
+def cut_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a stop after an ASCII letter or digit as two: the tokenizer always parts them, and fewer words are distinct."""
+    if not len(starts):
+        return starts, ends, first
+    cut = (ends - starts > 1) & _STOP[data[ends - 1]] & _ALNUM[data[np.maximum(ends - 2, 0)]]
+    before = np.concatenate(([0], np.cumsum(cut)))
+    at = np.flatnonzero(cut)
+    new_starts = np.insert(starts, at + 1, ends[at] - 1)
+    new_ends = np.insert(ends, at, ends[at] - 1)
+    return new_starts, new_ends, first + before[first]
+
+
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
 def encode_block(vocabulary: Vocabulary, column: pa.ChunkedArray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, each followed by end, and how many each text has."""
     data, off = X.texts(column)
-    starts, ends, first = X.words(data, off)
+    if b"<|" not in data.tobytes():  # lower case is the tokenizer's first step for all but its special tokens
+        data = X.LOWER[data]
+    starts, ends, first = cut_stops(data, *X.words(data, off))
     ids, size = vocabulary.ids(data, starts, ends)
     edge = np.concatenate(([0], np.cumsum(size)))[first]
     return np.insert(ids, edge[1:], end), np.diff(edge) + 1
@@ -184,7 +209,7 @@ def _pack(file: str, end: int, shard_tokens: int) -> Callable[[Iterator[pa.Recor
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "start", "doc_ids", "sizes", "codes"])
 
-        for t in X.blocks(batches, "text"):
+        for t in X.blocks(batches, "text", BLOCK_BYTES):
             i, n = encode_block(vocabulary, t["text"], end)
             docs.append(t["doc_id"].combine_chunks())
             sizes.append(n)
@@ -206,7 +231,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int = END
     """
     docs = documents.select("doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = docs.mapInArrow(_pack(tokenizer, end, shard_tokens), "part int, seq int, start long, doc_ids array<bigint>, sizes array<bigint>, codes binary")
     shards.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
