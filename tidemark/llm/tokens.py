@@ -25,7 +25,7 @@ from tidemark.llm import textops as X
 MAGIC = b"TDAC1\0\0\0"
 STEP = 512
 SHARD_TOKENS = 1 << 19
-KNOWN_WORDS = 3 << 18
+KNOWN_WORDS = 5 << 18
 BLOCK_BYTES = 2 << 20
 END = 2
 
