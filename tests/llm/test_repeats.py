@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 from tidemark.llm import repeats as R
 
@@ -76,3 +79,29 @@ def test_bytes(spark, seed, length, sizes):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert R.substring_dedup(df).collect() == [] == R.suffix_dedup(df).collect()
+
+
+@pytest.mark.parametrize("length", [160, 400])
+def test_coded_digits_group_as_bytes_do(length, monkeypatch):
+    rng = np.random.default_rng(length)
+    base = rng.integers(97, 99, 2500).astype(np.uint8)
+    data = np.concatenate([base[a : a + 900] for a in rng.integers(0, 1600, 12)] + [np.full(1000, 97, np.uint8)])
+    pos = np.arange(len(data) - length + 1)
+    w = repeats.Windows(length, 48, False)
+    windows = [data[i : i + length].tobytes() for i in pos]
+    times = Counter(windows)
+
+    def sets_of(group):
+        out = defaultdict(set)
+        for i, g in enumerate(group.tolist()):
+            if g >= 0:
+                out[g].add(windows[i])
+        assert all(len(s) == 1 for s in out.values())
+        assert len(out) == len({w for s in out.values() for w in s})
+        return {i for i, g in enumerate(group.tolist()) if g >= 0}
+
+    want = {i for i, x in enumerate(windows) if times[x] > 1}
+    assert sets_of(repeats._by_radix(w, data, pos, pos + 1, pos)) == want
+    # codes that tell nothing apart are found out, and the bytes decide
+    monkeypatch.setattr(repeats, "_codes", lambda data: np.zeros(len(data), np.uint64))
+    assert sets_of(repeats._by_radix(w, data, pos, pos + 1, pos)) == want

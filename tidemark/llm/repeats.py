@@ -8,7 +8,7 @@ share reaches its bucket once a block. A bucket that still outgrows CHUNK_BYTES
 decide alone goes on as (hash, place) rows, which Spark groups by hash.
 
 The two operators differ in how they find equal windows: `substring` sorts the windows of a bucket by hash (two hashes of
-64 bits), `suffix` orders suffixes by most-significant-digit radix passes of eight bytes and drops a suffix once it is alone.
+64 bits), `suffix` orders suffixes by most-significant-digit radix passes and drops a suffix once it is alone.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BLOCK_WORDS, BLOCK_BYTES = 3 << 20, 1 << 20
 SHUFFLED = "bucket long, kind int, doc_id long, text_key long, h1 long, h2 long, start int, stop int, dup boolean, blob binary"
 SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("dup", pa.bool_()), ("blob", pa.binary())])
 BLOB, SPAN, LOOSE = 0, 1, 2
+#: Bytes of a radix digit where windows are long.
+CODED = 80
 
 
 @dataclass(frozen=True)
@@ -84,41 +86,94 @@ def _by_hash(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return out
 
 
-def _by_radix(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """As _by_hash, but by depth-limited radix sort: one pass for each digit of eight bytes, down to the window's length.
+def _codes(data: np.ndarray, step: int = 2 << 20) -> np.ndarray:
+    """The code of the CODED bytes from each byte on, made in pieces so that the working memory stays small."""
+    out = np.zeros(max(0, len(data) - CODED + 1), np.uint64)
+    for i in range(0, len(out), step):
+        out[i : i + step] = X.window_hash(X.TABLES[0][data[i : i + step + CODED - 1]], CODED)
+    return out
+
 
-    A group whose suffixes agree in a digit needs no sorting in that pass; a suffix that is alone in its group leaves.
+def _radix_passes(digit: Callable[[np.ndarray], np.ndarray], depths: list[int], pos: np.ndarray) -> np.ndarray:
+    """Most-significant-digit passes: groups of suffixes that agree in all digits, -1 for a suffix that is alone in its group.
+
+    A group whose suffixes agree in a digit needs no sorting in that pass; a suffix that is alone leaves.
     """
-    digits = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        digits[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
-    keep = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(8 * max(0, 8 - w.length))
-    at, group = np.arange(len(pos)), np.zeros(len(pos), np.int64)
-    for depth in [*range(0, w.length - 8, 8), max(0, w.length - 8)]:
+    at, group = np.arange(len(pos), dtype=np.int32), np.zeros(len(pos), np.int32)
+    for depth in depths:
         if not len(at):
             break
-        d = digits[pos[at] + depth] & keep
+        d = digit(pos[at] + depth)
         unlike = np.flatnonzero(d[1:] != d[:-1])
         unlike = unlike[group[unlike + 1] == group[unlike]]
         if not len(unlike):  # every group agrees in this digit
             continue
-        odd = np.zeros(int(group[-1]) + 1, bool)
-        odd[group[unlike]] = True
-        sub = np.flatnonzero(odd[group])
-        order = sub[np.lexsort((d[sub], group[sub]))]
-        at[sub], d[sub] = at[order], d[order]
+        if not group[-1]:  # one group
+            order = np.argsort(d)
+            at, d = at[order], d[order]
+        else:
+            odd = np.zeros(int(group[-1]) + 1, bool)
+            odd[group[unlike]] = True
+            sub = np.flatnonzero(odd[group])
+            order = sub[np.lexsort((d[sub], group[sub]))]
+            at[sub], d[sub] = at[order], d[order]
         new = np.ones(len(at), bool)
         new[1:] = (group[1:] != group[:-1]) | (d[1:] != d[:-1])
-        group = np.cumsum(new) - 1
-        more = np.bincount(group)[group] > 1
-        at, group = at[more], group[more]
-        if len(group):
-            group = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
+        more = ~(new & np.append(new[1:], True))  # not alone
+        at, group = at[more], np.cumsum(new[more], dtype=np.int32) - np.int32(1)
     out = np.full(len(pos), -1, np.int64)
     out[at] = group
     return out
 
 
+def _agree(data: np.ndarray, pos: np.ndarray, group: np.ndarray, length: int) -> bool:
+    """Does every window of a group equal the group's first byte by byte? Neighbours with one distance to it are read together."""
+    i = np.flatnonzero(group >= 0)
+    order = i[np.lexsort((pos[i], group[i]))]
+    lead = np.flatnonzero(np.diff(group[order], prepend=-1))
+    p, back = pos[order], np.repeat(pos[order[lead]], np.diff(np.append(lead, len(order))))
+    far = p != back
+    p, back = p[far], back[far]
+    order = np.argsort(p, kind="stable")
+    p, back = p[order], back[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1] + 1) | (back[1:] != back[:-1] + 1)
+    a = np.flatnonzero(new)
+    n = np.diff(np.append(a, len(p))) + length - 1
+    for lo, hi in _pieces(n, 1 << 21):
+        i, j = _explode(p[a[lo:hi]], n[lo:hi]), _explode(back[a[lo:hi]], n[lo:hi])
+        if (data[i] != data[j]).any():
+            return False
+    return True
+
+
+def _pieces(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    ends, i = np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield i, j
+        i = j
+
+
+def _by_radix(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """As _by_hash, but by depth-limited radix sort: one pass for each digit, down to the window's length.
+
+    A digit is the code (a hash) of CODED bytes, so a window of 400 takes five passes; the groups are then held against the
+    bytes themselves. Should two unlike digits share a code, the passes are run again with the bytes as digits, eight each.
+    """
+    if w.length >= 2 * CODED:
+        codes = _codes(data)
+        out = _radix_passes(lambda at: codes[at], [*range(0, w.length - CODED, CODED), w.length - CODED], pos)
+        del codes
+        if _agree(data, pos, out, w.length):
+            return out
+    digits = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        digits[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    keep = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(8 * max(0, 8 - w.length))
+    return _radix_passes(lambda at: digits[at] & keep, [*range(0, w.length - 8, 8), max(0, w.length - 8)], pos)
+
+
 def _explode(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[i], first[i] + 1, ... count[i] numbers, for each i."""
     before = np.cumsum(count) - count
