@@ -1,8 +1,6 @@
 import hashlib
 import random
 import re
-from collections import Counter
-
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,7 +85,7 @@ def test_coded_digits_group_as_bytes_do(length, monkeypatch):
     base = rng.integers(97, 99, 2500).astype(np.uint8)
     data = np.concatenate([base[a : a + 900] for a in rng.integers(0, 1600, 12)] + [np.full(1000, 97, np.uint8)])
     pos = np.arange(len(data) - length + 1)
-    w = repeats.Windows(length, 48, False)
+    w = R.Windows(length, 48, False)
     windows = [data[i : i + length].tobytes() for i in pos]
     times = Counter(windows)
 
@@ -101,7 +99,7 @@ def test_coded_digits_group_as_bytes_do(length, monkeypatch):
         return {i for i, g in enumerate(group.tolist()) if g >= 0}
 
     want = {i for i, x in enumerate(windows) if times[x] > 1}
-    assert sets_of(repeats._by_radix(w, data, pos, pos + 1, pos)) == want
+    assert sets_of(R._by_radix(w, data, pos, pos + 1, pos)) == want
     # codes that tell nothing apart are found out, and the bytes decide
-    monkeypatch.setattr(repeats, "_codes", lambda data: np.zeros(len(data), np.uint64))
-    assert sets_of(repeats._by_radix(w, data, pos, pos + 1, pos)) == want
+    monkeypatch.setattr(R, "_codes", lambda data: np.zeros(len(data), np.uint64))
+    assert sets_of(R._by_radix(w, data, pos, pos + 1, pos)) == want
