@@ -265,29 +265,29 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     """
     docs = X.keyed(documents)
     spark = docs.sparkSession
-    nodes = X.kept(docs.mapInArrow(_nodes(sim), "doc_id long, text_key long, n_shingles long, node long"))
+    nodes = X.written(docs.mapInArrow(_nodes(sim), "doc_id long, text_key long, n_shingles long, node long"))
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(1, round(total * 2.2 * (sim.den - sim.num) / (sim.den + sim.num) / bucket_rows))
     parts = min(n_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16))
     signed = docs.mapInArrow(_sign(sim, n_buckets), "bucket long, blob binary")
-    met = X.kept(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "sig long, node long"))
+    met = X.written(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "sig long, node long"))
     met = met.distinct()
     count = met.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / meeting).cast("long"))
-    met = X.kept(met.join(count, "sig").select("sig", "node", "blocks"))
+    met = X.written(met.join(count, "sig").select("sig", "node", "blocks"))
     # one document stands for each node that meets another
     stands = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("node", "d.doc_id", "d.text_key")
     stands = stands.join(met.select("node").distinct(), "node", "left_semi")
     texts = docs.join(stands, X.same_row(docs, stands)).select(stands["node"], docs["text"]).dropDuplicates(["node"])
-    points = X.kept(texts.mapInArrow(_points_and_sets(sim), "node long, size long, vec binary, shingles array<bigint>"))
+    points = X.written(texts.mapInArrow(_points_and_sets(sim), "node long, size long, vec binary, shingles array<bigint>"))
     vectors = points.select("node", "size", "vec")
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = met.withColumn("block", own).join(vectors, "node").select("sig", "node", "block", "size", "vec")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = dealt.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(_first_pass(sim), "a long, b long").distinct()
-    first = X.kept(first)
+    first = X.written(first)
     pairs = first.filter("b IS NOT NULL")
-    links = X.kept(_verified(sim, pairs, points.select("node", "shingles")))
+    links = X.written(_verified(sim, pairs, points.select("node", "shingles")))
     labels = components(links)
 
     # nodes with a surviving pair, and all nodes of meetings that were only compared within their blocks
@@ -300,8 +300,8 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     rows = rows.withColumn("own", own).withColumn("k", k).withColumn("block", F.least("own", "k") * F.col("blocks") + F.greatest("own", "k"))
     rows = rows.join(vectors, "node").select("sig", "node", "block", "label", "size", "vec")
     second = rows.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(_second_pass(sim), "a long, b long").distinct()
-    second = X.kept(second.join(pairs, ["a", "b"], "left_anti"))
-    more = X.kept(_verified(sim, second, points.select("node", "shingles")))
+    second = X.written(second.join(pairs, ["a", "b"], "left_anti"))
+    more = X.written(_verified(sim, second, points.select("node", "shingles")))
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -210,3 +210,21 @@ def kept(df):
     """df cut from its lineage, written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df):
+    """df as a Parquet table in the shared folder, for large intermediate results; its shuffle files go once it is written."""
+    spark = df.sparkSession
+    path, before = new_path(spark, "table"), spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
