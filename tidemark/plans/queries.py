@@ -15,6 +15,8 @@ from tidemark.operators import metrics as M
 from tidemark.operators import snapshots as S
 from tidemark.operators import wal
 from tidemark.plans import shapes as V
+from tidemark.sources import files as R
+from tidemark.streaming import log as T
 
 NOW = dt.date(1998, 1, 15)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +172,41 @@ def a15_metric_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"w10_phase_weights": w10_phase_weights, "a15_metric_categories": a15_metric_categories}
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as a chunk of its length; every fifth is sent twice."""
+    c = V.v_wal(spark, sf_dir).select(F.col("timeline").alias("server"), "lsn", F.lit(128).cast("long").alias("len"))
+    return c.unionByName(c.filter("lsn % 5 = 0"))
+
+
+CHUNKS = """, pieces AS (SELECT timeline AS server, lsn//1000 AS segno, lsn%1000 AS start, least(128,1000-lsn%1000) AS len FROM v_wal UNION ALL
+  SELECT timeline, lsn//1000+1, 0, lsn%1000+128-1000 FROM v_wal WHERE lsn%1000+128>1000),
+segs AS (SELECT server, segno, CAST(sum(len) AS BIGINT) AS received, sum(len)<1000 AS partial FROM pieces GROUP BY 1,2)"""
+
+query("t1_wal_ingest", f"{CHUNKS} SELECT * FROM segs")(on(_chunks, lambda c: T.wal_ingest(c, 1000)))
+query("t3_resume_point", f"{CHUNKS} SELECT server, max(segno)+CASE WHEN arg_max(partial,segno) THEN 0 ELSE 1 END AS segno FROM segs GROUP BY 1")(
+    on(_chunks, lambda c: T.resume_point(T.wal_ingest(c, 1000)))
+)
+query("t4_wal_stats_stream", "SELECT rmgr, count(*) AS count, CAST(sum(tot_len-fpi_len) AS BIGINT) AS record_size, CAST(sum(fpi_len) AS BIGINT) AS fpi_size, CAST(sum(tot_len) AS BIGINT) AS combined_size FROM v_wal GROUP BY 1")(
+    on(V.v_wal, T.wal_stats_stream)
+)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path with suffixes for each document."""
+    d = V.read(spark, sf_dir, "documents")
+    suffix = F.element_at(F.array(*map(F.lit, ["", ".gz", ".zstd.aes", ".partial", ".tar"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.format_string("%024X", "doc_id"), suffix).alias("path"))
+
+
+query("s3_file_class", """, f AS (SELECT doc_id, source||'/'||printf('%024X',doc_id)||['','.gz','.zstd.aes','.partial','.tar'][doc_id%5+1] AS path FROM documents)
+SELECT doc_id, printf('%024X',doc_id) AS name, 1+[0,2,40,128,64][doc_id%5+1] AS file_class FROM f WHERE path IS NOT NULL""")(
+    on(_named, lambda d: d.filter("path IS NOT NULL").select("doc_id", R.base_name(F.col("path")).alias("name"), R.file_class(F.col("path"))))
+)
+query("x9_text_codes", "SELECT doc_id, base64(encode(text)) AS b64, length(text) AS chars, sha256(text) AS sha FROM documents WHERE text IS NOT NULL")(
+    lambda spark, sf: V.read(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "").alias("b64"), F.char_length("text").cast("long").alias("chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+)
+query("x16_json_get", "SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k, json_extract(props,'$.none') IS NOT NULL AS has_none FROM events")(
+    lambda spark, sf: V.read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.none").isNotNull().alias("has_none"))
+)
