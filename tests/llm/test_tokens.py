@@ -33,3 +33,23 @@ def test_documents(spark, tmp_path):
     assert got == want
     one = K.token_at(spark, str(tmp_path / "t"), [(0, 0, 0)]).collect()
     assert len(one) == 1
+
+
+LETTERS = ["\u09b8\u09ae\u09df", "\u0958\u0930", "\u0a36\u0a39", "\ufb2a\u05dc\u05d5\u05dd", "\ufb4e", "\u09dc", "\u212bngstr", "\u0130stanbul", "\u00e9t\u00e9"]
+
+
+@pytest.mark.parametrize("checked", [True, False])
+def test_letters_of_several_pieces(monkeypatch, checked):
+    if not checked:  # the number of pieces alone has to tell
+        monkeypatch.setattr(K.unicodedata, "is_normalized", lambda form, w: True)
+    words = [x for w in LETTERS for x in (w, "hello", "ends")] * 3
+    t = Tokenizer.from_file(FILE)
+    assert K.Vocabulary(FILE).encode(words) == [t.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_documents_of_such_letters(spark, tmp_path):
+    rows = [(i, f"{w} hello {LETTERS[i - 1]} world ends") for i, w in enumerate(LETTERS)] + [(50, "hello world ends")]
+    K.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "t"), FILE)
+    t = Tokenizer.from_file(FILE)
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in rows}
+    assert {r.doc_id: r.ids_crc32 for r in K.read_tokens(spark, str(tmp_path / "t")).collect()} == want

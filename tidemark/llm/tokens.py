@@ -11,6 +11,7 @@ of its words one after another; each task encodes a distinct word once and looks
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -116,18 +117,22 @@ class Vocabulary:
         return np.where((self.h1[i] == h1) & (self.h2[i] == h2), i, -1)
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        letters = [w.lower().isalpha() for w in words]
+        # NFC, the tokenizer's first step, makes a letter and a mark of some letters, which are pieces of their own
+        letters = [w.lower().isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in words]
         plain = [k for k, yes in enumerate(letters) if yes]
+        rest = [k for k, yes in enumerate(letters) if not yes]
         out: list[list[int]] = [[]] * len(words)
         for i in range(0, len(plain), 2000):  # letters alone are one piece each, so many can share a call
             part = plain[i : i + 2000]
             e = self.tokenizer.encode(" ".join([words[k] for k in part]), add_special_tokens=False)
             piece = np.array(e.word_ids, np.int64)
+            if piece.max(initial=-1) + 1 != len(part):  # a word has one piece at least, so some word here has more
+                rest += part
+                continue
             cuts = np.searchsorted(piece, np.arange(len(part) + 1))
             ids = e.ids
             for k, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 out[k] = ids[a:b]
-        rest = [k for k, yes in enumerate(letters) if not yes]
         for i in range(0, len(rest), 2000):
             part = rest[i : i + 2000]
             for k, e in zip(part, self.tokenizer.encode_batch([words[k] for k in part], add_special_tokens=False), strict=True):
