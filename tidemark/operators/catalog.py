@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import textops as X
+
 
 def list_backups(catalog: DataFrame, descending: bool = False) -> DataFrame:
     return catalog.orderBy("server", F.col("label").desc() if descending else F.col("label"))
@@ -27,24 +30,53 @@ def backup_relatives(catalog: DataFrame) -> DataFrame:
     return catalog.select("server", "label", "parent_label").join(child, ["server", "label"], "left")
 
 
+def _links(catalog: DataFrame) -> DataFrame:
+    """(server, label, up): the parent of each snapshot that is not full, where the catalog has it."""
+    own = catalog.filter("type <> 'full'").select("server", "label", F.col("parent_label").alias("up"))
+    return own.join(catalog.select("server", F.col("label").alias("up")), ["server", "up"]).select("server", "label", "up").distinct()
+
+
+def _jumps(links: DataFrame) -> Iterator[DataFrame]:
+    """(server, label, up) with up 1, 2, 4, ... parents above label, until no chain is that long."""
+    jump, steps = X.kept(links), 1
+    n = jump.count()
+    while not jump.isEmpty():
+        if steps > n:
+            raise ValueError("parents of a snapshot lead back to it")
+        yield jump
+        further = jump.select("server", F.col("label").alias("up"), F.col("up").alias("_up"))
+        jump, steps = X.kept(jump.join(further, ["server", "up"]).select("server", "label", F.col("_up").alias("up"))), steps * 2
+
+
 def backup_chain(catalog: DataFrame) -> DataFrame:
     """(server, label, ancestor, depth): each snapshot and its parents up to the first full one; broken where a parent is missing.
 
-    One recursive query. A chain is at most spark.sql.cteRecursionLevelLimit long, which the session sets.
+    Chains double in each round, so neither their length nor the number of rows is limited; one that leads back to itself is an error.
     """
-    catalog.select("server", "label", "type", "parent_label").createOrReplaceTempView("tidemark_catalog")
-    return catalog.sparkSession.sql("""
-        WITH RECURSIVE up(server, label, ancestor, type, parent_label, depth) AS (
-          SELECT server, label, label, type, parent_label, 0 FROM tidemark_catalog
-          UNION ALL
-          SELECT u.server, u.label, c.label, c.type, c.parent_label, u.depth + 1 FROM up u
-          JOIN tidemark_catalog c ON u.server = c.server AND u.parent_label = c.label WHERE u.type <> 'full')
-        SELECT server, label, ancestor, depth FROM up""")
+    chain = catalog.select("server", "label", F.col("label").alias("ancestor"), F.lit(0).alias("depth"))
+    for k, jump in enumerate(_jumps(_links(catalog))):
+        up = jump.select("server", F.col("label").alias("ancestor"), "up")
+        chain = X.kept(chain.union(chain.join(up, ["server", "ancestor"]).select("server", "label", F.col("up").alias("ancestor"), (F.col("depth") + (1 << k)).cast("int").alias("depth"))))
+    return chain
 
 
 def backup_root(catalog: DataFrame) -> DataFrame:
-    """(server, label, root, depth)."""
-    return backup_chain(catalog).groupBy("server", "label").agg(F.max_by("ancestor", "depth").alias("root"), F.max("depth").alias("depth"))
+    """(server, label, root, depth).
+
+    Each round takes every snapshot to where its ancestor has got to, so rows stay as many as snapshots and rounds are few.
+    """
+    links = _links(catalog)
+    at = catalog.select("server", "label").distinct().join(links, ["server", "label"], "left")
+    at = X.kept(at.select("server", "label", F.coalesce("up", "label").alias("root"), F.col("up").isNotNull().cast("int").alias("depth")))
+    n, steps, moved = at.count(), 1, True
+    while moved:
+        if steps > 2 * n:
+            raise ValueError("parents of a snapshot lead back to it")
+        further = at.filter("depth > 0").select("server", F.col("label").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+        more = at.join(further, ["server", "root"], "left")
+        more = X.kept(more.select("server", "label", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_depth").isNotNull().alias("moved")))
+        moved, at, steps = not more.filter("moved").isEmpty(), more.drop("moved"), steps * 2
+    return at.groupBy("server", "label").agg(F.max_by("root", "depth").alias("root"), F.max("depth").alias("depth"))
 
 
 def resolve_targets(catalog: DataFrame, targets: DataFrame) -> DataFrame:
@@ -159,9 +191,13 @@ def wal_delta(catalog: DataFrame) -> DataFrame:
 
 
 def keep(catalog: DataFrame, server, label: str, flag: bool = True, cascade: bool = False) -> DataFrame:
-    """Sets the flag on a snapshot, with cascade on its ancestors too."""
-    chain = backup_chain(catalog).filter((F.col("server") == server) & (F.col("label") == label)) if cascade else catalog.filter((F.col("server") == server) & (F.col("label") == label)).withColumn("ancestor", F.col("label"))
-    hit = chain.select("server", F.col("ancestor").alias("label"), F.lit(True).alias("_h"))
+    """Sets the flag on a snapshot, with cascade on its ancestors too: the one chain is followed, within its server."""
+    own = catalog.filter(F.col("server") == server)
+    chain = own.filter(F.col("label") == label).select("server", "label").distinct()
+    if cascade:
+        for jump in _jumps(_links(own)):
+            chain = X.kept(chain.union(chain.join(jump, ["server", "label"]).select("server", F.col("up").alias("label"))).distinct())
+    hit = chain.withColumn("_h", F.lit(True))
     return catalog.join(hit, ["server", "label"], "left").withColumn("keep", F.when(F.col("_h"), F.lit(flag)).otherwise(F.col("keep"))).drop("_h")
 
 
