@@ -23,17 +23,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group that links of five-word shingles (similarity 0.8) connect the document with the least doc_id.
+    """Keeps of each group that links of five-word shingles (similarity 0.8) connect the document with the least doc_id (null before others).
 
-    Of rows that repeat a doc_id the one with the least text stays; documents without words link with nothing and all stay.
+    Of rows of a group that repeat that doc_id the one with the least hash of its text stays; documents without words link with
+    nothing and all stay. A null doc_id says nothing: rows without doc_id are told apart by their texts, and all without words stay.
     """
     linked = jaccard.link_documents(docs, sets.Similarity(5, 4, 5))
     alone = linked.filter("n_shingles = 0").select("doc_id", "text_key")
-    first = linked.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*")
+    first = linked.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("d.*")
     stay = first.union(alone.distinct())
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
-    # a row that repeats both doc_id and text is the same document again
-    return keyed.join(stay, X.same_row(keyed, stay), "left_semi").dropDuplicates(["doc_id", "text_key"]).select(COLUMNS)
+    # a row that repeats both doc_id and text is the same document again, but not without either
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.join(stay, X.same_row(keyed, stay), "left_semi").withColumn("row", F.when(F.col("doc_id").isNull() & wordless, F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "text_key", "row"]).select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,9 +256,11 @@ def _verified(sim: S.Similarity, pairs: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETING, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) for each row of documents (doc_id, text).
+    """(doc_id, text_key, n_shingles, component_id, component) for each row of documents (doc_id, text).
 
-    A-Z is lower-cased, words are runs of anything but ASCII white space. component_id is the least doc_id that links reach.
+    A-Z is lower-cased, words are runs of anything but ASCII white space. component_id is the least doc_id that links reach; where
+    doc_ids are null or repeat, several components can share one. component tells all components apart, by the hash of a set; it is
+    null for documents without words.
     Documents without words (null or empty texts) link with nothing and are their own component; a text of fewer words than a
     shingle is one shingle. Equal sets always link. A null doc_id never becomes a component_id while its component holds another.
     Further columns are ignored; an empty table gives an empty result. Shingles are compared by hashes of 64 bits.
@@ -308,6 +310,6 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     least = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     root = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(root, "label").select(F.col("node").alias("of"), "component_id")
+    named = named.join(root, "label").select(F.col("node").alias("of"), "component_id", F.col("label").alias("component"))
     out = nodes.join(named, nodes["node"] == named["of"], "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
