@@ -129,6 +129,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def counted(spans: Column, kind: int) -> Column:
+    """How many of the spans are of a kind, an index into KINDS."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redacted(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """documents with each span of text replaced by its kind in brackets; the first of overlapping spans counts."""
     docs = documents.withColumn("text_key", F.xxhash64("text"))
