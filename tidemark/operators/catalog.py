@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm import textops as X
+from tidemark import shared
 
 
 def list_backups(catalog: DataFrame, descending: bool = False) -> DataFrame:
@@ -38,14 +38,14 @@ def _links(catalog: DataFrame) -> DataFrame:
 
 def _jumps(links: DataFrame) -> Iterator[DataFrame]:
     """(server, label, up) with up 1, 2, 4, ... parents above label, until no chain is that long."""
-    jump, steps = X.kept(links), 1
+    jump, steps = shared.kept(links), 1
     n = jump.count()
     while not jump.isEmpty():
         if steps > n:
             raise ValueError("parents of a snapshot lead back to it")
         yield jump
         further = jump.select("server", F.col("label").alias("up"), F.col("up").alias("_up"))
-        jump, steps = X.kept(jump.join(further, ["server", "up"]).select("server", "label", F.col("_up").alias("up"))), steps * 2
+        jump, steps = shared.kept(jump.join(further, ["server", "up"]).select("server", "label", F.col("_up").alias("up"))), steps * 2
 
 
 def backup_chain(catalog: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def backup_chain(catalog: DataFrame) -> DataFrame:
     chain = catalog.select("server", "label", F.col("label").alias("ancestor"), F.lit(0).alias("depth"))
     for k, jump in enumerate(_jumps(_links(catalog))):
         up = jump.select("server", F.col("label").alias("ancestor"), "up")
-        chain = X.kept(chain.union(chain.join(up, ["server", "ancestor"]).select("server", "label", F.col("up").alias("ancestor"), (F.col("depth") + (1 << k)).cast("int").alias("depth"))))
+        chain = shared.kept(chain.union(chain.join(up, ["server", "ancestor"]).select("server", "label", F.col("up").alias("ancestor"), (F.col("depth") + (1 << k)).cast("int").alias("depth"))))
     return chain
 
 
@@ -67,14 +67,14 @@ def backup_root(catalog: DataFrame) -> DataFrame:
     """
     links = _links(catalog)
     at = catalog.select("server", "label").distinct().join(links, ["server", "label"], "left")
-    at = X.kept(at.select("server", "label", F.coalesce("up", "label").alias("root"), F.col("up").isNotNull().cast("int").alias("depth")))
+    at = shared.kept(at.select("server", "label", F.coalesce("up", "label").alias("root"), F.col("up").isNotNull().cast("int").alias("depth")))
     n, steps, moved = at.count(), 1, True
     while moved:
         if steps > 2 * n:
             raise ValueError("parents of a snapshot lead back to it")
         further = at.filter("depth > 0").select("server", F.col("label").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
         more = at.join(further, ["server", "root"], "left")
-        more = X.kept(more.select("server", "label", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_depth").isNotNull().alias("moved")))
+        more = shared.kept(more.select("server", "label", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_depth").isNotNull().alias("moved")))
         moved, at, steps = not more.filter("moved").isEmpty(), more.drop("moved"), steps * 2
     return at.groupBy("server", "label").agg(F.max_by("root", "depth").alias("root"), F.max("depth").alias("depth"))
 
@@ -196,7 +196,7 @@ def keep(catalog: DataFrame, server, label: str, flag: bool = True, cascade: boo
     chain = own.filter(F.col("label") == label).select("server", "label").distinct()
     if cascade:
         for jump in _jumps(_links(own)):
-            chain = X.kept(chain.union(chain.join(jump, ["server", "label"]).select("server", F.col("up").alias("label"))).distinct())
+            chain = shared.kept(chain.union(chain.join(jump, ["server", "label"]).select("server", F.col("up").alias("label"))).distinct())
     hit = chain.withColumn("_h", F.lit(True))
     return catalog.join(hit, ["server", "label"], "left").withColumn("keep", F.when(F.col("_h"), F.lit(flag)).otherwise(F.col("keep"))).drop("_h")
 
