@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import shared
+from tidemark.operators.ordered import by_month, carried
 
 
 def list_backups(catalog: DataFrame, descending: bool = False) -> DataFrame:
@@ -86,9 +87,8 @@ def resolve_targets(catalog: DataFrame, targets: DataFrame) -> DataFrame:
     """
     c = catalog.filter("valid").select("server", F.col("label").alias("at"), F.lit(0).alias("k"), F.col("label"))
     t = targets.select("server", F.col("target").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("label")).distinct()
-    w = W.partitionBy("server").orderBy("at", "k").rowsBetween(W.unboundedPreceding, 0)
-    out = c.union(t).withColumn("label", F.last("label", ignorenulls=True).over(w)).filter("k = 1")
-    return out.select("server", F.col("at").alias("target"), "label")
+    out = carried(c.union(t), "server", by_month("at"), ["at", "k"], F.col("label"), "found", with_own=True).filter("k = 1")
+    return out.select("server", F.col("at").alias("target"), F.col("found").alias("label"))
 
 
 def remote_reconcile(catalog: DataFrame, listing: DataFrame) -> DataFrame:
@@ -97,13 +97,18 @@ def remote_reconcile(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     return catalog.join(there, ["server", "label"], "left").withColumn("verify", F.when(F.col("_r"), "remote").otherwise("local")).drop("_r")
 
 
-def wal_between(segments: DataFrame, backups: DataFrame) -> DataFrame:
-    """For each backup (server, label, wal) the segments (server, name) from its own up to the next backup's: count."""
-    nxt = F.lead("wal").over(W.partitionBy("server").orderBy("label"))
-    b = backups.select("server", "label", "wal", nxt.alias("upto"))
-    s = segments.select(F.col("server").alias("_s"), "name")
-    hit = (F.col("server") == F.col("_s")) & (F.col("name") >= F.col("wal")) & (F.col("upto").isNull() | (F.col("name") < F.col("upto")))
-    return b.join(s, hit, "left").groupBy("server", "label").agg(F.count("name").alias("segments"))
+def wal_between(segments: DataFrame, backups: DataFrame, bins: int = 16) -> DataFrame:
+    """For each backup (server, label, wal) how many segments (server, name) there are from its own up to the next backup's.
+
+    One pass: backups and segments of a server go in one order, and each segment counts for the last backup at or before it. Later
+    labels start at no earlier segment; of backups that start at one segment the last label gets its segments. bins is the length of
+    the start of names that segments of one task share.
+    """
+    b = backups.select("server", F.col("wal").alias("at"), F.lit(0).alias("k"), "label")
+    s = segments.select("server", F.col("name").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("label"))
+    own = carried(b.union(s), "server", F.left("at", F.lit(bins)), ["at", "k", "label"], F.col("label"), "of").filter("k = 1 AND of IS NOT NULL")
+    n = own.groupBy("server", F.col("of").alias("label")).agg(F.count("at").alias("segments"))
+    return backups.select("server", "label").join(n, ["server", "label"], "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
 
 
 def backup_counts(catalog: DataFrame) -> DataFrame:
@@ -164,30 +169,29 @@ def retention_plan(catalog: DataFrame, now: dt.date, **policy) -> DataFrame:
 
 
 def size_increment(catalog: DataFrame) -> DataFrame:
-    w = W.partitionBy("server").orderBy("label")
-    return catalog.withColumn("increment", F.col("size") - F.coalesce(F.lag("size").over(w), F.lit(0)))
+    """Adds increment: a snapshot's size less that of the one before (where there is none, or one without size: less 0)."""
+    c = carried(catalog, "server", by_month("label"), ["label"], F.struct("size"), "_before")
+    return c.withColumn("increment", F.col("size") - F.coalesce("_before.size", F.lit(0))).drop("_before")
 
 
 def valid_neighbours(catalog: DataFrame) -> DataFrame:
-    w = W.partitionBy("server").orderBy("label")
     good = F.when(F.col("valid"), F.col("label"))
-    return catalog.select(
-        "server", "label", F.last(good, True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("previous_valid"), F.first(good, True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("next_valid")
-    )
+    c = carried(catalog.select("server", "label", "valid"), "server", by_month("label"), ["label"], good, "previous_valid")
+    return carried(c, "server", by_month("label"), ["label"], good, "next_valid", backward=True).select("server", "label", "previous_valid", "next_valid")
 
 
 def link_base(catalog: DataFrame) -> DataFrame:
     """(server, label, base): of each server's newest snapshot the nearest earlier valid one of its major version."""
-    w = W.partitionBy("server")
-    c = catalog.withColumn("_new", F.max("label").over(w)).withColumn("_major", F.max_by("major_version", "label").over(w))
-    base = F.max(F.when(F.col("valid") & (F.col("label") < F.col("_new")) & (F.col("major_version") == F.col("_major")), F.col("label")))
-    return c.groupBy("server", F.col("_new").alias("label")).agg(base.alias("base"))
+    newest = catalog.groupBy("server").agg(F.max("label").alias("_new"), F.max_by("major_version", "label").alias("_major"))
+    older = catalog.filter("valid").join(newest, "server").filter((F.col("label") < F.col("_new")) & (F.col("major_version") == F.col("_major")))
+    base = older.groupBy("server").agg(F.max("label").alias("base"))
+    return newest.select("server", F.col("_new").alias("label")).join(base, "server", "left").select("server", "label", "base")
 
 
 def wal_delta(catalog: DataFrame) -> DataFrame:
     """Log bytes between a backup and the one before: lsn grows along the labels."""
-    w = W.partitionBy("server").orderBy("label")
-    return catalog.withColumn("wal_delta", F.coalesce(F.col("start_lsn") - F.lag("start_lsn").over(w), F.lit(0)))
+    c = carried(catalog, "server", by_month("label"), ["label"], F.struct("start_lsn"), "_before")
+    return c.withColumn("wal_delta", F.coalesce(F.col("start_lsn") - F.col("_before.start_lsn"), F.lit(0))).drop("_before")
 
 
 def keep(catalog: DataFrame, server, label: str, flag: bool = True, cascade: bool = False) -> DataFrame:

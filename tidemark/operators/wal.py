@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LONG_LIST = 2000
+from tidemark.operators.ordered import by_log, carried
+
+def _listed(df: DataFrame, column: str, values: list, to: str) -> DataFrame:
+    """Distinct values as a table with one column, to, for joins with a list of any length."""
+    kind = df.schema[column].dataType
+    return df.sparkSession.createDataFrame([(v,) for v in values], f"`{to}` {kind.simpleString()}").distinct()
 
 
 def _among(df: DataFrame, column: str, values: list) -> DataFrame:
-    """A short list is a predicate; a long one a semi join."""
-    if len(values) <= LONG_LIST:
-        return df.filter(F.col(column).isin(values))
-    kind = df.schema[column].dataType
-    wanted = df.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {kind.simpleString()}")
-    return df.join(wanted.distinct(), column, "left_semi")
+    return df.join(_listed(df, column, values, column), column, "left_semi").select(df.columns)
 
 
 def wal_filter(records: DataFrame, rmgrs: list[str] | None = None, start_lsn: int = 0, end_lsn: int = 0, xids: list[int] | None = None) -> DataFrame:
@@ -53,12 +53,13 @@ def wal_filter_interactive(records: DataFrame, rmgrs: str = "", start_lsn: int =
     if end_lsn:
         out = out.filter(F.col("lsn") <= end_lsn)
     if parts(xids):
-        out = out.filter(F.col("xid").isin([int(x) for x in parts(xids)]))
+        out = _among(out, "xid", [int(x) for x in parts(xids)])
     return wal_filter_objects(out, parts(relations))
 
 
-def wal_search(records: DataFrame, rmgr: str | None = None, start_lsn: int = 0, end_lsn: int = 0, xid: int | None = None, text: str | None = None, most: int = 1_000_000) -> DataFrame:
-    """(file, idx, lsn, matched) of records that meet every criterion: idx counts within the file from 0."""
+def wal_search(records: DataFrame, rmgr: str | None = None, start_lsn: int = 0, end_lsn: int = 0, xid: int | None = None, text: str | None = None, most: int | None = None) -> DataFrame:
+    """(file, idx, lsn, matched) of records that meet every criterion: idx counts within the file from 0. With most, only the first
+    so many of them, in order of file and idx; without, all."""
     w = W.partitionBy("file").orderBy("lsn")
     r = records.withColumn("idx", F.row_number().over(w) - 1)
     tests: list[tuple[str, Column]] = []
@@ -74,12 +75,14 @@ def wal_search(records: DataFrame, rmgr: str | None = None, start_lsn: int = 0,
         tests.append(("description", F.instr("description", text) > 0))
     for _, t in tests:
         r = r.filter(t)
-    return r.select("file", "idx", "lsn", F.array(*[F.lit(n) for n, _ in tests]).alias("matched")).orderBy("file", "idx").limit(most)
+    out = r.select("file", "idx", "lsn", F.array(*[F.lit(n) for n, _ in tests]).alias("matched"))
+    return out if most is None else out.orderBy("file", "idx").limit(most)
 
 
 def next_lsn(records: DataFrame, by: str = "timeline") -> DataFrame:
     """next_lsn: the lsn of the following record of the timeline, 0 for the last."""
-    return records.withColumn("next_lsn", F.lead("lsn", 1, 0).over(W.partitionBy(by).orderBy("lsn")))
+    r = carried(records.drop("next_lsn"), by, by_log("lsn"), ["lsn"], F.col("lsn"), "next_lsn", backward=True)
+    return r.withColumn("next_lsn", F.coalesce("next_lsn", F.lit(0)))
 
 
 def with_op(records: DataFrame, ops: DataFrame) -> DataFrame:
@@ -144,10 +147,11 @@ def wal_stats(records: DataFrame) -> DataFrame:
 
 def wal_filter_xids(records: DataFrame, xids: list[int]) -> DataFrame:
     """Records of the transactions become no-ops; none goes. Adds changed."""
-    hit = F.col("xid").isin(xids)
+    gone = _listed(records, "xid", xids, "_x")
+    r = records.join(gone, F.col("xid") == F.col("_x"), "left").withColumn("changed", F.col("_x").isNotNull()).drop("_x")
     if "toplevel_xid" in records.columns:
-        hit = hit | F.coalesce(F.col("toplevel_xid").isin(xids), F.lit(False))
-    return records.withColumn("changed", hit).withColumn("rmgr", F.when(hit, F.lit("XLOG")).otherwise(F.col("rmgr")))
+        r = r.join(gone, F.col("toplevel_xid") == F.col("_x"), "left").withColumn("changed", F.col("changed") | F.col("_x").isNotNull()).drop("_x")
+    return r.withColumn("rmgr", F.when(F.col("changed"), F.lit("XLOG")).otherwise(F.col("rmgr")))
 
 
 def wal_filter_delete(records: DataFrame, deletes: Column, xmax: str) -> DataFrame:

@@ -41,6 +41,10 @@ def on(shape: Callable, f: Callable[..., DataFrame]) -> Callable[[SparkSession,
     return run
 
 
+def _chunked(blocks: DataFrame) -> DataFrame:
+    return B.brt_chunks(blocks).withColumn("offsets", F.concat_ws(",", F.transform("offsets", lambda x: x.cast("string"))))
+
+
 SELECT = "SELECT lsn, prev_lsn, xid, rmgr, tot_len, fpi_len, description"
 COLS = ["lsn", "prev_lsn", "xid", "rmgr", "tot_len", "fpi_len", "description"]
 
@@ -67,8 +71,8 @@ query("p11_list_backups", "SELECT server, label, size, type, parent_label FROM v
 query("p12_backup_info", "SELECT server, label, size FROM v_catalog WHERE server=3 ORDER BY label DESC LIMIT 1")(on(V.v_catalog, lambda c: C.backup_info(c, 3, "newest").select("server", "label", "size")))
 query("p13_marked_xids", "SELECT xid, min(lsn) AS first_lsn FROM v_wal WHERE rmgr='error' AND xid>0 GROUP BY xid")(on(V.v_wal, lambda w: wal.marked_xids(w, F.col("rmgr") == "error")))
 query("p14_known_values", "SELECT DISTINCT description AS value FROM v_wal WHERE starts_with(description,'view rel 1') ORDER BY 1 LIMIT 8")(on(V.v_wal, lambda w: wal.known_values(w, "description", "view rel 1", 8)))
-query("p15_double_compression_guard", "SELECT path FROM (SELECT path||CASE WHEN size%4=0 THEN '.gz' WHEN size%4=1 THEN '.aes' ELSE '.txt' END AS path FROM m_old) WHERE NOT regexp_matches(path,'\\.(gz|zstd|lz4|bz2|aes)$')")(
-    on(V.v_manifests, lambda o, n: o.select(F.concat("path", F.when(F.col("size") % 4 == 0, ".gz").when(F.col("size") % 4 == 1, ".aes").otherwise(".txt")).alias("path")).filter(~F.col("path").rlike(r"\.(gz|zstd|lz4|bz2|aes)$"))))
+query("p15_double_compression_guard", "SELECT path FROM (SELECT path||CASE WHEN size%4=0 THEN '.gz' WHEN size%4=1 THEN '.aes' ELSE '.txt' END AS path FROM m_all) WHERE NOT regexp_matches(path,'\\.(gz|zstd|lz4|bz2|aes)$')")(
+    on(V.v_manifest, lambda m: m.select(F.concat("path", F.when(F.col("size") % 4 == 0, ".gz").when(F.col("size") % 4 == 1, ".aes").otherwise(".txt")).alias("path")).filter(~F.col("path").rlike(r"\.(gz|zstd|lz4|bz2|aes)$"))))
 query("j1_translate_oids", "SELECT lsn, coalesce(n_name, CAST(xid%40 AS VARCHAR)) AS name FROM v_wal LEFT JOIN nation ON n_nationkey=xid%40")(
     lambda s, d: wal.translate_oids(V.v_wal(s, d).withColumn("oid40", F.col("xid") % 40), V.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("oid"), F.col("n_name").alias("name")), "oid40", "name").select("lsn", "name"))
 query("j2_xact_timestamps", """, x AS (SELECT lsn, xact_ts, unnest([xid, xid+1000]) AS x FROM v_wal WHERE xact_ts IS NOT NULL), t AS (SELECT x, arg_min(xact_ts, lsn) AS t FROM x WHERE x<>0 GROUP BY x)
@@ -94,9 +98,9 @@ query("j12_resolve_target", f", t AS ({TARGETS}) SELECT t.server, t.target, max(
 query("j13_remote_reconcile", "SELECT server, label, CASE WHEN size%2=0 THEN 'remote' ELSE 'local' END AS verify FROM v_catalog")(on(V.v_catalog, lambda c: C.remote_reconcile(c, c.filter("size % 2 = 0")).select("server", "label", "verify")))
 query("j14_wal_between", """, b AS (SELECT server, label, label AS wal, lead(label) OVER (PARTITION BY server ORDER BY label) AS upto FROM v_catalog WHERE type='full')
   SELECT b.server, b.label, count(s.label) AS segments FROM b LEFT JOIN v_catalog s ON s.server=b.server AND s.label>=b.wal AND (b.upto IS NULL OR s.label<b.upto) GROUP BY 1,2""")(
-    on(V.v_catalog, lambda c: C.wal_between(c.select("server", F.col("label").alias("name")), c.filter("type = 'full'").select("server", "label", F.col("label").alias("wal")))))
-query("j15_restore_file_plan", "SELECT path, CASE WHEN size%5=0 THEN 'reconstruct' ELSE 'copy' END AS action FROM (SELECT CASE WHEN size%5=0 THEN 'd/INCREMENTAL.'||size ELSE path END AS path, size FROM m_old)")(
-    on(V.v_manifests, lambda o, n: S.restore_file_plan(o.select(F.when(F.col("size") % 5 == 0, F.concat(F.lit("d/INCREMENTAL."), F.col("size").cast("string"))).otherwise(F.col("path")).alias("path")))))
+    on(V.v_catalog, lambda c: C.wal_between(c.select("server", F.col("label").alias("name")), c.filter("type = 'full'").select("server", "label", F.col("label").alias("wal")), 6)))
+query("j15_restore_file_plan", "SELECT path, CASE WHEN size%5=0 THEN 'reconstruct' ELSE 'copy' END AS action FROM (SELECT CASE WHEN size%5=0 THEN 'd/INCREMENTAL.'||size ELSE path END AS path, size FROM m_all)")(
+    on(V.v_manifest, lambda m: S.restore_file_plan(m.select(F.when(F.col("size") % 5 == 0, F.concat(F.lit("d/INCREMENTAL."), F.col("size").cast("string"))).otherwise(F.col("path")).alias("path")))))
 query("a1_rmgr_counts", "SELECT rmgr, count(*) AS n FROM v_wal WHERE prev_lsn>=10000 GROUP BY 1")(on(V.v_wal, lambda w: wal.rmgr_counts(wal.wal_filter(w, start_lsn=10000))))
 query("a2_wal_stats", """, s AS (SELECT rmgr, count(*) AS n, sum(tot_len-fpi_len)::BIGINT AS record_size, sum(fpi_len)::BIGINT AS fpi_size, sum(tot_len)::BIGINT AS combined_size FROM v_wal GROUP BY 1)
   SELECT *, round(n*100.0/sum(n) OVER (),6)::DOUBLE AS n_pct, round(record_size*100.0/sum(record_size) OVER (),6)::DOUBLE AS record_size_pct, round(fpi_size*100.0/sum(fpi_size) OVER (),6)::DOUBLE AS fpi_size_pct, round(combined_size*100.0/sum(combined_size) OVER (),6)::DOUBLE AS combined_size_pct FROM s""")(on(V.v_wal, wal.wal_stats))
@@ -104,11 +108,12 @@ LIMITS = "e AS (SELECT *, min(limit_block) OVER (PARTITION BY spc,db,rel,fork OR
 query("a3_summarize_wal", f", {LIMITS} SELECT * FROM s")(on(V.v_blocks, B.summarize))
 query("a3_brt_limits", "SELECT spc,db,rel,fork,min(limit_block) AS limit_block FROM v_blocks WHERE phase=0 GROUP BY ALL")(on(V.v_blocks, B.brt_limits))
 query("a4_brt_blocks", f", {LIMITS} SELECT * FROM s WHERE blk>=100 AND blk<300")(on(V.v_blocks, lambda b: B.brt_range(B.summarize(b), 100, 300)))
-query("a5_brt_chunks", f", {LIMITS} SELECT spc,db,rel,fork,0::BIGINT AS chunk,count(*) AS n,'array' AS kind,string_agg(blk::VARCHAR,',' ORDER BY blk) AS offsets FROM s GROUP BY ALL")(
-    on(V.v_blocks, lambda b: B.brt_chunks(B.summarize(b)).withColumn("offsets", F.concat_ws(",", F.transform("offsets", lambda x: x.cast("string"))))))
+CHUNKED = "SELECT spc,db,rel,fork,blk//65536 AS chunk,count(*) AS n,CASE WHEN count(*)>4095 THEN 'bitmap' ELSE 'array' END AS kind,string_agg((blk%65536)::VARCHAR,',' ORDER BY blk) AS offsets"
+query("a5_brt_chunks", f", {LIMITS} {CHUNKED} FROM s GROUP BY spc,db,rel,fork,blk//65536")(on(V.v_blocks, lambda b: _chunked(B.summarize(b))))
+query("a5_brt_bitmaps", f"SELECT * FROM ({CHUNKED} FROM v_many GROUP BY spc,db,rel,fork,blk//65536)")(on(V.v_many, lambda b: _chunked(b)))
 query("a6_backup_counts", "SELECT server, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS n_invalid FROM v_catalog GROUP BY 1")(on(V.v_catalog, C.backup_counts))
 query("a7_oldest_newest", "SELECT server, min(label) AS oldest, arg_min(size,label) AS oldest_size, max(label) AS newest, arg_max(size,label) AS newest_size FROM v_catalog GROUP BY 1")(on(V.v_catalog, C.oldest_newest))
-query("a8_space_usage", "SELECT split_part(path,'/',1) AS server, sum(size)::BIGINT AS total, count(*) AS files, max(size) AS biggest FROM m_old GROUP BY 1")(on(V.v_manifests, lambda o, n: C.space_usage(o.withColumn("server", F.substring_index("path", "/", 1)))))
+query("a8_space_usage", "SELECT split_part(path,'/',1) AS server, sum(size)::BIGINT AS total, count(*) AS files, max(size) AS biggest FROM m_all GROUP BY 1")(on(V.v_manifest, lambda m: C.space_usage(m.withColumn("server", F.substring_index("path", "/", 1)))))
 query("a9_restore_size", """, t AS (SELECT file, depth, max(blk) AS top FROM ch_b GROUP BY ALL), z AS (SELECT depth::VARCHAR AS label, CASE WHEN kind='incremental' THEN greatest(truncation_len, top+1)*8192 ELSE file*100 END AS sz FROM ch_f JOIN t USING (file,depth))
   SELECT label, sum(sz)::BIGINT AS restore_size, max(sz) AS biggest_file FROM z GROUP BY 1""")(
     on(V.v_chain, lambda f, b: S.restore_size(f.join(b.groupBy("file", "depth").agg(F.max("blk").alias("top")), ["file", "depth"]).select(F.col("depth").cast("string").alias("label"), "kind", "truncation_len", "top", (F.col("file") * 100).alias("size")))))
@@ -120,7 +125,7 @@ query("a14_bench_compare", """, a AS (SELECT user_id%7 AS phase, median(value) A
   SELECT phase, b AS base, c AS candidate, CASE WHEN b<=0 OR c<=0 THEN 'n/a' WHEN abs(b-c)/b<0.1 THEN 'no change' WHEN c<b THEN printf('%.2fx faster', b/c) ELSE printf('%.2fx slower', c/b) END AS verdict FROM a JOIN c USING (phase)""")(
     on(V.v_metrics, lambda m: M.bench_compare(M.medians(m.filter("event_id % 2 = 0").withColumn("phase", F.col("user_id") % 7), "phase", "value"), M.medians(m.filter("event_id % 2 = 1").withColumn("phase", F.col("user_id") % 7), "phase", "value"))))
 query("a16_perf_data", "SELECT 'OK | '||string_agg(rmgr||'='||n, ' ' ORDER BY rmgr||'='||n) AS line FROM (SELECT rmgr, count(*) AS n FROM v_wal GROUP BY 1)")(on(V.v_wal, lambda w: M.perf_data(wal.rmgr_counts(w).select(F.col("rmgr").alias("name"), F.col("n").alias("value")))))
-query("a17_manifest_totals", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM m_new")(on(V.v_manifests, lambda o, n: n.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))))
+query("a17_manifest_totals", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM m_all")(on(V.v_manifest, lambda m: m.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))))
 query("a18_catalog_gauges", "SELECT server, label, metric, value FROM (SELECT server, label, size::DOUBLE AS backup_size, valid::INT::DOUBLE AS backup_valid, keep::INT::DOUBLE AS backup_retain FROM v_catalog) UNPIVOT (value FOR metric IN (backup_size, backup_valid, backup_retain)) UNION ALL SELECT s, NULL, 'backup_size', 0.0 FROM range(25) t(s) WHERE s NOT IN (SELECT server FROM v_catalog)")(
     lambda s, d: C.catalog_gauges(V.v_catalog(s, d), s.range(25).select(F.col("id").alias("server"))))
 MARK = """, days AS (SELECT strftime(DATE '1998-01-12' - to_days((7*j)::INT),'%Y%m%d') AS day FROM range(4) t(j) UNION SELECT strftime(DATE '1998-01-01' - to_months(j::INT),'%Y%m%d') FROM range(12) t(j) UNION SELECT strftime(DATE '1998-01-01' - to_years(j::INT),'%Y%m%d') FROM range(5) t(j)),
@@ -146,13 +151,13 @@ query("f5_delete_backup", f", tg AS (SELECT * FROM v_catalog WHERE server=3 AND
     on(V.v_catalog, lambda c: C.delete_backup(c, 3, c.filter("server = 3 AND NOT keep").agg(F.min("label")).first()[0]).select("server", "label", "type", "parent_label")))
 query("f6_keep", """RECURSIVE t AS (SELECT max(label) AS l FROM v_catalog WHERE server=3), up AS (SELECT label, type, parent_label FROM v_catalog, t WHERE server=3 AND label=l UNION ALL SELECT c.label, c.type, c.parent_label FROM up u JOIN v_catalog c ON c.server=3 AND c.label=u.parent_label WHERE u.type<>'full')
   SELECT server, label, keep OR (server=3 AND label IN (SELECT label FROM up)) AS keep FROM v_catalog""")(on(V.v_catalog, lambda c: C.keep(c, 3, c.filter("server = 3").agg(F.max("label")).first()[0], True, True).select("server", "label", "keep")))
-query("f7_prune_wal", "SELECT label AS name FROM v_catalog WHERE label<'1995'")(on(V.v_catalog, lambda c: C.prune_wal(c.select(F.col("label").alias("name")), "1995")))
+query("f7_prune_wal", "SELECT label AS name FROM v_catalog WHERE label<'1998'")(on(V.v_catalog, lambda c: C.prune_wal(c.select(F.col("label").alias("name")), "1998")))
 query("f8_select_wal", "SELECT label||CASE WHEN size%2=0 THEN '.partial' ELSE '' END AS name, label AS out FROM v_catalog WHERE label>='1995'")(on(V.v_catalog, lambda c: C.select_wal(c.select(F.concat("label", F.when(F.col("size") % 2 == 0, ".partial").otherwise("")).alias("name")), "1995")))
 query("f10_incremental_file_size", "SELECT blk, CASE WHEN blk>0 THEN ((((blk+3)*4)+8191)//8192)*8192+blk*8192 ELSE 12 END AS size FROM (SELECT DISTINCT blk FROM ch_b)")(on(V.v_chain, lambda f, b: b.select("blk").distinct().withColumn("size", B.incremental_file_size(F.col("blk")))))
 query("f11_refresh_hash", "SELECT path, coalesce(n.checksum,o.checksum) AS checksum FROM m_old o FULL JOIN m_new n USING (path)")(on(V.v_manifests, lambda o, n: S.refresh_hash(o.select("path", "checksum"), n)))
 query("f12_merge_lists", "SELECT server, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT server, min(label) AS x FROM v_catalog GROUP BY 1 UNION ALL SELECT server, max(label) FROM v_catalog GROUP BY 1) GROUP BY 1")(
     on(V.v_catalog, lambda c: c.groupBy("server").agg(F.concat_ws(",", F.concat(F.array(F.min("label")), F.array(F.max("label")))).alias("names"))))
-query("f13_build_manifest", "SELECT path, size, checksum FROM m_new")(on(V.v_manifests, lambda o, n: S.build_manifest(n, 256)))
+query("f13_build_manifest", "SELECT path, size, checksum FROM m_all")(on(V.v_manifest, lambda m: S.build_manifest(m, 256)))
 query("f14_annotate", "SELECT label, CASE WHEN comments LIKE 'k1|%' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN comments LIKE 'k1|%' THEN comments ELSE comments||',k1|new' END AS comments FROM v_catalog")(on(V.v_catalog, lambda c: C.annotate(c, "add", "k1", "new").select("label", "status", "comments")))
 query("x1_lsn_text", "SELECT lsn*4294967 AS lsn, upper(to_hex((lsn*4294967)>>32))||'/'||upper(to_hex((lsn*4294967)&4294967295)) AS text, lsn*4294967 AS back FROM v_wal")(
     on(V.v_wal, lambda w: w.select((F.col("lsn") * 4294967).alias("lsn")).withColumn("text", X.lsn_to_string(F.col("lsn"))).withColumn("back", X.string_to_lsn(F.col("text")))))
@@ -162,16 +167,39 @@ query("x18_throughput", "SELECT label, CASE WHEN start_lsn%7=0 THEN 0.0 ELSE siz
 query("t2_wal_position", "SELECT timeline, max(lsn) AS lsn FROM v_wal GROUP BY 1")(on(V.v_wal, lambda w: w.groupBy("timeline").agg(F.max("lsn").alias("lsn"))))
 
 
-def w10_phase_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each order, a phase for each line of it."""
     li = V.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("seq")).agg(F.sum("l_quantity").alias("elapsed"))
-    return M.phase_weights(li.withColumn("phase", F.when(F.col("seq") == 1, "basebackup").otherwise(F.format_string("p%d", "seq")))).select("job", "seq", "weight")
-
-
-def a15_metric_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.metric_categories(V.v_metrics(spark, sf_dir))
-
-
-QUERIES |= {"w10_phase_weights": w10_phase_weights, "a15_metric_categories": a15_metric_categories}
+    return li.withColumn("phase", F.when(F.col("seq") == 1, "basebackup").otherwise(F.format_string("p%d", "seq")))
+
+
+query("w10_phase_weights", """, p AS (SELECT l_orderkey AS job, l_linenumber AS seq, sum(l_quantity) AS elapsed FROM lineitem GROUP BY 1,2),
+  r AS (SELECT *, CAST(greatest(1, floor(100*elapsed/sum(elapsed) OVER (PARTITION BY job))) AS BIGINT) AS w FROM p),
+  o AS (SELECT *, sum(CASE WHEN seq=1 THEN greatest(w-85,0) ELSE 0 END) OVER (PARTITION BY job) AS over, sum(CASE WHEN seq<>1 THEN w END) OVER (PARTITION BY job) AS others FROM r),
+  x AS (SELECT job, seq, CASE WHEN seq=1 THEN least(w,85) ELSE w+CAST(floor(over*w/others) AS BIGINT) END AS w FROM o)
+  SELECT job, seq, CAST(CASE WHEN seq=max(seq) OVER (PARTITION BY job) THEN 100-sum(w) OVER (PARTITION BY job)+w ELSE w END AS BIGINT) AS weight FROM x""")(
+    on(_phases, lambda p: M.phase_weights(p).select("job", "seq", "weight")))
+query("w11_progress_report", """, p AS (SELECT l_orderkey, l_linenumber, l_linenumber*10 AS before, l_linenumber*10+30 AS upto, CAST(l_quantity AS BIGINT) AS done, l_suppkey%60 AS total, l_extendedprice AS elapsed FROM lineitem),
+  q AS (SELECT *, least(100, before+CASE WHEN greatest(done,total)>0 THEN floor(done/greatest(done,total)*(upto-before)) ELSE 0 END)::BIGINT AS percent FROM p)
+  SELECT l_orderkey, l_linenumber, percent, CASE WHEN percent>0 AND percent<100 THEN elapsed*(100-percent)/percent ELSE 0.0 END AS remaining FROM q""")(
+    lambda s, d: M.progress_report(V.read(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10).alias("before"), (F.col("l_linenumber") * 10 + 30).alias("upto"), F.col("l_quantity").cast("long").alias("done"), (F.col("l_suppkey") % 60).alias("total"), F.col("l_extendedprice").alias("elapsed")))
+    .select("l_orderkey", "l_linenumber", "percent", "remaining"))
+query("a15_metric_categories", """, n AS (SELECT DISTINCT name, string_split(name,'_') AS p FROM v_metrics), px AS (SELECT name, d, array_to_string(p[1:d],'_') AS prefix FROM n, unnest(range(1, least(len(p),4)+1)) t(d)),
+  c AS (SELECT prefix, d, count(*)*(1+0.2*d) AS score FROM px GROUP BY 1,2 HAVING count(*)>=2),
+  a1 AS (SELECT * FROM c WHERE d=1),
+  a2 AS (SELECT * FROM a1 UNION ALL SELECT * FROM c WHERE d=2 AND NOT EXISTS (SELECT 1 FROM a1 u WHERE starts_with(c.prefix,u.prefix||'_') AND u.score>=c.score)),
+  a3 AS (SELECT * FROM a2 UNION ALL SELECT * FROM c WHERE d=3 AND NOT EXISTS (SELECT 1 FROM a2 u WHERE starts_with(c.prefix,u.prefix||'_') AND u.score>=c.score)),
+  a4 AS (SELECT * FROM a3 UNION ALL SELECT * FROM c WHERE d=4 AND NOT EXISTS (SELECT 1 FROM a3 u WHERE starts_with(c.prefix,u.prefix||'_') AND u.score>=c.score))
+  SELECT n.name, coalesce(arg_max(a4.prefix,a4.d), any_value(p[1])) AS category FROM n LEFT JOIN px USING (name) LEFT JOIN a4 ON a4.prefix=px.prefix AND a4.d=px.d GROUP BY n.name""")(
+    on(V.v_metrics, M.metric_categories))
+PLAN = f""", {LIMITS}, lim AS (SELECT spc,db,rel,fork,min(limit_block) AS limit_block FROM v_blocks WHERE phase=0 GROUP BY ALL), ent AS (SELECT DISTINCT spc,db,rel,fork FROM s UNION SELECT spc,db,rel,fork FROM lim),
+  f AS (SELECT v_files.*, limit_block, e.rel IS NOT NULL AS entry, segno*200 AS base FROM v_files LEFT JOIN lim USING (spc,db,rel,fork) LEFT JOIN ent e USING (spc,db,rel,fork)),
+  g AS (SELECT *, special OR size%8192<>0 OR fork=1 OR (size=0 AND NOT entry) OR coalesce(limit_block<=base,false) AS full_ FROM f)
+  SELECT path, CASE WHEN full_ THEN 'full' ELSE 'incremental' END AS kind, CASE WHEN NOT full_ THEN coalesce((SELECT string_agg((blk-base)::VARCHAR,',' ORDER BY blk) FROM s WHERE s.spc=g.spc AND s.db=g.db AND s.rel=g.rel AND s.fork=g.fork AND blk>=base AND blk<base+least(200,size//8192)),'') END AS blocks,
+    CASE WHEN NOT full_ THEN greatest(size//8192, coalesce(limit_block-base,0)) END AS truncation_len FROM g"""
+query("f9_incremental_plan", PLAN)(
+    lambda s, d: B.incremental_plan(V.v_files(s, d).select("path", "size"), B.summarize(V.v_blocks(s, d)), B.brt_limits(V.v_blocks(s, d)), segment_blocks=200)
+    .withColumn("blocks", F.when(F.col("blocks").isNotNull(), F.array_join(F.transform("blocks", lambda b: b.cast("string")), ","))))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

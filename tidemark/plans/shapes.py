@@ -32,6 +32,30 @@ def v_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest of all documents."""
+    d = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return d.select("path", F.sha2("content", 256).alias("checksum"), F.octet_length("content").cast("long").alias("size"), "content")
+
+
+def v_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two relations: one with every other block of a few chunks, one with few blocks in many."""
+    odd = F.col("event_id") % 2
+    return read(spark, sf_dir, "events").select(
+        F.lit(1663).cast("long").alias("spc"), F.lit(5).cast("long").alias("db"), odd.alias("rel"), F.lit(0).cast("long").alias("fork"), F.when(odd == 1, F.col("event_id")).otherwise(F.col("event_id") * 13).alias("blk")
+    )
+
+
+def v_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segment files of every relation fork of v_blocks, and two files of no relation."""
+    fork = F.element_at(F.array(*map(F.lit, ["", "_fsm", "_vm", "_init"])), (F.col("fork") + 1).cast("int"))
+    b = v_blocks(spark, sf_dir).select("spc", "db", "rel", "fork").distinct().select("*", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("segno"))
+    path = F.concat(F.lit("base/"), F.col("db").cast("string"), F.lit("/"), F.col("rel").cast("string"), fork, F.when(F.col("segno") > 0, F.concat(F.lit("."), F.col("segno").cast("string"))).otherwise(""))
+    size = (F.col("rel") * 31 + F.col("db") * 7 + F.col("segno")) % 200 * 8192 + F.when(F.col("rel") % 11 == 10, 5).otherwise(0)
+    others = spark.createDataFrame([("global/pg_control", 8192), ("base/1/PG_VERSION", 3)], "path string, size long")
+    return b.select(path.alias("path"), size.cast("long").alias("size")).unionByName(others)
+
+
 def v_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
     old = d.filter("doc_id % 10 <> 0").select("path", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content"))
@@ -74,6 +98,10 @@ v_wal AS (SELECT 4096+event_id*128 AS lsn, 4096+event_id*128-128 AS prev_lsn, us
   CASE WHEN event_type='purchase' THEN ts END AS xact_ts, user_id%25 AS rel, user_id%4 AS db FROM events),
 v_blocks AS (SELECT 1663::BIGINT AS spc, user_id%4 AS db, user_id%25 AS rel, event_id%4 AS fork, event_id AS lsn, CASE WHEN event_type='error' THEN 0 ELSE 1 END AS phase,
   CASE WHEN event_type='error' THEN event_id*13%500 END AS limit_block, CASE WHEN event_type<>'error' THEN event_id*7%500 END AS blk FROM events),
+m_all AS (SELECT source||'/'||doc_id AS path, sha256(text) AS checksum, strlen(text) AS size FROM documents),
+v_many AS (SELECT 1663::BIGINT AS spc, 5::BIGINT AS db, event_id%2 AS rel, 0::BIGINT AS fork, CASE WHEN event_id%2=1 THEN event_id ELSE event_id*13 END AS blk FROM events),
+v_files AS (SELECT 'base/'||db||'/'||rel||['','_fsm','_vm','_init'][fork+1]||CASE WHEN segno>0 THEN '.'||segno ELSE '' END AS path, CAST((rel*31+db*7+segno)%200*8192+CASE WHEN rel%11=10 THEN 5 ELSE 0 END AS BIGINT) AS size, false AS special, spc, db, rel, fork, segno
+  FROM (SELECT DISTINCT spc,db,rel,fork FROM v_blocks), (VALUES (0::BIGINT),(1::BIGINT)) t(segno) UNION ALL VALUES ('global/pg_control',8192,true,NULL,NULL,NULL,NULL,0), ('base/1/PG_VERSION',3,true,NULL,NULL,NULL,NULL,0)),
 m_old AS (SELECT source||'/'||doc_id AS path, sha256(text) AS checksum, strlen(text) AS size FROM documents WHERE doc_id%10<>0),
 m_new AS (SELECT source||'/'||doc_id AS path, sha256(CASE WHEN doc_id%5=0 THEN text||'x' ELSE text END) AS checksum, strlen(CASE WHEN doc_id%5=0 THEN text||'x' ELSE text END) AS size FROM documents WHERE doc_id%7<>0),
 m_diff AS (SELECT path, CASE WHEN n.checksum IS NULL THEN 'deleted' WHEN o.checksum IS NULL THEN 'added' ELSE 'changed' END AS status, coalesce(o.checksum,n.checksum) AS checksum
