@@ -211,7 +211,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     for g in range(groups):
         rows = items.filter(F.col("g") == g).select("item", "text").toLocalIterator()
         sent.append(spark.sparkContext.broadcast(phrases_of([(r.item, r.text) for r in rows], window)))
-    return docs.mapInArrow(_find(sent, cut), plain + "n_words long, n_hit long, items array<string>")
+    return docs.mapInArrow(X.task(_find(sent, cut)), plain + "n_words long, n_hit long, items array<string>")
 
 
 def items_digest(items: str):

@@ -7,14 +7,16 @@ span comes from two prefix sums; two independent tables give 128 bits.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+from tidemark.shared import kept, new_path, shared_folder, written  # noqa: F401
+
+BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240607)
 TABLES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,6 +43,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def let_go() -> None:
+    """Give back the memory that a finished task leaves in its worker process, which goes on to serve other stages."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """What was freed goes back to the system instead of staying with the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, such that a worker holds no more memory after a task than before."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return lean
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -108,6 +136,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int = BLOCK_BYT
     for batch in batches:
         if not batch.num_rows:
             continue
+        trim_memory()
         length = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(length)
         i = 0
@@ -186,45 +215,3 @@ def keyed(documents, *more: str):
 def same_row(a, b):
     """Join condition of two keyed() frames; a null doc_id equals a null doc_id."""
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-
-
-def shared_folder(spark) -> str:
-    """The folder that all executors share: the one the cluster names in spark.checkpoint.dir."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")  # only where no cluster has named one
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def new_path(spark, name: str) -> str:
-    """A path for a table of this run in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df):
-    """df cut from its lineage, written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df):
-    """df as a Parquet table in the shared folder, for large intermediate results; its shuffle files go once it is written."""
-    spark = df.sparkSession
-    path, before = new_path(spark, "table"), spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)

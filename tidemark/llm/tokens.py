@@ -27,7 +27,7 @@ MAGIC = b"TDAC1\0\0\0"
 STEP = 512
 SHARD_TOKENS = 1 << 19
 KNOWN_WORDS = 5 << 18
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 END = 2
 
 
@@ -108,7 +108,7 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.h1 = self.h2 = np.empty(0, np.uint64)
-        self.at, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.at, self.size, self.pool = np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint32)
 
     def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         if not len(self.h1):
@@ -155,15 +155,16 @@ class Vocabulary:
             size = np.array([len(x) for x in got], np.int64)
             at = len(self.pool) + np.cumsum(size) - size
             self.pool = np.concatenate((self.pool, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))))
-            order = np.argsort(np.concatenate((self.h1, k1[new])), kind="stable")
-            self.h1, self.h2, self.at, self.size = (np.concatenate(x)[order] for x in ((self.h1, k1[new]), (self.h2, k2[new]), (self.at, at), (self.size, size)))
+            where = np.searchsorted(self.h1, k1[new])  # k1 is ascending, so the words stay in order
+            self.h1, self.h2 = np.insert(self.h1, where, k1[new]), np.insert(self.h2, where, k2[new])
+            self.at, self.size = np.insert(self.at, where, at.astype(np.uint32)), np.insert(self.size, where, size.astype(np.uint32))
         i = self._find(k1, k2)
         if (i < 0).any():  # only where hashes clash; encode those words directly
             got = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
             size = np.array([len(x) for x in got], np.int64)
             pool, at = np.fromiter((x for y in got for x in y), np.uint32, int(size.sum())), np.cumsum(size) - size
         else:
-            pool, at, size = self.pool, self.at[i], self.size[i]
+            pool, at, size = self.pool, self.at[i].astype(np.int64), self.size[i].astype(np.int64)
         size, at = size[back], at[back]
         before = np.cumsum(size) - size
         return pool[np.arange(int(size.sum())) + np.repeat(at - before, size)], size
@@ -237,7 +238,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int = END
     docs = documents.select("doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = docs.mapInArrow(_pack(tokenizer, end, shard_tokens), "part int, seq int, start long, doc_ids array<bigint>, sizes array<bigint>, codes binary")
+    shards = docs.mapInArrow(X.task(_pack(tokenizer, end, shard_tokens)), "part int, seq int, start long, doc_ids array<bigint>, sizes array<bigint>, codes binary")
     shards.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
@@ -266,7 +267,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         base.append((part, before))
         before += n
     bases = spark.createDataFrame(base, "part int, base long")
-    docs = shards.select("part", "start", "doc_ids", "sizes", "codes").mapInArrow(_unpack, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "start", "doc_ids", "sizes", "codes").mapInArrow(X.task(_unpack), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -280,4 +281,4 @@ def token_at(spark: SparkSession, path: str, places: list[tuple[int, int, int]])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 4, names=["part", "seq", "place", "id"])
 
     asked = want.groupBy("part", "seq").agg(F.collect_list("place").alias("places"))
-    return spark.read.parquet(path).join(asked, ["part", "seq"]).select("part", "seq", "places", "codes").mapInArrow(pick, "part long, seq long, place long, id long")
+    return spark.read.parquet(path).join(asked, ["part", "seq"]).select("part", "seq", "places", "codes").mapInArrow(X.task(pick), "part long, seq long, place long, id long")
