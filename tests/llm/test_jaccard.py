@@ -56,13 +56,23 @@ def test_links(spark, seed, sim, more):
 def test_overgrown_bucket(spark, monkeypatch):
     rows = corpus(9, 80)
     sim = S.Similarity(3, 9, 10)
-    blob = lambda part: list(J._sign(sim, 1)(iter([pa.RecordBatch.from_pydict({"text": [t for _, t in part]})])))
+
+    def blob(part):
+        ids = pa.array(range(len(part)), pa.int64())
+        rows = pa.RecordBatch.from_pydict({"doc_id": ids, "text_key": ids, "text": pa.array([t for _, t in part])})
+        return [b for b in J._shingled(sim, 1)(iter([rows])) if b["blob"].null_count == 0]
+
     whole = list(J._meet(iter(blob(rows))))
     monkeypatch.setattr(J, "HELD_ROWS", 300)
     parts = [b for i in range(0, len(rows), 10) for b in blob(rows[i : i + 10])]
-    loose = pa.Table.from_batches(list(J._meet(iter(parts)))).to_pandas().drop_duplicates()
+    loose = pa.Table.from_batches(list(J._meet(iter(parts)))).to_pandas()
+    assert loose["n"].isna().any()
+    loose = loose.drop(columns="n").drop_duplicates()
+    assert len(loose) == len(loose.drop_duplicates(["sig", "node"]))
     loose = loose[loose.groupby("sig")["node"].transform("size") > 1]
     shared = pa.Table.from_batches(whole).to_pandas()
+    assert (shared["n"] == shared.groupby("sig")["node"].transform("size")).all()
+    shared = shared.drop(columns="n")
     assert set(map(tuple, loose.to_numpy())) == set(map(tuple, shared.to_numpy()))
 
 
@@ -86,3 +96,22 @@ def test_components(spark):
 
 def test_empty(spark):
     assert J.link_documents(spark.createDataFrame([], "doc_id long, text string"), S.Similarity(3, 9, 10)).collect() == []
+
+
+def test_linked_sets_meet_in_what_they_keep():
+    """Each linked pair shares a signature that neither leaves out, whichever order they are left out in."""
+    rows, r = corpus(11, 120), np.random.default_rng(1)
+    for sim in (S.Similarity(3, 9, 10), S.Similarity(5, 4, 5)):
+        v, first = S.shingles(pa.array([t for _, t in rows]), sim.words)
+        doc, sig, unit, spare = S.signatures(sim, v, first)
+        size, kept = np.diff(first), [set() for _ in rows]
+        rank = {s: k for k, s in enumerate(r.permutation(np.unique(sig)).tolist())}
+        for d in range(len(rows)):
+            for u in np.unique(unit[doc == d]):
+                mine = (doc == d) & (unit == u)
+                order = sorted(sig[mine].tolist(), key=rank.get)
+                kept[d].update(order[: len(order) - int(spare[mine][0])])
+        sets = [set(v[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+        links = [(a, b) for a in range(len(rows)) for b in range(a) if size[a] and sim.den * len(sets[a] & sets[b]) >= sim.num * len(sets[a] | sets[b])]
+        assert len(links) > 100 and all(kept[a] & kept[b] for a, b in links)
+        assert spare.max() > 0

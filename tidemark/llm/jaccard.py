@@ -1,10 +1,11 @@
 """N-gram Jaccard join of all documents with count-vector R-trees.
 
-Every text becomes a set of shingle hashes, and equal sets are one node. Sets that can link meet by group signatures (see
-sets.signatures). Each meeting then is an index of count vectors: shingles fall into GROUPS groups, the counts are a point,
-and the overlap of two sets is at most the sum of the coordinates' minima. Points are packed by size into leaves of an
-R-tree; the bound of two leaves, by their upper corners, discards pairs of leaves, and the bound of points discards most
-pairs. What is left is verified on the sets themselves.
+Every text becomes a set of shingle hashes, and equal sets (keys of 128 bits) are one node. Sets that can link meet by group
+signatures (see sets.signatures). Signatures that very many sets share are left out where a set can spare them: each linked pair
+shares another one. Each meeting then is an index of count vectors: shingles fall into GROUPS groups, the counts are a point, and
+the overlap of two sets is at most the sum of the coordinates' minima. Points are packed by size and by the coordinate that varies
+most into an R-tree; bounds by the upper corners of two tree nodes discard all pairs below them, and the bound of points discards
+most pairs. What is left is verified on the sets themselves.
 
 To find components without all pairs of a dense group, a first pass verifies one pair for each point that isn't the first
 of its neighbourhood; a second pass takes every surviving pair that the links so far don't already connect. Together no link
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import sets as S
@@ -33,121 +35,161 @@ BUCKET_ROWS = 300_000
 HELD_ROWS = 4_000_000
 
 
-def _nodes(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in X.blocks(batches, "text"):
-            v, first = S.shingles(t["text"], sim.words)
-            size = np.diff(first)
-            node = S.set_keys(v, first)[0]
-            yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks(), t["text_key"].combine_chunks(), pa.array(size, pa.int64()), pa.array(node, mask=size == 0)],
-                names=["doc_id", "text_key", "n_shingles", "node"],
-            )
+SHINGLED = "doc_id long, text_key long, n_shingles long, node binary, bucket long, blob binary"
+_SHINGLED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
-    return run
 
+def _shingled(sim: S.Similarity, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each text, its set's key as node; and the signatures of a block's sets, one packed row a bucket. A set signs once a block."""
 
-def _sign(sim: S.Similarity, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Signatures of each block's sets by bucket: one packed row a block and bucket. A set goes out once a block."""
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _SHINGLED], schema=_SHINGLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for t in X.blocks(batches, "text"):
             v, first = S.shingles(t["text"], sim.words)
-            size, node = np.diff(first), S.set_keys(v, first)[0]
-            _, one = np.unique(node, return_index=True)
+            size, node = np.diff(first), S.set_keys(v, first)
+            yield batch(len(size), doc_id=t["doc_id"].combine_chunks(), text_key=t["text_key"].combine_chunks(), n_shingles=pa.array(size, pa.int64()), node=S.as_binary(node, size == 0))
+            _, one = np.unique(node, axis=0, return_index=True)
             one = one[size[one] > 0]
             n = size[one]
             values = v[np.arange(int(n.sum())) + np.repeat(first[one] - (np.cumsum(n) - n), n)]
-            doc, sig = S.signatures(sim, values, np.concatenate(([0], np.cumsum(n))))
+            doc, sig, unit, spare = S.signatures(sim, values, np.concatenate(([0], np.cumsum(n))))
             bucket = (sig.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((sig, bucket))
-            doc, sig, bucket = doc[order], sig[order], bucket[order]
+            doc, sig, unit, spare, bucket = (x[order] for x in (doc, sig, unit, spare, bucket))
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             out_b, out = [], []
             for i, j in zip(cuts, [*cuts[1:], len(doc)], strict=True):
                 used, back = np.unique(doc[i:j], return_inverse=True)
-                raw = node[one[used]].tobytes() + back.astype(np.uint32).tobytes() + sig[i:j].tobytes()
+                raw = node[one[used]].tobytes() + back.astype(np.uint32).tobytes() + sig[i:j].tobytes() + unit[i:j].astype(np.uint16).tobytes() + np.minimum(spare[i:j], 255).astype(np.uint8).tobytes()
                 out_b.append(int(bucket[i]))
                 out.append(struct.pack("<qq", len(used), j - i) + pack.compress(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "blob"])
+            if out:
+                yield batch(len(out), bucket=pa.array(out_b, pa.int64()), blob=pa.array(out, pa.binary()))
 
     return run
 
 
+MET = "sig long, node binary, unit int, spare int, n int"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node) of the signatures that two nodes share; of a bucket that outgrows HELD_ROWS all rows, for Spark to group."""
+    """(sig, node, unit, spare, n) of the signatures that n nodes share, two at least; of a bucket that outgrows HELD_ROWS all rows, n null,
+    for Spark to group."""
     unpack = zstandard.ZstdDecompressor()
-    now, sigs, nodes, held, whole = None, [], [], 0, True
-
-    def compact(only_shared: bool) -> tuple[np.ndarray, np.ndarray]:
-        s, d = np.concatenate(sigs), np.concatenate(nodes)
-        order = np.lexsort((d, s))
-        s, d = s[order], d[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-        s, d = s[new], d[new]
+    kind = np.dtype([("sig", np.int64), ("n1", np.uint64), ("n2", np.uint64), ("unit", np.uint16), ("spare", np.uint8)])
+    now, rows, held, whole = None, [], 0, True
+
+    def compact(only_shared: bool) -> np.ndarray:
+        r = np.concatenate(rows)
+        r = r[np.lexsort((r["n2"], r["n1"], r["sig"]))]
+        new = np.ones(len(r), bool)
+        new[1:] = (r["sig"][1:] != r["sig"][:-1]) | (r["n1"][1:] != r["n1"][:-1]) | (r["n2"][1:] != r["n2"][:-1])
+        r = r[new]
         if only_shared:
-            more = np.zeros(len(s), bool)
-            same = s[1:] == s[:-1]
-            more[1:] |= same
-            more[:-1] |= same
-            s, d = s[more], d[more]
-        return s, d
-
-    def out(s: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(s), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(s[i : i + 200_000]), pa.array(d[i : i + 200_000])], names=["sig", "node"])
+            same = np.concatenate(([False], r["sig"][1:] == r["sig"][:-1], [False]))
+            r = r[same[1:] | same[:-1]]
+        return r
+
+    def out(r: np.ndarray, all_there: bool) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.concatenate(([True], r["sig"][1:] != r["sig"][:-1], [True])))
+        n = np.repeat(np.diff(cuts), np.diff(cuts)).astype(np.int32) if len(r) else np.empty(0, np.int32)
+        for i in range(0, len(r), 100_000):
+            x = r[i : i + 100_000]
+            many = pa.array(n[i : i + 100_000]) if all_there else pa.nulls(len(x), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x["sig"].copy()), S.as_binary(np.stack((x["n1"], x["n2"]), 1)), pa.array(x["unit"].astype(np.int32)), pa.array(x["spare"].astype(np.int32)), many], names=["sig", "node", "unit", "spare", "n"])
 
     for batch in batches:
         for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"], strict=True):
             if bucket != now:
                 if held:
-                    yield from out(*compact(whole))
-                now, sigs, nodes, held, whole = bucket, [], [], 0, True
+                    yield from out(compact(whole), whole)
+                now, rows, held, whole = bucket, [], 0, True
             b = blob.as_buffer().to_pybytes()
             k, n = struct.unpack_from("<qq", b)
-            raw = unpack.decompress(b[16:], max_output_size=8 * k + 12 * n)
-            own, back = np.frombuffer(raw, np.int64, k), np.frombuffer(raw, np.uint32, n, 8 * k)
-            sigs.append(np.frombuffer(raw[8 * k + 4 * n :], np.int64))
-            nodes.append(own[back])
+            raw = unpack.decompress(b[16:], max_output_size=16 * k + 15 * n)
+            own, back = np.frombuffer(raw, np.uint64, 2 * k).reshape(-1, 2), np.frombuffer(raw, np.uint32, n, 16 * k)
+            r = np.empty(n, kind)
+            r["n1"], r["n2"] = own[back].T
+            r["sig"], r["unit"], r["spare"] = np.frombuffer(raw, np.int64, n, 16 * k + 4 * n), np.frombuffer(raw, np.uint16, n, 16 * k + 12 * n), np.frombuffer(raw, np.uint8, n, 16 * k + 14 * n)
+            rows.append(r)
             held += n
             if held > HELD_ROWS:
-                s, d = compact(False)
-                sigs, nodes, held = [s], [d], len(s)
+                rows = [compact(False)]
+                held = len(rows[0])
                 if held > HELD_ROWS // 2:
-                    yield from out(s, d)
-                    sigs, nodes, held, whole = [], [], 0, False
+                    yield from out(rows[0], False)
+                    rows, held, whole = [], 0, False
     if held:
-        yield from out(*compact(whole))
+        yield from out(compact(whole), whole)
+
+
+def _met(signed: DataFrame, meeting: int) -> DataFrame:
+    """(sig, node, blocks) of the meetings of two nodes or more, without those that their sets can spare."""
+    met = X.written(signed.mapInArrow(X.task(_meet), MET))
+    left = met.filter("n IS NULL").drop("n")
+    if not left.isEmpty():
+        left = X.written(left.distinct())
+        met = met.filter("n IS NOT NULL").unionByName(left.join(left.groupBy("sig").agg(F.count("*").cast("int").alias("n")).filter("n > 1"), "sig"))
+    # of each deal a set leaves out the largest of its meetings, as many as it can spare; large meetings hold most pairs
+    rank = F.row_number().over(W.partitionBy("node", "unit").orderBy(F.desc("n"), "sig"))
+    met = X.written(met.withColumn("rank", rank).filter("rank > spare").select("sig", "node"))
+    count = met.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    return X.written(met.join(count, "sig").select("sig", "node", F.ceil(F.col("n") / meeting).cast("long").alias("blocks")))
+
+
+def _pairs_below(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs a <= b of children of the tree nodes i and j; a node has LEAF children, the last of n perhaps fewer."""
+    a = (i[:, None, None] * LEAF + np.arange(LEAF)[None, :, None]) + np.zeros((1, 1, LEAF), np.int64)
+    b = (j[:, None, None] * LEAF + np.arange(LEAF)[None, None, :]) + np.zeros((1, LEAF, 1), np.int64)
+    a, b = a.ravel(), b.ravel()
+    keep = (a < n) & (b < n) & (a <= b)
+    return a[keep], b[keep]
 
 
 def surviving(sim: S.Similarity, size: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) whose bound on the overlap is enough for a link, by an R-tree of leaves packed by size."""
-    order = np.argsort(size, kind="stable")
-    size, c = size[order], c[order]
+    """Pairs (i < j) whose bound on the overlap is enough for a link, by descending pairs of an R-tree's nodes from its root."""
     n = len(size)
-    at = np.arange(0, n, LEAF)
-    high, least = np.maximum.reduceat(c, at), size[at]
-    most = np.maximum.reduceat(size, at)
-    out_i, out_j = [], []
-    for k in range(len(at)):
-        # leaves from k on whose sizes and upper corners allow a link
-        ok = np.flatnonzero(most[k] * sim.den >= least[k:] * sim.num) + k
-        if len(ok) > 1:
-            ok = ok[np.minimum(high[k], high[ok]).sum(1) >= sim.need(least[k], least[ok])]
-        a = slice(at[k], min(at[k] + LEAF, n))
-        for m in ok:
-            b = slice(at[m], min(at[m] + LEAF, n))
-            bound = np.minimum(c[a, None], c[None, b]).sum(2)
-            i, j = np.nonzero(bound >= sim.need(size[a, None], size[None, b]))
-            i, j = i + at[k], j + at[m]
-            keep = i < j
-            out_i.append(i[keep])
-            out_j.append(j[keep])
-    if not out_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = order[np.concatenate(out_i)], order[np.concatenate(out_j)]
+    order = np.argsort(size, kind="stable")
+    slices = max(1, int(np.sqrt(n / LEAF)))  # sort, tile: slices by size, ordered within by the coordinate that varies most
+    if slices > 1:
+        by = c[:, int(c.var(0).argmax())]
+        order = order[np.lexsort((by[order], np.arange(n) * slices // n))]
+    # levels from the points up: upper corner, least and largest size
+    levels = [(c[order], size[order], size[order])]
+    while len(levels[-1][1]) > LEAF:
+        high, least, most = levels[-1]
+        at = np.arange(0, len(least), LEAF)
+        levels.append((np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
+
+    def enough(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        high, least, most = levels[level]
+        fits = (most[a] * sim.den >= least[b] * sim.num) & (most[b] * sim.den >= least[a] * sim.num)
+        a, b = a[fits], b[fits]
+        keep = np.zeros(len(a), bool)
+        for k in range(0, len(a), 8192):
+            x, y = a[k : k + 8192], b[k : k + 8192]
+            keep[k : k + 8192] = np.minimum(high[x], high[y]).sum(1) >= sim.need(least[x], least[y])
+        fits[fits] = keep
+        return fits
+
+    top = np.arange(len(levels[-1][1]))
+    work = [(len(levels) - 1, np.repeat(top, len(top)), np.tile(top, len(top)))]
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    while work:  # depth first, in pieces, so that few pairs are open at a time
+        level, a, b = work.pop()
+        keep = a < b if not level else a <= b
+        a, b = a[keep], b[keep]
+        keep = enough(level, a, b)
+        a, b = a[keep], b[keep]
+        if not level:
+            out.append((a, b))
+            continue
+        for k in range(0, len(a), 256):
+            work.append((level - 1, *_pairs_below(a[k : k + 256], b[k : k + 256], len(levels[level - 1][1]))))
+    i, j = (order[np.concatenate(x)] for x in zip(*out, strict=True))
     return np.minimum(i, j), np.maximum(i, j)
 
 
@@ -177,14 +219,21 @@ def _points(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pass(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b): for each point with a surviving pair, the pair with the first of its neighbourhood; (a, null): a has any."""
+    """(a, b): for each point with a surviving pair, the pair with the first of its neighbourhood; (a, null): a has one, but is in no
+    such pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[int, int | None]] = set()
-
-        def out() -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        pairs: set[tuple[bytes, bytes]] = set()
+        others: set[bytes] = set()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            others.difference_update({x for pair in pairs for x in pair})
+            rows = [*pairs, *((a, None) for a in others)]
+            for k in range(0, len(rows), 50_000):
+                a, b = zip(*rows[k : k + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            pairs.clear()
+            others.clear()
 
         for t in _groups(batches, ["sig", "block"]):
             if t.num_rows < 2:
@@ -192,8 +241,8 @@ def _first_pass(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Itera
             i, j = surviving(sim, *_points(t))
             if not len(i):
                 continue
-            node = t["node"].to_numpy()
-            pairs.update((int(x), None) for x in node[np.unique(np.concatenate((i, j)))])
+            node = t["node"].to_pylist()
+            others.update(node[x] for x in np.unique(np.concatenate((i, j))).tolist())
             led = np.zeros(t.num_rows, bool)
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
@@ -203,13 +252,11 @@ def _first_pass(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     continue
                 free = j[s:e][~led[j[s:e]]]
                 led[free] = True
-                a = int(node[i[s]])
-                pairs.update((min(a, b), max(a, b)) for b in node[free].tolist())
+                a = node[i[s]]
+                pairs.update((min(a, node[x]), max(a, node[x])) for x in free.tolist())
             if len(pairs) > 100_000:
-                yield out()
-                pairs.clear()
-        if pairs:
-            yield out()
+                yield from out()
+        yield from out()
 
     return run
 
@@ -219,17 +266,16 @@ def _second_pass(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["sig", "block"]):
-            label = t["label"].to_numpy()
+            label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
             if t.num_rows < 2 or (label == label[0]).all():
                 continue
             i, j = surviving(sim, *_points(t))
-            node = t["node"].to_numpy()
+            node = t["node"].to_pylist()
             apart = label[i] != label[j]
-            a, b = node[i[apart]], node[j[apart]]
-            if len(a):
-                pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-                for k in range(0, len(pairs), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 200_000, 0]), pa.array(pairs[k : k + 200_000, 1])], names=["a", "b"])
+            pairs = sorted({(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True)})
+            for k in range(0, len(pairs), 200_000):
+                a, b = zip(*pairs[k : k + 200_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -263,37 +309,36 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     null for documents without words.
     Documents without words (null or empty texts) link with nothing and are their own component; a text of fewer words than a
     shingle is one shingle. Equal sets always link. A null doc_id never becomes a component_id while its component holds another.
-    Further columns are ignored; an empty table gives an empty result. Shingles are compared by hashes of 64 bits.
+    Further columns are ignored; an empty table gives an empty result. Shingles are compared by hashes of 64 bits, whole sets by 128.
     """
     docs = X.keyed(documents)
     spark = docs.sparkSession
-    nodes = X.written(docs.mapInArrow(_nodes(sim), "doc_id long, text_key long, n_shingles long, node long"))
-    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    # words are some six bytes, and a word starts a shingle at most
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     n_buckets = max(1, round(total * 2.2 * (sim.den - sim.num) / (sim.den + sim.num) / bucket_rows))
     parts = min(n_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16))
-    signed = docs.mapInArrow(_sign(sim, n_buckets), "bucket long, blob binary")
-    met = X.written(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "sig long, node long"))
-    met = met.distinct()
-    count = met.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / meeting).cast("long"))
-    met = X.written(met.join(count, "sig").select("sig", "node", "blocks"))
+    shingled = X.written(docs.mapInArrow(X.task(_shingled(sim, n_buckets)), SHINGLED))
+    nodes = shingled.filter("blob IS NULL").select("doc_id", "text_key", "n_shingles", "node")
+    signed = shingled.filter("blob IS NOT NULL").select("bucket", "blob")
+    met = _met(signed.repartition(parts, "bucket").sortWithinPartitions("bucket"), meeting)
     # one document stands for each node that meets another
     stands = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("node", "d.doc_id", "d.text_key")
     stands = stands.join(met.select("node").distinct(), "node", "left_semi")
     texts = docs.join(stands, X.same_row(docs, stands)).select(stands["node"], docs["text"]).dropDuplicates(["node"])
-    points = X.written(texts.mapInArrow(_points_and_sets(sim), "node long, size long, vec binary, shingles array<bigint>"))
+    points = X.written(texts.mapInArrow(X.task(_points_and_sets(sim)), "node binary, size long, vec binary, shingles array<bigint>"))
     vectors = points.select("node", "size", "vec")
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = met.withColumn("block", own).join(vectors, "node").select("sig", "node", "block", "size", "vec")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = dealt.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(_first_pass(sim), "a long, b long").distinct()
+    first = dealt.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(X.task(_first_pass(sim)), "a binary, b binary").distinct()
     first = X.written(first)
     pairs = first.filter("b IS NOT NULL")
     links = X.written(_verified(sim, pairs, points.select("node", "shingles")))
     labels = components(links)
 
     # nodes with a surviving pair, and all nodes of meetings that were only compared within their blocks
-    open_ = first.select(F.col("a").alias("node")).union(met.filter("blocks > 1").select("node")).distinct()
+    open_ = first.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.filter("blocks > 1").select("node")).distinct()
     rows = met.join(open_, "node", "left_semi")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = rows.groupBy("sig").agg((F.min("label") != F.max("label")).alias("apart")).filter("apart").select("sig")
@@ -301,7 +346,7 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("k", k).withColumn("block", F.least("own", "k") * F.col("blocks") + F.greatest("own", "k"))
     rows = rows.join(vectors, "node").select("sig", "node", "block", "label", "size", "vec")
-    second = rows.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(_second_pass(sim), "a long, b long").distinct()
+    second = rows.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(X.task(_second_pass(sim)), "a binary, b binary").distinct()
     second = X.written(second.join(pairs, ["a", "b"], "left_anti"))
     more = X.written(_verified(sim, second, points.select("node", "shingles")))
     if not more.isEmpty():

@@ -16,6 +16,8 @@ from tidemark.llm import textops as X
 #: Ratio of the sizes that one band spans; a set near the top of its band joins the next band too.
 BAND = 1.4
 GROUPS = 128
+#: Groups that most sets fill beyond those that they must, so that as many signatures that very many sets share can be left out.
+SPARE = 2
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,7 @@ class Similarity:
             return 1
         least = max(1.0, BAND**band * self.num / self.den)
         p = apart + 2
-        while p < 4 * least and p * (1 - np.exp(-least / p)) - 2 * np.sqrt(p * np.exp(-least / p)) < apart + 1:
+        while p < 4 * least and p * (1 - np.exp(-least / p)) - 2 * np.sqrt(p * np.exp(-least / p)) < apart + SPARE + 1:
             p += 1 + p // 50
         return p
 
@@ -70,13 +72,26 @@ def shingles(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray
     return v[new], np.searchsorted(d[new], np.arange(len(n) + 1))
 
 
-def set_keys(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set; an empty set has 0."""
+def set_keys(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A key of 128 bits for each set, as two columns: sums of two unlike hashes of its shingles."""
     out = []
     for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         s = np.concatenate((np.zeros(1, np.uint64), np.cumsum(X.mix(v ^ np.uint64(c)))))
-        out.append(X.mix(s[first[1:]] - s[first[:-1]]).view(np.int64))
-    return out[0], out[1]
+        out.append(X.mix(s[first[1:]] - s[first[:-1]]))
+    return np.stack(out, 1)
+
+
+def as_binary(keys: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    """Keys (n, 2) as a binary column of 16 bytes each, null where none."""
+    off = pa.py_buffer((np.arange(len(keys) + 1) * 16).astype(np.int32).tobytes())
+    valid = None if none is None else pa.py_buffer(np.packbits(~none, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(keys), [valid, off, pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+
+
+def from_binary(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The keys of a binary column without nulls."""
+    raw = b"".join(x.as_py() for x in column)
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
 def count_vectors(v: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -96,16 +111,19 @@ def bands(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
 
 
-def signatures(sim: Similarity, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) for each group of each set, in its band and, if a linked set can be in the next, in that one.
+def signatures(sim: Similarity, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, deal, spare) for each group of each set, in its band and, if a linked set can be in the next, in that one.
 
     With more groups than differences some group has none, but only one that isn't empty tells so. A set that has more filled groups than differences shares one
     with every linked set that is dealt likewise; one that has not is dealt again by another hash, and so on until it has. As a set gives the signatures of all its
     deals up to that one, any linked pair meets in the deal that serves the one that needed fewer.
+
+    A linked pair differs in so many filled groups of a deal at most, whichever they are. So of all signatures of the deal in any fixed order, it shares one that is
+    not among the last spare of either set: spare is the number of filled groups beyond the differences and one.
     """
     size = np.diff(first)
     own = bands(size)
-    out_doc, out_sig = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 4]
     for up in (0, 1):
         band = own + up
         use = (size > 0) & (bands(size * sim.den // sim.num) > own) if up else size > 0
@@ -125,9 +143,10 @@ def signatures(sim: Similarity, v: np.ndarray, first: np.ndarray) -> tuple[np.nd
             slot = slot[cut]  # the filled groups
             doc = np.searchsorted(base, slot, side="right") - 1
             place = ((band[docs] * 64 + deal) << 32)[doc] + slot - base[doc]
-            out_doc.append(docs[doc])
-            out_sig.append(X.mix(total + X.mix(place.astype(np.uint64))).view(np.int64))
             filled = np.bincount(doc, minlength=len(docs))
+            spare = np.maximum(0, filled - apart[docs] - 1)[doc]
+            out.append([docs[doc], X.mix(total + X.mix(place.astype(np.uint64))).view(np.int64), place >> 32, spare])
             use[docs[filled > apart[docs]]] = False
             deal += 1
-    return np.concatenate(out_doc), np.concatenate(out_sig)
+    doc, sig, unit, spare = (np.concatenate(x) for x in zip(*out, strict=True))
+    return doc, sig, unit, spare
