@@ -84,7 +84,7 @@ def test_coded_digits_group_as_bytes_do(length, monkeypatch):
     rng = np.random.default_rng(length)
     base = rng.integers(97, 99, 2500).astype(np.uint8)
     data = np.concatenate([base[a : a + 900] for a in rng.integers(0, 1600, 12)] + [np.full(1000, 97, np.uint8)])
-    pos = np.arange(len(data) - length + 1)
+    at, pos = np.arange(len(data)), np.arange(len(data) - length + 1)
     w = R.Windows(length, 48, False)
     windows = [data[i : i + length].tobytes() for i in pos]
     times = Counter(windows)
@@ -99,7 +99,54 @@ def test_coded_digits_group_as_bytes_do(length, monkeypatch):
         return {i for i, g in enumerate(group.tolist()) if g >= 0}
 
     want = {i for i, x in enumerate(windows) if times[x] > 1}
-    assert sets_of(R._by_radix(w, data, pos, pos + 1, pos)) == want
+    assert sets_of(R._by_radix(w, data, at, at + 1, pos)) == want
     # codes that tell nothing apart are found out, and the bytes decide
     monkeypatch.setattr(R, "_codes", lambda data: np.zeros(len(data), np.uint64))
-    assert sets_of(R._by_radix(w, data, pos, pos + 1, pos)) == want
+    assert sets_of(R._by_radix(w, data, at, at + 1, pos)) == want
+
+
+def hot_corpus(seed, n=90):
+    """A line that all texts hold, a passage that a third of them hold, and copies."""
+    r = random.Random(seed)
+    text = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    line, passage = text(180), text(900)
+    rows = [(None, None), (1, ""), (1, "short")]
+    for i in range(n):
+        rows.append((10 + i, text(r.randrange(700)) + line + text(r.randrange(700)) + (passage[r.randrange(300) :] if i % 3 == 0 else "")))
+        if i % 10 == 0:
+            rows.append((r.choice([None, 10 + i, 5000 + i]), rows[-1][1]))
+    return rows
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_overgrown_buckets(spark, levels):
+    """One bucket for all, read in many chunks: windows go on through every level, and what is left by digest."""
+    rows = hot_corpus(levels)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = {"bucket_bytes": 1 << 30, "chunk_bytes": 3000, "levels": levels}
+    got = R.suffix_dedup(df, 400, 48, **sizes).select("doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 400)
+    words = [(i, t and " ".join(t[j : j + 3] for j in range(0, len(t), 3))) for i, t in rows]
+    got = R.substring_dedup(spark.createDataFrame(words, "doc_id long, text string").repartition(6), 35, 6, **sizes)
+    assert Counter(map(tuple, got.select("doc_id", "n_tokens", "n_removed", "kept_sha256").collect())) == brute_words(words, 35)
+
+
+@pytest.mark.parametrize("label", [R._by_hash, R._by_radix])
+def test_a_lone_window_is_alone(label):
+    data = np.frombuffer(b"abcdefghij " * 50, np.uint8)
+    at = np.arange(len(data))
+    for length in (5, 200):
+        assert label(R.Windows(length, 4, False), data, at, at + 1, np.array([3])).tolist() == [-1]
+        assert label(R.Windows(length, 4, False), data, at, at + 1, np.empty(0, np.int64)).tolist() == []
+
+
+def test_clashing_hashes_of_words(monkeypatch):
+    """With hashes that tell nothing apart the words decide."""
+    monkeypatch.setattr(R.X, "spans", lambda pre, start, end: np.zeros(len(start), np.uint64))
+    words = "a b c a b c d e f a b c x y".split()
+    data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+    starts, ends, _ = R.X.words(data, np.array([0, len(data)]))
+    got = R._by_hash(R.Windows(3, 2, True), data, starts, ends, np.arange(12)).tolist()
+    windows = [tuple(words[i : i + 3]) for i in range(12)]
+    assert [g >= 0 for g in got] == [windows.count(x) > 1 for x in windows]
+    assert all((got[i] == got[j]) == (windows[i] == windows[j]) for i in range(12) for j in range(12) if got[i] >= 0 and got[j] >= 0)

@@ -4,11 +4,13 @@ Both operators deal windows to buckets by minimiser: the least hash of the short
 equal have equal minimisers, so equal windows meet in one bucket, and consecutive windows that share their minimiser
 travel as one packed string, about three times the text in all. Each map task first compares the windows of a block
 among themselves and sends one of each, marked when it was repeated, so that a passage that a third of the documents
-share reaches its bucket once a block. A bucket that still outgrows CHUNK_BYTES is read in chunks; what a chunk can't
-decide alone goes on as (hash, place) rows, which Spark groups by hash.
+share reaches its bucket once a block. A bucket that still outgrows CHUNK_BYTES is read in chunks; the windows that a chunk
+can't decide alone, one of each, are dealt again in the same form, by minimisers of another order of the grams and to many
+more buckets. What outgrows its bucket LEVELS times goes on as rows of (digest of the window, place), which Spark groups.
 
-The two operators differ in how they find equal windows: `substring` sorts the windows of a bucket by hash (two hashes of
-64 bits), `suffix` orders suffixes by most-significant-digit radix passes and drops a suffix once it is alone.
+The two operators differ in how they find equal windows: `substring` sorts the windows of a bucket by hash, `suffix` orders
+suffixes by most-significant-digit radix passes and drops a suffix once it is alone. Both then hold the groups against the
+tokens themselves.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ BLOCK_WORDS, BLOCK_BYTES = 3 << 20, 1 << 20
 SHUFFLED = "bucket long, kind int, doc_id long, text_key long, h1 long, h2 long, start int, stop int, dup boolean, blob binary"
 SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("dup", pa.bool_()), ("blob", pa.binary())])
 BLOB, SPAN, LOOSE = 0, 1, 2
+#: How often a bucket that outgrew its chunk is dealt again, and to how many times as many buckets.
+LEVELS, SPREAD = 3, 16
 #: Bytes of a radix digit where windows are long.
 CODED = 80
 
@@ -74,7 +79,8 @@ def _values(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
 
 
 def _by_hash(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A label for each window position: equal for equal windows, -1 for a window that is alone. Sorts by two hashes."""
+    """A label for each window position: equal for equal windows, -1 for a window that is alone. Sorts by two hashes of 64
+    bits; the groups are then held against the words, and where hashes clash, the words decide."""
     h = [X.spans(X.prefix(_values(w, data, starts, ends, t)), pos, pos + w.length) for t in (0, 1)]
     order = np.lexsort((h[1], h[0]))
     new = np.ones(len(pos), bool)
@@ -83,6 +89,12 @@ def _by_hash(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     group[np.bincount(group)[group] < 2] = -1
     out = np.empty(len(pos), np.int64)
     out[order] = group
+    if _agree(data, starts, ends, pos, out, w.length):
+        return out
+    texts: dict[bytes, int] = {}
+    some = np.flatnonzero(out >= 0)
+    out[some] = [texts.setdefault(data[a:b].tobytes(), len(texts)) for a, b in zip(starts[pos[some]].tolist(), ends[pos[some] + w.length - 1].tolist(), strict=True)]
+    out[some[np.bincount(out[some])[out[some]] < 2]] = -1
     return out
 
 
@@ -99,6 +111,8 @@ def _radix_passes(digit: Callable[[np.ndarray], np.ndarray], depths: list[int],
 
     A group whose suffixes agree in a digit needs no sorting in that pass; a suffix that is alone leaves.
     """
+    if len(pos) < 2:
+        return np.full(len(pos), -1, np.int64)
     at, group = np.arange(len(pos), dtype=np.int32), np.zeros(len(pos), np.int32)
     for depth in depths:
         if not len(at):
@@ -126,7 +140,7 @@ def _radix_passes(digit: Callable[[np.ndarray], np.ndarray], depths: list[int],
     return out
 
 
-def _agree(data: np.ndarray, pos: np.ndarray, group: np.ndarray, length: int) -> bool:
+def _agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pos: np.ndarray, group: np.ndarray, length: int) -> bool:
     """Does every window of a group equal the group's first byte by byte? Neighbours with one distance to it are read together."""
     i = np.flatnonzero(group >= 0)
     order = i[np.lexsort((pos[i], group[i]))]
@@ -134,14 +148,20 @@ def _agree(data: np.ndarray, pos: np.ndarray, group: np.ndarray, length: int) ->
     p, back = pos[order], np.repeat(pos[order[lead]], np.diff(np.append(lead, len(order))))
     far = p != back
     p, back = p[far], back[far]
+    if not len(p):
+        return True
     order = np.argsort(p, kind="stable")
     p, back = p[order], back[order]
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1] + 1) | (back[1:] != back[:-1] + 1)
     a = np.flatnonzero(new)
-    n = np.diff(np.append(a, len(p))) + length - 1
+    z = np.append(a[1:], len(p)) - 1
+    one, two = starts[p[a]], starts[back[a]]
+    n = ends[p[z] + length - 1] - one
+    if (n != ends[back[z] + length - 1] - two).any():
+        return False
     for lo, hi in _pieces(n, 1 << 21):
-        i, j = _explode(p[a[lo:hi]], n[lo:hi]), _explode(back[a[lo:hi]], n[lo:hi])
+        i, j = _explode(one[lo:hi], n[lo:hi]), _explode(two[lo:hi], n[lo:hi])
         if (data[i] != data[j]).any():
             return False
     return True
@@ -165,7 +185,7 @@ def _by_radix(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
         codes = _codes(data)
         out = _radix_passes(lambda at: codes[at], [*range(0, w.length - CODED, CODED), w.length - CODED], pos)
         del codes
-        if _agree(data, pos, out, w.length):
+        if _agree(data, starts, ends, pos, out, w.length):
             return out
     digits = np.zeros(len(data), np.uint64)
     for k in range(8):
@@ -196,36 +216,76 @@ def _spans_of(hit: np.ndarray, run: np.ndarray, start: np.ndarray) -> tuple[np.n
     return i[a], start[i[a]], start[i[b]]
 
 
+@dataclass
+class Placed:
+    """Windows by the token of data that they start at, the text (or run) that each is of, its first token's number there, and what
+    is known of it (mark): 0 nothing, 1 repeated, 2 not to be sent. ids, nulls and keys name the texts."""
+
+    win: np.ndarray
+    of: np.ndarray
+    place: np.ndarray
+    mark: np.ndarray
+    ids: np.ndarray
+    nulls: np.ndarray
+    keys: np.ndarray
+
+
+def _orders(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, win: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of each window's minimiser, in the order of grams of the level."""
+    grams = X.window_hash(_values(w, data, starts, ends, 0), w.gram)
+    if level:
+        grams = X.mix(grams + np.uint64(level))
+    # low bits of the sort key hold the place, so that a text that repeats itself makes a run for each occurrence
+    low = np.uint64((1 << len(grams).bit_length()) - 1)
+    place = X.sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w.length - w.gram + 1)[win] & low
+    return place, grams[place.astype(np.int64)]
+
+
+def _cut(p: Placed, place: np.ndarray) -> np.ndarray:
+    """Where runs start: consecutive windows of a text with one minimiser and one mark."""
+    new = np.ones(len(p.win), bool)
+    new[1:] = (place[1:] != place[:-1]) | (p.mark[1:] != p.mark[:-1]) | (p.win[1:] != p.win[:-1] + 1) | (p.of[1:] != p.of[:-1])
+    return np.flatnonzero(new)
+
+
+def _blobs(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Placed, place: np.ndarray, least: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """The runs of windows to be sent, packed by bucket."""
+    pack = zstandard.ZstdCompressor(level=5)
+    a = _cut(p, place)
+    n = np.diff(np.append(a, len(p.win)))
+    send = p.mark[a] < 2
+    a, n = a[send], n[send]
+    bucket = (least[a] % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    a, n, bucket = a[order], n[order], bucket[order]
+    begin, stop = starts[p.win[a]], ends[p.win[a] + n - 1 + w.length - 1]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows: list[tuple[int, bytes]] = []
+    for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):
+        r, d = a[i:j], p.of[a[i:j]]
+        head = [p.ids[d].astype(np.int64), p.nulls[d].astype(np.int8), p.keys[d].astype(np.int64), (least[r] >> np.uint64(32)).astype(np.uint32), p.place[r].astype(np.int32), n[i:j].astype(np.int32), (stop - begin)[i:j].astype(np.int32), p.mark[r].astype(np.int8)]
+        body = b"".join(x.tobytes() for x in head) + X.gather(data, begin[i:j], stop[i:j], gap=1).tobytes()
+        rows.append((int(bucket[i]), struct.pack("<qq", j - i, len(body)) + pack.compress(body)))
+    if rows:
+        yield _table(len(rows), bucket=[b for b, _ in rows], kind=np.full(len(rows), BLOB), blob=[x for _, x in rows])
+
+
 def _deal(w: Windows, label: Callable, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=5)
         for t in X.blocks(batches, "text", BLOCK_WORDS if w.by_words else BLOCK_BYTES):
-            ids, keys = t["doc_id"].fill_null(0).to_numpy(), t["text_key"].to_numpy()
-            null_id = t["doc_id"].is_null().to_numpy()
             data, off = X.texts(t["text"])
             data, starts, ends, first = w.tokens(data, off)
             last, total = w.last(first), len(starts) - w.length + 1
             if total <= 0:
                 continue
-            ok = _valid(first, last, w.length, total)
-            grams = X.window_hash(_values(w, data, starts, ends, 0), w.gram)
-            win = np.flatnonzero(ok)
+            win = np.flatnonzero(_valid(first, last, w.length, total))
             if not len(win):
                 continue
-            # low bits of the sort key hold the place, so that a text that repeats itself makes a run for each occurrence
-            low = np.uint64((1 << len(grams).bit_length()) - 1)
-            place = X.sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w.length - w.gram + 1)[win] & low
-            least = grams[place.astype(np.int64)]
-            doc = np.searchsorted(first, win, side="right") - 1
-
-            def cut(mark: np.ndarray, win=win, place=place) -> np.ndarray:
-                new = np.ones(len(win), bool)
-                new[1:] = (place[1:] != place[:-1]) | (mark[1:] != mark[:-1]) | (win[1:] != win[:-1] + 1)
-                return np.flatnonzero(new)
-
-            mark = np.zeros(len(win), np.int8)  # 1: repeated in this block, and the one that is sent; 2: not sent
-            a = cut(mark)
-            n = np.diff(np.concatenate((a, [len(win)])))
+            of = np.searchsorted(first, win, side="right") - 1
+            p = Placed(win, of, win - first[of], np.zeros(len(win), np.int8), t["doc_id"].fill_null(0).to_numpy(), t["doc_id"].is_null().to_numpy(), t["text_key"].to_numpy())
+            place, least = _orders(w, data, starts, ends, win, 0)
+            a = _cut(p, place)
+            n = np.diff(np.append(a, len(win)))
             _, inverse, times = np.unique(least[a], return_inverse=True, return_counts=True)
             shared = times[inverse] > 1
             if shared.any():
@@ -234,28 +294,12 @@ def _deal(w: Windows, label: Callable, n_buckets: int) -> Callable[[Iterator[pa.
                 again = np.flatnonzero(group >= 0)
                 if len(again):
                     _, lead = np.unique(group[again], return_index=True)
-                    mark[some[again]] = 2
-                    mark[some[again[lead]]] = 1
-                    i, s, e = _spans_of(mark > 0, doc, win)
-                    d = doc[i]
-                    yield _table(len(i), bucket=(np.arange(len(i)) * 7919 + int(least[0] % np.uint64(1 << 20))) % n_buckets, kind=np.full(len(i), SPAN), doc_id=pa.array(ids[d], mask=null_id[d]), text_key=keys[d], start=s - first[d], stop=e - first[d] + w.length)
-            a = cut(mark)
-            n = np.diff(np.concatenate((a, [len(win)])))
-            send = mark[a] < 2
-            a, n = a[send], n[send]
-            bucket = (least[a] % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            a, n, bucket = a[order], n[order], bucket[order]
-            bs, be = starts[win[a]], ends[win[a] + n - 1 + w.length - 1]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, np.int64)
-            rows: list[tuple[int, bytes]] = []
-            for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):
-                d = doc[a[i:j]]
-                head = [ids[d].astype(np.int64), null_id[d].astype(np.int8), keys[d].astype(np.int32), (least[a[i:j]] >> np.uint64(32)).astype(np.uint32), (win[a[i:j]] - first[d]).astype(np.int32), n[i:j].astype(np.int32), (be - bs)[i:j].astype(np.int32), mark[a[i:j]].astype(np.int8)]
-                body = b"".join(x.tobytes() for x in head) + X.gather(data, bs[i:j], be[i:j], gap=1).tobytes()
-                rows.append((int(bucket[i]), struct.pack("<qq", j - i, len(body)) + pack.compress(body)))
-            if rows:
-                yield _table(len(rows), bucket=[b for b, _ in rows], kind=np.full(len(rows), BLOB), blob=[x for _, x in rows])
+                    p.mark[some[again]] = 2
+                    p.mark[some[again[lead]]] = 1
+                    i, s, e = _spans_of(p.mark > 0, of, win)
+                    d = of[i]
+                    yield _table(len(i), bucket=(np.arange(len(i)) * 7919 + int(least[0] % np.uint64(1 << 20))) % n_buckets, kind=np.full(len(i), SPAN), doc_id=pa.array(p.ids[d], mask=p.nulls[d]), text_key=p.keys[d], start=s - first[d], stop=e - first[d] + w.length)
+            yield from _blobs(w, data, starts, ends, p, place, least, n_buckets)
 
     return run
 
@@ -268,7 +312,7 @@ def _runs(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         n, size = struct.unpack_from("<qq", b)
         raw = np.frombuffer(unpack.decompress(b[16:], max_output_size=size), np.uint8)
         at, head = 0, []
-        for kind in (np.int64, np.int8, np.int32, np.uint32, np.int32, np.int32, np.int32, np.int8):
+        for kind in (np.int64, np.int8, np.int64, np.uint32, np.int32, np.int32, np.int32, np.int8):
             width = np.dtype(kind).itemsize * n
             head.append(np.frombuffer(raw[at : at + width].tobytes(), kind))
             at += width
@@ -277,9 +321,9 @@ def _runs(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(x) for x in zip(*heads, strict=True)], np.concatenate(bodies)
 
 
-def _settle(w: Windows, label: Callable, blobs: list[bytes], whole: bool) -> Iterator[pa.RecordBatch]:
+def _settle(w: Windows, label: Callable, blobs: list[bytes], whole: bool, level: int, levels: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """The spans that the windows of these blobs decide; if they aren't the whole bucket, also what others may decide."""
-    (ids, null_id, keys, least, start, n, size, dup), data = _runs(blobs)
+    (ids, nulls, keys, least, start, n, size, dup), data = _runs(blobs)
     begin = np.cumsum(size.astype(np.int64) + 1) - size - 1
     if whole:
         _, inverse, times = np.unique(least, return_inverse=True, return_counts=True)
@@ -287,7 +331,7 @@ def _settle(w: Windows, label: Callable, blobs: list[bytes], whole: bool) -> Ite
         if not len(pick):
             return
         data = X.gather(data, begin[pick], begin[pick] + size[pick], gap=1)
-        ids, null_id, keys, start, n, size, dup = (x[pick] for x in (ids, null_id, keys, start, n, size, dup))
+        ids, nulls, keys, start, n, size, dup = (x[pick] for x in (ids, nulls, keys, start, n, size, dup))
         begin = np.cumsum(size.astype(np.int64) + 1) - size - 1
     if w.by_words:
         starts, ends, first = X.words(data, begin)
@@ -302,21 +346,26 @@ def _settle(w: Windows, label: Callable, blobs: list[bytes], whole: bool) -> Ite
     i, s, e = _spans_of(hit, run, place)
     r = run[i]
     if len(i):
-        yield _table(len(i), kind=np.full(len(i), SPAN), doc_id=pa.array(ids[r], mask=null_id[r] > 0), text_key=keys[r], start=s, stop=e + w.length)
-    if not whole:
-        alone = np.flatnonzero(group < 0)
-        _, lead = np.unique(group[group >= 0], return_index=True)
-        also = np.flatnonzero(group >= 0)[lead]
-        some = np.concatenate((alone, also))
-        h = [X.spans(X.prefix(_values(w, data, starts, ends, t)), pos[some], pos[some] + w.length).view(np.int64) for t in (0, 1)]
-        decided = np.concatenate((dup[run[alone]] > 0, np.ones(len(also), bool)))
-        r = run[some]
-        for i in range(0, len(some), 50_000):
-            c = slice(i, i + 50_000)
-            yield _table(len(r[c]), kind=np.full(len(r[c]), LOOSE), doc_id=pa.array(ids[r[c]], mask=null_id[r[c]] > 0), text_key=keys[r[c]], h1=h[0][c], h2=h[1][c], start=place[some[c]], stop=place[some[c]] + w.length, dup=decided[c])
-
-
-def _meet(w: Windows, label: Callable, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        yield _table(len(i), kind=np.full(len(i), SPAN), doc_id=pa.array(ids[r], mask=nulls[r] > 0), text_key=keys[r], start=s, stop=e + w.length)
+    if whole:
+        return
+    # one of each window goes on, marked when it is known to be repeated
+    mark = np.where(group >= 0, 2, dup[run]).astype(np.int8)
+    again = np.flatnonzero(group >= 0)
+    mark[again[np.unique(group[again], return_index=True)[1]]] = 1
+    if level < levels:
+        p = Placed(pos, run, place, mark, ids, nulls > 0, keys)
+        yield from _blobs(w, data, starts, ends, p, *_orders(w, data, starts, ends, pos, level + 1), n_buckets * SPREAD)
+        return
+    some = np.flatnonzero(mark < 2)
+    for i in range(0, len(some), 50_000):
+        c = some[i : i + 50_000]
+        digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts[pos[c]].tolist(), ends[pos[c] + w.length - 1].tolist(), strict=True))
+        h, r = np.frombuffer(digests, np.int64).reshape(-1, 2), run[c]
+        yield _table(len(c), kind=np.full(len(c), LOOSE), doc_id=pa.array(ids[r], mask=nulls[r] > 0), text_key=keys[r], h1=h[:, 0], h2=h[:, 1], start=place[c], stop=place[c] + w.length, dup=mark[c] > 0)
+
+
+def _meet(w: Windows, label: Callable, chunk: int, level: int, levels: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size, whole = None, [], 0, True
         for batch in batches:
@@ -327,36 +376,36 @@ def _meet(w: Windows, label: Callable, chunk: int) -> Callable[[Iterator[pa.Reco
                 bucket, blob = batch["bucket"][int(i)].as_py(), batch["blob"][int(i)].as_py()
                 if held and (bucket != now or size >= chunk):
                     whole = whole and bucket != now
-                    yield from _settle(w, label, held, whole)
+                    yield from _settle(w, label, held, whole, level, levels, n_buckets)
                     held, size, whole = [], 0, bucket != now
                 now = bucket
                 held.append(blob)
                 size += struct.unpack_from("<qq", blob)[1]
         if held:
-            yield from _settle(w, label, held, whole)
+            yield from _settle(w, label, held, whole, level, levels, n_buckets)
 
     return run
 
 
-def _short_keyed(documents: DataFrame) -> DataFrame:
-    """keyed(), with keys of 31 bits: they only tell rows with one doc_id apart, and they travel with every run."""
-    return X.keyed(documents).withColumn("text_key", F.col("text_key").bitwiseAND(F.lit((1 << 31) - 1)))
-
-
-def repeated_spans(documents: DataFrame, w: Windows, label: Callable, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_spans(documents: DataFrame, w: Windows, label: Callable, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int = CHUNK_BYTES, levels: int = LEVELS) -> DataFrame:
     """(doc_id, text_key, spans): tokens [start, stop) of each text that lie in windows that start anywhere else too."""
-    docs = _short_keyed(documents)
+    docs = X.keyed(documents)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, round(3.2 * total / bucket_bytes))
     parts = min(n_buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16))
-    dealt = docs.mapInArrow(_deal(w, label, n_buckets), SHUFFLED)
-    met = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(w, label, chunk_bytes), SHUFFLED)
-    met = X.kept(met.select("kind", "doc_id", "text_key", "h1", "h2", "start", "stop", "dup"))
-    loose = met.filter(F.col("kind") == LOOSE).groupBy("h1", "h2")
+    left, spans = docs.mapInArrow(X.task(_deal(w, label, n_buckets)), SHUFFLED), []
+    for level in range(levels + 1):
+        dealt = left.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        met = X.kept(dealt.mapInArrow(X.task(_meet(w, label, chunk_bytes, level, levels, n_buckets * SPREAD**level)), SHUFFLED))
+        spans.append(met.filter(F.col("kind") == SPAN).select("doc_id", "text_key", "start", "stop"))
+        left = met.filter(F.col("kind") == BLOB)
+        if level < levels and left.isEmpty():
+            break
     # each chunk gives a window once, so a list holds a place for each chunk of one bucket at most
+    loose = met.filter(F.col("kind") == LOOSE).groupBy("h1", "h2")
     loose = loose.agg((F.count("*") > 1).alias("more"), F.collect_list(F.when(~F.col("dup"), F.struct("doc_id", "text_key", "start", "stop"))).alias("at"))
     loose = loose.filter("more").select(F.explode("at").alias("x")).select("x.*")
-    found = met.filter(F.col("kind") == SPAN).select("doc_id", "text_key", "start", "stop").unionByName(loose)
+    found = reduce(DataFrame.unionByName, [*spans, loose])
     return found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -384,9 +433,9 @@ def _cleaned(w: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def without_repeats(documents: DataFrame, w: Windows, label: Callable, keep_text: bool = True, **sizes: int) -> DataFrame:
-    docs, found = _short_keyed(documents), repeated_spans(documents, w, label, **sizes)
+    docs, found = X.keyed(documents), repeated_spans(documents, w, label, **sizes)
     joined = docs.join(found, X.same_row(docs, found), "left").select(docs["doc_id"], docs["text"], found["spans"])
-    out = joined.mapInArrow(_cleaned(w), "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(X.task(_cleaned(w)), "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
 
 
@@ -396,8 +445,8 @@ def substring_dedup(documents: DataFrame, length: int = 35, gram: int = 6, **mor
     Takes doc_id and text; other columns are ignored. Rows in: (doc_id, n_tokens, n_removed, n_spans, kept_sha256, kept),
     one for each row. Null and empty texts have no words. Rows that repeat a text, with one doc_id or several, repeat all
     its windows, so they lose every word of a text of length words or more. An empty table gives an empty result.
-    A row with a null doc_id is a document like any other. Two windows count as equal when two independent hashes of 64
-    bits agree. A text is held whole in a task with about 40 bytes of working memory a byte.
+    A row with a null doc_id is a document like any other. Equality is by the words themselves (in buckets that outgrew their chunk
+    LEVELS times, by a cryptographic digest of 128 bits). A text is held whole in a task with about 40 bytes of working memory a byte.
     """
     return without_repeats(documents, Windows(length, min(gram, length), True), _by_hash, **more)
 
@@ -406,6 +455,6 @@ def suffix_dedup(documents: DataFrame, length: int = 400, gram: int = 48, **more
     """Remove each byte that lies in a string of length bytes that also starts anywhere else (UTF-8; null: empty).
 
     Rows, nulls, ties and repeated rows are as in substring_dedup, with bytes for words; matches never cross texts.
-    kept may end within a character, so it is binary. Equality is exact: radix passes read every byte of the window.
+    kept may end within a character, so it is binary. Equality is by the bytes, as there.
     """
     return without_repeats(documents, Windows(length, min(gram, length), False), _by_radix, **more)
