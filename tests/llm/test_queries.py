@@ -2,11 +2,10 @@
 
 import hashlib
 import re
-import zlib
 
 import duckdb
 import pytest
-from tidemark.llm import audio, decontaminate, mixing, pii, queries, toxicity, warc
+from tidemark.llm import decontaminate, mixing, pii, queries, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,19 +78,6 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= 1 and target[s] <= 2 * size[s] for s in taken)
 
 
-def test_audio(spark, tmp_path):
-    rows = [(1, "hello"), (2, None), (3, "é" * 500), (4, "hello")]
-    audio.store_texts(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "a"))
-    got = {r.doc_id: r for r in audio.read_features(spark, str(tmp_path / "a")).collect()}
-    for i, t in rows:
-        raw = (t or "").encode()
-        pay = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
-        assert (got[i].n_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
-    assert got[1].feature == got[4].feature != got[3].feature
-    pcm, rate = audio.decode(audio.riff(bytes(range(192)), audio.MU_LAW))
-    assert rate == 8000 and pcm[255 - 64 * 2] == audio.MU[127] and audio.MU[255] == 0 and audio.MU[0] == -32124 and audio.A[0xD5] == 8
-
-
 def test_toxicity(spark):
     rows = [(i, " ".join(["plain", f"w{i % 50}", "filth" if i % 4 == 0 else "fine"] * 3)) for i in range(400)] + [(1000, None), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score")

@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import textops as X
 
 MU_LAW, A_LAW, IMA, PCM = 7, 6, 17, 1
-RATE, TARGET = 8000, 16000
+#: Samples a second of stored sounds, and of the PCM made of them.
+RATE, TARGET = 16000, 8000
 BLOCK = 192
 SAMPLES = 1 + 2 * (BLOCK - 4)
 
@@ -68,13 +68,18 @@ def ima_blocks(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear resampling of one signal in whole numbers."""
-    n = len(pcm) * target // rate
-    at = np.arange(n, dtype=np.int64) * rate
-    i, part = at // target, at % target
-    a = pcm[np.minimum(i, len(pcm) - 1)].astype(np.int64) if len(pcm) else np.zeros(0, np.int64)
-    b = pcm[np.minimum(i + 1, len(pcm) - 1)].astype(np.int64) if len(pcm) else a
-    return ((a * (target - part) + b * part) // target).astype(np.int16)
+    """One signal at another rate, in whole numbers, rounded down: more samples lie on the lines between the given ones, of fewer each is
+    the mean of the time that it stands for. There are len(pcm) * target // rate of them."""
+    n, last = len(pcm) * target // rate, len(pcm) - 1
+    if rate == target or not n:
+        return pcm[:n].astype(np.int16)
+    a = pcm.astype(np.int64)
+    if target > rate:
+        i, part = np.divmod(np.arange(n, dtype=np.int64) * rate, target)
+        return ((a[i] * (target - part) + a[np.minimum(i + 1, last)] * part) // target).astype(np.int16)
+    i, part = np.divmod(np.arange(n + 1, dtype=np.int64) * rate, target)
+    area = np.concatenate(([0], np.cumsum(a)))[i] * target + a[np.minimum(i, last)] * part
+    return (np.diff(area) // rate).astype(np.int16)
 
 
 def riff(payload: bytes, kind: int, rate: int = RATE) -> bytes:
@@ -89,15 +94,21 @@ def riff(payload: bytes, kind: int, rate: int = RATE) -> bytes:
 
 
 def parse_riff(raw: bytes) -> tuple[int, int, int, bytes]:
-    """Format, rate, block size and payload of a mono RIFF file."""
+    """Format, rate, block size and payload of a mono RIFF file; anything else raises ValueError."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("no RIFF file")
-    at, kind, rate, align = 12, 0, 0, 1
+    at, kind, rate, align = 12, 0, 0, 0
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
         if name == b"fmt ":
-            kind, _, rate, _, align = struct.unpack_from("<HHIIH", raw, at + 8)
+            if size < 16 or at + 8 + 16 > len(raw):
+                raise ValueError("the format chunk is cut short")
+            kind, channels, rate, _, align = struct.unpack_from("<HHIIH", raw, at + 8)
+            if channels != 1 or not rate or kind == IMA and align < 5:
+                raise ValueError("no mono sound")
         elif name == b"data":
+            if not rate:
+                raise ValueError("no format before the data")
             return kind, rate, align, raw[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
@@ -120,24 +131,26 @@ def decode(raw: bytes) -> tuple[np.ndarray, int]:
 
 
 def to_pcm(media: DataFrame, target: int = TARGET) -> DataFrame:
-    """media (key, sound) as (key, pcm): RIFF files of PCM at target samples a second; null or broken sound gives null.
+    """media, whose column sound holds RIFF files, with pcm: RIFF files of 16-bit PCM at target samples a second.
 
-    Other columns stay as they are; a column pcm is replaced.
+    Null sound, and sound that is no mono file of mu-law, A-law, IMA ADPCM or PCM, gives null. A payload that ends early is taken as far
+    as it goes; a sound without samples gives a file without samples. Other columns stay as they are; a column pcm is replaced.
+    Repeated rows are decoded each; an empty table gives an empty one.
     """
     media = media.drop("pcm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for t in X.blocks(batches, "sound"):
             out = []
-            for raw in batch["sound"]:
+            for raw in t["sound"]:
                 try:
                     pcm, rate = decode(raw.as_py() or b"")
-                    out.append(riff(resample(pcm, rate, target).tobytes(), PCM, target) if rate else None)
+                    out.append(riff(resample(pcm, rate, target).astype("<i2").tobytes(), PCM, target))
                 except ValueError:
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "pcm"])
+            yield pa.RecordBatch.from_arrays([*[t[c].combine_chunks() for c in t.column_names], pa.array(out, pa.binary())], names=[*t.column_names, "pcm"])
 
-    return media.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields) + ", pcm binary")
+    return media.mapInArrow(X.task(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields) + ", pcm binary")
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,39 +168,56 @@ def store_texts(documents: DataFrame, path: str) -> None:
 
     Repeated rows are stored each; null doc_ids stay null; further columns are ignored; an empty table gives an empty one.
     """
-    documents.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, sound binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    documents.select("doc_id", "text").mapInArrow(X.task(_store), "doc_id long, n_bytes long, sound binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, a_law long, adpcm long, peak long, sound binary"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the stored bytes, and whole-number features of the same bytes read as A-law and as IMA ADPCM."""
+    kinds = (pa.int64(),) * 3 + (pa.string(), pa.int64(), pa.int64(), pa.string()) + (pa.int64(),) * 3 + (pa.binary(),)
+    names = [x.split(" ")[0] for x in READ.split(", ")]
     for t in X.blocks(batches, "sound"):
         rows = t.to_pylist()
-        kinds = [parse_riff(r["sound"]) for r in rows]
-        data = np.frombuffer(b"".join(k[3] for k in kinds), np.uint8)
-        size = np.array([len(k[3]) for k in kinds])
+        payloads = [parse_riff(r["sound"])[3] for r in rows]
+        data = np.frombuffer(b"".join(payloads), np.uint8)
+        size = np.array([len(p) for p in payloads])
         at = np.cumsum(size) - size
-        mu, a, ima = MU[data].astype(np.int64), A[data].astype(np.int64), ima_blocks(data.reshape(-1, BLOCK)).astype(np.int64)
-        # resampling to twice the rate puts the mean of neighbours between them, floored, and repeats the last sample
-        between = np.append((mu[:-1] + mu[1:]) // 2, 0)
-        between[at + size - 1] = mu[at + size - 1]
-        moves = np.abs(np.diff(mu, prepend=0))
+        a, ima = A[data].astype(np.int64), ima_blocks(data.reshape(-1, BLOCK)).astype(np.int64)
+        a_law = np.add.reduceat(a * a, at)
+        blocks, peak = np.add.reduceat(np.abs(ima).sum(1), at // BLOCK), np.maximum.reduceat(np.abs(ima).max(1), at // BLOCK)
+        out = [
+            (r["doc_id"], r["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(r["sound"]), hashlib.sha256(r["sound"]).hexdigest(), x, y, z, r["sound"])
+            for r, p, x, y, z in zip(rows, payloads, a_law.tolist(), blocks.tolist(), peak.tolist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def write_pcm(spark: SparkSession, path: str, to: str) -> None:
+    """The sounds at path, as store_texts writes them, read back and written to a table at to as PCM at TARGET samples a second, with
+    digests of what was stored. Nulls, repeated rows and empty tables go through row by row."""
+    read = spark.read.parquet(path).select("doc_id", "n_bytes", "sound").mapInArrow(X.task(_read), READ)
+    to_pcm(read).drop("sound").write.mode("overwrite").option("compression", "zstd").parquet(to)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in X.blocks(batches, "pcm"):
+        data = [decode(x.as_py())[0] for x in t["pcm"]]
+        size = np.array([len(x) for x in data])
+        at, x = np.cumsum(size) - size, np.concatenate(data).astype(np.int64)
+        moves, cross = np.abs(np.diff(x, prepend=0)), np.append((x[:-1] < 0) != (x[1:] < 0), False)
         moves[at] = 0
-        sums = [np.add.reduceat(x, at) for x in (mu * mu + between * between, moves, a * a)]
-        cross = np.append((mu[:-1] < 0) != (mu[1:] < 0), False)
         cross[at + size - 1] = False
-        cross = np.add.reduceat(cross.astype(np.int64), at)
-        blocks = np.add.reduceat(np.abs(ima).sum(1), at // BLOCK)
-        peak = np.maximum.reduceat(np.abs(ima).max(1), at // BLOCK)
-        out = []
-        for k, r in enumerate(rows):
-            payload = kinds[k][3]
-            feature = f"samples={2 * size[k]};energy={sums[0][k]};moves={sums[1][k]};crossings={cross[k]};a_law={sums[2][k]};adpcm={blocks[k]};peak={peak[k]}"
-            out.append((r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(r["sound"]), hashlib.sha256(r["sound"]).hexdigest(), feature))
-        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        sums = [np.add.reduceat(y.astype(np.int64), at).tolist() for y in (x * x, moves, cross)]
+        mine = [t[c].to_pylist() for c in ("a_law", "adpcm", "peak")]
+        feature = [f"samples={n};energy={e};moves={m};crossings={c};a_law={u};adpcm={v};peak={w}" for n, e, m, c, u, v, w in zip(size.tolist(), *sums, *mine, strict=True)]
+        keep = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+        yield pa.RecordBatch.from_arrays([*[t[c].combine_chunks() for c in keep], pa.array(feature, pa.string())], names=[*keep, "feature"])
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Digests of what is stored at path, and whole-number features of the sound resampled to twice its rate, read as mu-law,
-    A-law and IMA ADPCM."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return spark.read.parquet(path).select(F.col("doc_id"), "n_bytes", "sound").mapInArrow(_features, schema)
+    """Digests of the stored sounds, and whole-number features: of the PCM that write_pcm stored at path, and of the same bytes read as
+    A-law and IMA ADPCM. One row each, null doc_ids and repeated rows too; an empty table gives an empty result."""
+    return spark.read.parquet(path).mapInArrow(X.task(_features), FEATURES)

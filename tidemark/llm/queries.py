@@ -66,9 +66,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = X.new_path(spark, "audio")
-    audio.store_texts(_read(spark, sf_dir, "documents"), path)
-    return audio.read_features(spark, path)
+    sounds, pcm = X.new_path(spark, "audio"), X.new_path(spark, "pcm")
+    audio.store_texts(_read(spark, sf_dir, "documents"), sounds)
+    audio.write_pcm(spark, sounds, pcm)
+    return audio.read_features(spark, pcm)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
