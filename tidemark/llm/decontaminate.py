@@ -109,7 +109,9 @@ def phrases_of(items: list[tuple[str, str | None]], window: int = WINDOW):
         starts, ends, _ = X.words(data, off, X.ALNUM)
         h = X.word_hash(X.LOWER[data], starts, ends).tolist()
         for i in range(max(len(h) - window + 1, min(len(h), 1))):
-            found.setdefault(tuple(h[i : i + window]), set()).add(item)
+            names = found.setdefault(tuple(h[i : i + window]), set())
+            if item is not None:
+                names.add(item)
     vocab = np.array(sorted({h for p in found for h in p}), np.uint64)
     matrix = np.zeros((len(found), window), np.int64)
     length = np.array([len(p) for p in found], np.int64)
@@ -195,7 +197,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     words of an item, or all words of a shorter item; an item without words has none. Every column of documents is kept but
     text, which is dropped unless cut: then the hit words are cut out of it, and hit spans take along what follows
     them up to the next word. Null texts have no words and stay null. Repeated rows are judged one by one; empty tables
-    give empty results, and an empty benchmark hits nothing. Columns n_words, n_hit and items replace ones so named.
+    give empty results, and an empty benchmark hits nothing. An item without item_id hits, but is not among items. Columns n_words, n_hit and items replace ones so named.
 
     The benchmark is read in groups of about group_bytes of text, each broadcast by itself; a task searches its block for one
     group after another and joins the hits, so a benchmark of any size gives whole results.
