@@ -42,11 +42,11 @@ def is_wal_file(name: Column) -> Column:
 
 
 def bytes_to_text(size: Column) -> Column:
-    """Whole units or one decimal, from EB down to B; 0 is 0."""
+    """Whole units or one decimal (halves to even), from EB down to B; 0 is 0."""
     out = F.when(size == 0, F.lit("0"))
     for unit, power in (("EB", 60), ("PB", 50), ("TB", 40), ("GB", 30), ("MB", 20), ("kB", 10)):
         whole = size % F.lit(1 << power) == 0
-        text = F.when(whole, F.format_string(f"%d{unit}", F.floor(size / F.lit(1 << power)).cast("long"))).otherwise(F.format_string(f"%.1f{unit}", size / F.lit(float(1 << power))))
+        text = F.when(whole, F.format_string(f"%d{unit}", F.floor(size / F.lit(1 << power)).cast("long"))).otherwise(F.format_string(f"%.1f{unit}", F.bround(size / F.lit(float(1 << power)), 1)))
         out = out.when(size >= F.lit(1 << power), text)
     return out.otherwise(F.format_string("%dB", size.cast("long")))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as X
+from tidemark.functions import text as Y
 from tidemark.operators import catalog as C
 from tidemark.operators import changes as B
 from tidemark.operators import metrics as M
@@ -232,9 +233,60 @@ query("s3_file_class", """, f AS (SELECT doc_id, source||'/'||printf('%024X',doc
 SELECT doc_id, printf('%024X',doc_id) AS name, 1+[0,2,40,128,64][doc_id%5+1] AS file_class FROM f WHERE path IS NOT NULL""")(
     on(_named, lambda d: d.filter("path IS NOT NULL").select("doc_id", R.base_name(F.col("path")).alias("name"), R.file_class(F.col("path"))))
 )
-query("x9_text_codes", "SELECT doc_id, base64(encode(text)) AS b64, length(text) AS chars, sha256(text) AS sha FROM documents WHERE text IS NOT NULL")(
-    lambda spark, sf: V.read(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "").alias("b64"), F.char_length("text").cast("long").alias("chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
-)
+def _texts(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(V.read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def _orders(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: f(V.read(spark, sf, "orders"))
+
+
+def _tag() -> Column:
+    return F.concat("source", F.lit(" \t"), F.col("doc_id").cast("string"), F.lit('"\n\\'), "lang")
+
+
+TAG_SQL = "source||' '||chr(9)||doc_id||'\"'||chr(10)||'\\'||lang"
+
+query("x3_is_wal_file", "SELECT doc_id, doc_id%3<>1 AS is_wal, doc_id%3=2 AS partial FROM documents")(
+    _texts(lambda d: d.select("doc_id", F.concat(F.format_string("%024X", "doc_id"), F.when(F.col("doc_id") % 3 == 1, "x").when(F.col("doc_id") % 3 == 2, ".partial").otherwise("")).alias("n"))
+           .select("doc_id", X.is_wal_file(R.base_name(F.col("n"))).alias("is_wal"), F.col("n").endswith(".partial").alias("partial"))))
+query("x4_bytes_text", f"""SELECT o_orderkey, CASE WHEN size>=1048576 THEN CASE WHEN size%1048576=0 THEN (size//1048576)||'MB' ELSE printf('%.1fMB', size/1048576) END WHEN size>=1024 THEN CASE WHEN size%1024=0 THEN (size//1024)||'kB' ELSE printf('%.1fkB', size/1024) END WHEN size=0 THEN '0' ELSE size||'B' END AS one,
+  CASE WHEN size>=1048576 THEN printf('%.2fMB', size/1048576) WHEN size>=1024 THEN printf('%.2fkB', size/1024) ELSE printf('%.2fB', size::DOUBLE) END AS two FROM (SELECT o_orderkey, o_orderkey*3+o_custkey*1024 AS size FROM orders)""")(
+    lambda s, d: V.read(s, d, "orders").withColumn("size", F.col("o_orderkey") * 3 + F.col("o_custkey") * 1024).select("o_orderkey", X.bytes_to_text(F.col("size")).alias("one"), Y.bytes_to_short_text(F.col("size")).alias("two")))
+query("x5_parts_of_text", "SELECT doc_id, coalesce(starts_with(text,'The'),false) AS s, coalesce(ends_with(text,'.'),false) AS e, coalesce(contains(text,'er '),false) AS c FROM documents")(
+    _texts(lambda d: d.select("doc_id", Y.starts_with(F.col("text"), "The").alias("s"), Y.ends_with(F.col("text"), ".").alias("e"), Y.contains(F.col("text"), "er ").alias("c"))))
+query("x6_removed", """SELECT doc_id, CASE WHEN starts_with(text,'The ') THEN substr(text,5) ELSE text END AS prefix, CASE WHEN ends_with(text,'.') THEN substr(text,1,length(text)-1) ELSE text END AS suffix, substr(text,2) AS first,
+  substr(text,1,length(text)-1) AS last, translate(text,' '||chr(9)||chr(13)||chr(10),'') AS white, source||'/a.b' AS ext FROM documents""")(
+    _texts(lambda d: d.select("doc_id", Y.remove_prefix(F.col("text"), "The ").alias("prefix"), Y.remove_suffix(F.col("text"), ".").alias("suffix"), Y.remove_first(F.col("text")).alias("first"),
+                              Y.remove_last(F.col("text")).alias("last"), Y.remove_whitespace(F.col("text")).alias("white"), X.strip_extension(F.concat("source", F.lit("/a.b.gz"))).alias("ext"))))
+query("x7_split_and_escape", f"""SELECT doc_id, array_to_string(list_filter(string_split(text,'e'), lambda x: x<>''),'|') AS parts, doc_id%2=0 AS ten, doc_id%3<>2 AS sixteen, CASE WHEN doc_id%2=0 THEN doc_id::INT ELSE 0 END AS n,
+  replace(replace(replace(replace({TAG_SQL},'\\','\\\\'),'"','\\"'),chr(10),'\\n'),chr(9),'\\t') AS escaped, '  '||coalesce(lang,'') AS ind FROM documents""")(
+    _texts(lambda d: d.select("doc_id", F.array_join(Y.split_parts(F.col("text"), "e"), "|").alias("parts"), Y.is_number(F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(".5"))).alias("ten"),
+                              Y.is_number(F.concat(F.hex("doc_id"), F.when(F.col("doc_id") % 3 == 2, "g").otherwise("\r\n")), 16).alias("sixteen"), Y.to_int(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" +"), F.col("doc_id").cast("string"), F.lit("x"))).otherwise("99999999999")).alias("n"),
+                              Y.escape(_tag()).alias("escaped"), Y.indent(F.col("lang"), 2).alias("ind"))))
+query("x8_null_equals_null", "SELECT a.doc_id, a.lang IS NOT DISTINCT FROM CASE WHEN a.doc_id%2=0 THEN 'en' END AS same FROM documents a")(
+    _texts(lambda d: d.select("doc_id", Y.same(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "en")).alias("same"))))
+query("x9_text_codes", "SELECT doc_id, base64(encode(text)) AS b64, text AS back, length(text) AS chars, NOT regexp_matches(text,'[^\\x00-\\x7F]') AS ascii, true AS utf8, sha256(text) AS sha FROM documents WHERE text IS NOT NULL")(
+    _texts(lambda d: d.filter("text IS NOT NULL").select("doc_id", "text", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "").alias("b64"))
+           .select("doc_id", "b64", Y.from_base64(F.col("b64")).cast("string").alias("back"), F.char_length("text").cast("long").alias("chars"), Y.is_ascii(F.col("text")).alias("ascii"), Y.is_utf8(Y.from_base64(F.col("b64"))).alias("utf8"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))))
+query("x13_times", """SELECT o_orderkey, o_orderdate AS at, strftime(o_orderdate,'%Y%m%d%H%M%S') AS label, printf('%02d:%02d:%07.4f', floor(o_totalprice/3600)::BIGINT, floor(o_totalprice)::BIGINT%3600//60, o_totalprice-60*floor(floor(o_totalprice)/60)) AS elapsed FROM orders""")(
+    _orders(lambda o: o.withColumn("label", F.date_format("o_orderdate", "yyyyMMddHHmmss")).select("o_orderkey", X.pg_timestamp(F.unix_micros(F.col("o_orderdate").cast("timestamp")) - F.lit(946684800000000)).cast("timestamp_ntz").alias("at"),
+                                                                                                 F.date_format(X.label_time(F.col("label")), "yyyyMMddHHmmss").alias("label"), X.elapsed_text(F.col("o_totalprice")).alias("elapsed"))))
+query("x14_time_units", """SELECT o_orderkey, t//60 AS minutes, t//3600 AS hours, t>0 AS valid, (t//86400)||'d' AS days, strftime(make_timestamp(t*1000000),'%Y-%m-%dT%H:%M:%SZ') AS moment FROM (SELECT o_orderkey, o_orderkey*977+o_custkey AS t FROM orders)""")(
+    _orders(lambda o: o.withColumn("t", F.col("o_orderkey") * 977 + F.col("o_custkey")).select("o_orderkey", Y.time_convert(F.col("t"), "m").alias("minutes"), Y.time_convert(F.col("t"), "h").alias("hours"), Y.time_is_valid(F.col("t")).alias("valid"),
+                                                                                              Y.time_text(F.col("t"), "d").alias("days"), Y.time_text(F.col("t"), "timestamp").alias("moment"))))
+query("x16_json_edit", """SELECT event_id, '{"k":'||(props->>'k')||',"a":[1,'||event_id||']}' AS put, '{}' AS removed, true AS has, 2 AS length FROM events""")(
+    lambda spark, sf: V.read(spark, sf, "events").withColumn("list", F.concat(F.lit("[1,"), F.col("event_id").cast("string"), F.lit("]")))
+    .select("event_id", Y.json_put(F.col("props"), "a", F.col("list")).alias("put"),
+            Y.json_remove(F.col("props"), "k").alias("removed"), Y.json_has(F.col("props"), "k").alias("has"), Y.json_length(F.col("list")).alias("length")))
+query("x17_collections", """, m AS (SELECT user_id, count(*) FILTER (event_type='click') AS c, count(*) FILTER (event_type='view') AS v, count(*) FILTER (event_type='purchase') AS p, list_sort(list(event_id)) AS ids FROM events GROUP BY 1)
+  SELECT user_id, v AS got, 3 AS n, len(ids) AS many, ids[1] AS least, list_contains(ids, user_id) AS own, 'purchase='||p AS found FROM m""")(
+    lambda spark, sf: V.read(spark, sf, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("click", "view", "purchase")], F.array_sort(F.collect_list("event_id")).alias("ids"))
+    .withColumn("m", F.create_map(*[x for k in ("click", "view", "purchase") for x in (F.lit(k), F.col(k))]))
+    .select("user_id", F.try_element_at("m", F.lit("view")).alias("got"), F.size("m").alias("n"), F.size("ids").cast("long").alias("many"), F.element_at("ids", 1).alias("least"), F.array_contains("ids", F.col("user_id")).alias("own"),
+            F.array_join(F.transform(Y.prefix_search(F.col("m"), "p"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("found")))
+query("x19_is_incremental", "SELECT doc_id, doc_id%2=0 AS inc FROM documents")(
+    _texts(lambda d: d.select("doc_id", X.is_incremental_path(F.concat(F.lit("INCREMENTAL.d/"), F.when(F.col("doc_id") % 2 == 0, "INCREMENTAL.").otherwise("x"), F.col("doc_id").cast("string"))).alias("inc"))))
 query("x16_json_get", "SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k, json_extract(props,'$.none') IS NOT NULL AS has_none FROM events")(
     lambda spark, sf: V.read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.none").isNotNull().alias("has_none"))
 )
