@@ -11,15 +11,16 @@ LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
 def parse_metrics(lines: DataFrame, endpoint: str) -> DataFrame:
-    """Exposition text (value, one line a row) as (name, type, help, labels, value); each sample gets the label endpoint."""
+    """Exposition text (value, one line a row) as (name, type, help, labels, value, ts); each sample gets the label endpoint. ts is null
+    where the line has no time (milliseconds since 1970)."""
     v = F.trim("value")
     meta = lambda kind: lines.filter(v.rlike(rf"^#\s*{kind} ")).select(F.regexp_extract(v, rf"^#\s*{kind}\s+({NAME})", 1).alias("name"), F.regexp_extract(v, rf"^#\s*{kind}\s+{NAME}\s*(.*)$", 1).alias(kind.lower())).dropDuplicates(["name"])
     s = lines.filter((v != "") & ~v.startswith("#"))
-    shape = rf"^({NAME})(\{{.*\}})?\s+(\S+)(?:\s+\S+)?$"
+    shape = rf"^({NAME})(\{{.*\}})?\s+(\S+)(?:\s+(-?[0-9]+))?$"
     inner = F.regexp_extract(v, shape, 2)
     values = F.transform(F.regexp_extract_all(inner, F.lit(LABEL), F.lit(2)), lambda x: F.regexp_replace(F.regexp_replace(x, r'\\(["\\])', "$1"), r"\\n", "\n"))
     labels = F.map_from_arrays(F.array_append(F.regexp_extract_all(inner, F.lit(LABEL), F.lit(1)), F.lit("endpoint")), F.array_append(values, F.lit(endpoint)))
-    s = s.filter(v.rlike(shape)).select(F.regexp_extract(v, shape, 1).alias("name"), labels.alias("labels"), F.regexp_extract(v, shape, 3).alias("value"))
+    s = s.filter(v.rlike(shape)).select(F.regexp_extract(v, shape, 1).alias("name"), labels.alias("labels"), F.regexp_extract(v, shape, 3).alias("value"), F.timestamp_millis(F.regexp_extract(v, shape, 4).try_cast("long")).alias("ts"))
     return s.join(meta("TYPE"), "name", "left").join(meta("HELP"), "name", "left")
 
 

@@ -165,7 +165,6 @@ query("x1_lsn_text", "SELECT lsn*4294967 AS lsn, upper(to_hex((lsn*4294967)>>32)
 query("x2_wal_file_name", "SELECT lsn, printf('%08X%08X%08X', timeline, lsn//256, lsn%256) AS name, lsn AS segno FROM v_wal")(on(V.v_wal, lambda w: w.select("lsn", X.wal_file_name(F.col("timeline"), F.col("lsn")).alias("name")).withColumn("segno", X.wal_segno(F.col("name")))))
 query("x15_version_number", "SELECT DISTINCT major_version, (13+major_version)*10000+200 AS n FROM v_catalog")(on(V.v_catalog, lambda c: c.select("major_version", X.version_number(F.concat((F.col("major_version") + 13).cast("string"), F.lit(".2"))).alias("n")).distinct()))
 query("x18_throughput", "SELECT label, CASE WHEN start_lsn%7=0 THEN 0.0 ELSE size/((start_lsn%7)*1e6) END AS mbs FROM v_catalog")(on(V.v_catalog, lambda c: c.select("label", X.throughput(F.col("size"), F.col("start_lsn") % 7).alias("mbs"))))
-query("t2_wal_position", "SELECT timeline, max(lsn) AS lsn FROM v_wal GROUP BY 1")(on(V.v_wal, lambda w: w.groupBy("timeline").agg(F.max("lsn").alias("lsn"))))
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +213,7 @@ CHUNKS = """, pieces AS (SELECT timeline AS server, lsn//1000 AS segno, lsn%1000
 segs AS (SELECT server, segno, CAST(sum(len) AS BIGINT) AS received, sum(len)<1000 AS partial FROM pieces GROUP BY 1,2)"""
 
 query("t1_wal_ingest", f"{CHUNKS} SELECT * FROM segs")(on(_chunks, lambda c: T.wal_ingest(c, 1000)))
+query("t2_wal_position", f"{CHUNKS} SELECT timeline AS server, max(lsn+128) AS lsn FROM v_wal GROUP BY 1")(on(_chunks, T.wal_position))
 query("t3_resume_point", f"{CHUNKS} SELECT server, max(segno)+CASE WHEN arg_max(partial,segno) THEN 0 ELSE 1 END AS segno FROM segs GROUP BY 1")(
     on(_chunks, lambda c: T.resume_point(T.wal_ingest(c, 1000)))
 )

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import string_to_lsn
+
 #: The bit of each class of file and the suffixes that tell it.
 WAL, GZIP, LZ4, ZSTD, BZ2, AES, TAR, PARTIAL = (1 << k for k in range(8))
 SUFFIXES = {GZIP: ["gz"], LZ4: ["lz4"], ZSTD: ["zstd", "zst"], BZ2: ["bz2"], AES: ["aes"], TAR: ["tar", "tgz"], PARTIAL: ["partial"]}
@@ -81,6 +83,26 @@ def read_catalog(spark: SparkSession, folder: str, info: str = "backup.info") ->
     return last.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields")).orderBy("label")
 
 
+#: Fixed names: the keys of a snapshot's information file that the catalog reads, and the columns and types that they become.
+CATALOG_FIELDS = {
+    "STATUS": ("status", "int"), "LABEL": ("label", "string"), "WAL": ("wal", "string"), "BACKUP": ("backup_size", "long"), "RESTORE": ("restore_size", "long"), "BIGGEST_FILE": ("biggest_file_size", "long"),
+    "ELAPSED": ("elapsed", "double"), "MAJOR_VERSION": ("major_version", "int"), "MINOR_VERSION": ("minor_version", "int"), "KEEP": ("keep", "int"), "COMMENTS": ("comments", "string"),
+    "TYPE": ("type", "int"), "PARENT": ("parent_label", "string"), "COMPRESSION": ("compression", "int"), "ENCRYPTION": ("encryption", "int"),
+    "START_TIMELINE": ("start_timeline", "int"), "END_TIMELINE": ("end_timeline", "int"),
+}
+CATALOG_POSITIONS = {"START_WALPOS": "start_lsn", "END_WALPOS": "end_lsn", "CHKPT_WALPOS": "checkpoint_lsn"}
+
+
+def typed_catalog(catalog: DataFrame) -> DataFrame:
+    """The rows of read_catalog with a column for each known field: positions as numbers, keep and valid as booleans, type as full or
+    incremental. What a file lacks, or is no such value, is null; fields holds all as they stand."""
+    text = lambda k: F.try_element_at("fields", F.lit(k))
+    out = {name: F.nullif(F.trim(text(k)), F.lit("")).try_cast(kind) for k, (name, kind) in CATALOG_FIELDS.items()}
+    out |= {name: string_to_lsn(F.trim(text(k))) for k, name in CATALOG_POSITIONS.items()}
+    out |= {"label": F.coalesce(out["label"], F.col("label")), "keep": out["keep"] == 1, "valid": out.pop("status") == 1, "type": F.when(out["type"] == 0, "full").when(out["type"] == 1, "incremental")}
+    return catalog.select(*[c.alias(name) for name, c in out.items()], "fields")
+
+
 def read_timeline_history(spark: SparkSession, path: str) -> DataFrame:
     """(file, parent_tli, switch_lsn): blanks and lines of # are skipped."""
     shape = r"^\s*([0-9]+)\s+([0-9A-Fa-f]+)/([0-9A-Fa-f]+)"
@@ -101,6 +123,20 @@ def read_oid_mappings(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Fixed queries: the objects of a server's catalog tables.
+OID_QUERIES = {"tablespaces": "SELECT oid, spcname AS name FROM pg_tablespace", "databases": "SELECT oid, datname AS name FROM pg_database", "relations": "SELECT oid, relname AS name FROM pg_class"}
+
+
+def read_oid_mappings_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> DataFrame:
+    """(kind, oid, name) as read_oid_mappings, from a server's own tables."""
+    read = lambda q: spark.read.jdbc(url, f"({q}) q", properties=properties or {})
+    parts = []
+    for kind, q in OID_QUERIES.items():
+        df = read(q)
+        parts.append(df.toDF(*[c.lower() for c in df.columns]).select(F.lit(kind).alias("kind"), F.col("oid").cast("long").alias("oid"), F.col("name").cast("string").alias("name")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _unpacked(name: str, raw: bytes) -> tuple[str, bytes]:
     """Name and bytes of a file without its outer compression."""
     stem, _, suffix = name.rpartition(".")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import changes
+from tidemark.operators.catalog import retention_plan
+
 SEGMENT = 16 << 20
 
 
@@ -48,3 +53,71 @@ def on_each_batch(stream: DataFrame, run: Callable[[DataFrame, int], None], chec
     """Start a query that runs a policy (retention, verification, folding of blocks) on each batch; without every, on what is there."""
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def compact_events(events: DataFrame) -> DataFrame:
+    """Block events of which only those are left that a summary of these and of any further events needs: of each block its last
+    mark, of each fork the limits that took effect."""
+    marks = events.filter((F.col("phase") == 1) & F.col("blk").isNotNull()).groupBy(*changes.KEY, "blk").agg(F.max("lsn").alias("lsn"))
+    marks = marks.select(*changes.KEY, "lsn", F.lit(1).alias("phase"), F.lit(None).cast("long").alias("limit_block"), "blk")
+    limits = changes.effective_limits(events).select(*changes.KEY, "lsn", F.lit(0).alias("phase"), F.col("limit_block").cast("long").alias("limit_block"), F.lit(None).cast("long").alias("blk"))
+    return marks.unionByName(limits)
+
+
+def brt_stream(events: DataFrame, store: str, checkpoint: str, every: str | None = None):
+    """Start a query that folds arriving block events (key, lsn, phase, limit_block, blk) into a table under store, a version a batch. A
+    batch that is run again writes the same version again; events may arrive in any order. Versions before the last are not needed."""
+
+    def fold(batch: DataFrame, k: int) -> None:
+        known = batch.select(*changes.KEY, "lsn", "phase", "limit_block", "blk")
+        if k:
+            known = known.unionByName(batch.sparkSession.read.parquet(f"{store}/version={k - 1}"))
+        compact_events(known).write.mode("overwrite").parquet(f"{store}/version={k}")
+
+    return on_each_batch(events, fold, checkpoint, every)
+
+
+def brt_so_far(spark: SparkSession, store: str) -> DataFrame:
+    """Modified blocks (key, blk) of the newest version under store."""
+    every = spark.read.parquet(store)
+    newest = every.agg(F.max("version")).first()[0]
+    return changes.summarize(every.filter(F.col("version") == newest).drop("version"))
+
+
+SERIES = "name string, labels string, times array<timestamp>, samples array<string>"
+
+
+def metric_series_stream(samples: DataFrame, most: int = 100) -> DataFrame:
+    """(name, labels, times, samples) of each series that a batch adds to: its newest most samples by time, oldest first, of arriving
+    samples (name, labels, ts, value). labels is the map as JSON text, keys in order. State is most samples a series; of equal times
+    the one with the larger value as text counts as newer. Mode update."""
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
+    s = samples.select("name", text.alias("labels"), "ts", F.col("value").cast("string").alias("value")).filter("name IS NOT NULL AND ts IS NOT NULL")
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times, values = state.get if state.exists else ([], [])
+        rows = list(zip(times, values, strict=True))
+        for b in batches:
+            rows += zip((b["ts"].astype("int64") // (1000 if b["ts"].dtype == "datetime64[ns]" else 1)).tolist(), b["value"], strict=True)
+            rows = sorted(rows, key=lambda x: (x[0], str(x[1])))[-most:]
+        state.update(([t for t, _ in rows], [v for _, v in rows]))
+        yield pd.DataFrame({"name": [key[0]], "labels": [key[1]], "times": [[pd.Timestamp(t, unit="us") for t, _ in rows]], "samples": [[v for _, v in rows]]})
+
+    return s.groupBy("name", "labels").applyInPandasWithState(update, SERIES, "times array<bigint>, samples array<string>", "update", "NoTimeout")
+
+
+def retention_runs(catalog: Callable[[], DataFrame], delete: Callable[[DataFrame], None], today: Callable[[], dt.date] = dt.date.today, **policy) -> Callable[[DataFrame, int], None]:
+    """For on_each_batch: each batch reads the catalog anew, plans by the retention policy as of today, and hands the plan
+    (server, label) to delete, unless it is empty."""
+
+    def run(_: DataFrame, __: int) -> None:
+        plan = retention_plan(catalog(), today(), **policy)
+        if not plan.isEmpty():
+            delete(plan)
+
+    return run
+
+
+def ticks(spark: SparkSession) -> DataFrame:
+    """A stream of one row a second, whose batches set off policy runs on the trigger of on_each_batch."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
