@@ -54,6 +54,13 @@ def test_contexts_discover(spark):
     assert got[100] == "id:12:24"
 
 
+def test_shapes_seed_and_frequent_words_do_not(spark):
+    key = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    rows = [(i, f'the token = "{key(i)}" of the 19{i:02d} house') for i in range(60)] + [(100, 'a token = "short-77x" here'), (101, "of the 1984b house"), (102, f"alone {key('a')}")]
+    got = {r.doc_id: r.s for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    assert got[0] == "id:13:45" and got[100] == "id:11:20" and got[102] == "id:6:38" and 101 not in got and len(got) == 62
+
+
 def test_warc_magic_inside(spark, tmp_path):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     rows = [(1, "u", inner), (2, None, "x" * 1200), (3, "a b\r\n", "x" * 1200), (4, "u", None), (3, "u", "é" * 600), (None, "u", "short")]

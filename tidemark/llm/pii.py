@@ -1,9 +1,9 @@
 """Personal data by base patterns and by bootstrapped contexts, with DataFrame functions only.
 
-Matches of the base patterns are the seeds. The words before a match (and what the word itself starts with, as in `id:`) make
-lexical patterns; patterns and the word values that they introduce form a graph, on which Spark scores patterns by the share
-of known identifiers among their values, and values by their patterns, round after round. Values that reach the threshold
-become spans of the kind `id`.
+Matches of the base patterns are the seeds, and so are words in the shape of a key (SHAPE). The words before a match (and what the word
+itself starts with, as in `id:`) make lexical patterns; patterns and the word values that they introduce form a graph, on which Spark
+scores patterns by the share of known identifiers among their values, and values by their patterns, round after round. Only patterns
+that reach CONFIDENT count. Values that reach the threshold become spans of the kind `id`.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ BASE = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A word in the shape of a key: 32 hexadecimal digits or more, figures among them.
+SHAPE = r"^(?=.*[0-9])[0-9A-Fa-f]{32,}$"
 ROUNDS = 3
-LEAST = 0.75
+LEAST, CONFIDENT = 0.75, 0.5
 MIN_LENGTH = 6
 
 
@@ -74,7 +76,7 @@ def _matches(documents: DataFrame) -> DataFrame:
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """Words with digits or @ and what introduces them: (doc_id, text_key, start, stop, value, seed, patterns)."""
+    """Words with digits or @ and what introduces them: (doc_id, text_key, start, stop, value, seed, shaped, patterns)."""
     is_word = F.col("kind") == 4
     # in order of a base match's start and a word's end, the furthest end so far tells whether a base match overlaps the word
     by = W.partitionBy("doc_id", "text_key").orderBy(F.when(is_word, F.col("stop")).otherwise(F.col("start")), F.when(is_word, 0).otherwise(1))
@@ -84,23 +86,27 @@ def _occurrences(found: DataFrame) -> DataFrame:
     rest = F.expr("substring(word, char_length(lead) + 1)")
     w = w.withColumn("value", F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", ""))
     w = w.withColumn("start", F.col("start") + F.char_length("lead")).withColumn("stop", F.col("start") + F.char_length("value"))
-    lead, near = F.lower("lead"), F.split(F.trim(F.regexp_replace(F.lower("near"), r"[\x20\x09-\x0D]+", " ")), " ")
+    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
+    lead, near = plain("lead"), F.split(F.trim(F.regexp_replace(plain("near"), r"[\x20\x09-\x0D]+", " ")), " ")
     one, two = F.element_at(near, -1), F.when(F.size(near) > 1, F.element_at(near, -2))
     labelled = F.col("lead").rlike("[=:]")
     patterns = F.when(labelled, F.array(lead)).otherwise(F.array(F.concat(one, F.lit(" "), lead), F.concat(two, F.lit(" "), one, F.lit(" "), lead)))
     w = w.withColumn("patterns", F.filter(patterns, lambda p: p.isNotNull() & (F.trim(p) != "")))
-    return w.select("doc_id", "text_key", "start", "stop", "value", "seed", "patterns")
+    return w.select("doc_id", "text_key", "start", "stop", "value", "seed", F.col("value").rlike(SHAPE).alias("shaped"), "patterns")
 
 
 def _scored(occurrences: DataFrame, rounds: int) -> DataFrame:
-    """(value, score) of unseen values: edges join values to patterns, and scores go to and fro between them."""
-    edges = occurrences.select(F.xxhash64(F.lower("value")).alias("value"), "seed", F.explode("patterns").alias("p")).select("value", "seed", F.xxhash64("p").alias("p"))
-    edges = X.kept(edges.groupBy("value", "p").agg(F.max("seed").alias("seed")))
-    values = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
+    """(value, score) of the values that a confident pattern introduces, or that are known: edges join values to patterns, and scores go
+    to and fro between them. value is a hash of the word in lower case."""
+    edges = occurrences.select(F.xxhash64(F.lower("value")).alias("value"), (F.col("seed") | F.col("shaped")).alias("known"), F.explode_outer("patterns").alias("p"))
+    edges = X.kept(edges.groupBy("value", F.xxhash64("p").alias("p"), F.col("p").isNull().alias("bare")).agg(F.max("known").alias("known")))
+    known = edges.groupBy("value").agg(F.max("known").alias("known")).filter("known").select("value", F.lit(1.0).alias("score"))
+    values, edges = known, edges.filter("NOT bare").select("value", "p")
     for _ in range(rounds):
-        p = edges.join(values, "value").groupBy("p").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"))
-        values = edges.join(p, "p").groupBy("value").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.log(1 - F.lit(0.95) * F.col("trust"))))).alias("score"), F.max("seed").alias("known"))
-        values = X.kept(values)
+        # a pattern that introduces mostly unknown words, as every frequent word does, is dropped here and not joined back
+        p = edges.join(values, "value", "left").groupBy("p").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("trust")).filter(F.col("trust") >= CONFIDENT)
+        new = edges.join(p, "p").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.lit(0.95) * F.col("trust"))))).alias("score"))
+        values = X.kept(new.unionByName(known).groupBy("value").agg(F.max("score").alias("score")))
     return values
 
 
@@ -109,13 +115,14 @@ def find_pii(documents: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -
     points, kind an index into KINDS.
 
     Base kinds are the stated patterns and checks; the contextual kind, id, adds words of MIN_LENGTH characters or more that
-    hold a digit, overlap no base span, and score least or more. Null and empty texts have no spans; rows that repeat doc_id
+    hold a digit, overlap no base span, and score least or more; a word in the shape of a key scores 1, and so does a word that is a base
+    match elsewhere. Null and empty texts have no spans; rows that repeat doc_id
     and text have one result here, which holds for each of them; a null doc_id is a document like any other. Empty tables
     give empty results, further columns are ignored.
     """
     found = X.kept(_matches(documents))
     occurrences = X.kept(_occurrences(found))
-    values = _scored(occurrences, rounds).filter((F.col("score") >= least) & ~F.col("known")).select(F.col("value").alias("v"))
+    values = _scored(occurrences, rounds).filter(F.col("score") >= least).select(F.col("value").alias("v"))
     new = occurrences.filter(~F.col("seed") & (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]"))
     new = new.join(values, F.xxhash64(F.lower("value")) == F.col("v"), "left_semi")
     spans = found.filter("kind < 4").select("doc_id", "text_key", "kind", "start", "stop")

@@ -39,6 +39,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = docs.join(spans, X.same_row(docs, spans), "left").select(docs["doc_id"], F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")).alias("s"))
     base = F.filter("s", lambda x: x["kind"] < 4)
     counts = [pii.counted(F.col("s"), k).alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    counts += [pii.counted(F.col("s"), 4).alias("n_id"), F.size("s").cast("long").alias("n_spans")]
     return s.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("s")).alias("spans"))
 
 
