@@ -98,3 +98,12 @@ def test_short_items_and_cuts(spark):
     d = spark.createDataFrame([(1, "x ALPHA, beta y"), (2, None), (3, "pre " + " ".join(f"t{i}" for i in range(11)) + " post"), (4, "alpha"), (5, "")], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.text) for r in decontaminate.find_contamination(d, b, cut=True, group_bytes=10).collect()}
     assert got[1] == (4, 2, ["i1"], "x y") and got[2] == (0, 0, [], None) and got[3] == (13, 11, ["i2"], "pre post") and got[4][1] == 0
+
+
+def test_many_groups_find_what_one_finds(spark):
+    b = spark.createDataFrame([(f"i{k % 7}", " ".join(f"t{(k * 3 + j) % 29}" for j in range(k % 15))) for k in range(40)] + [(None, "t1 t2 t3"), ("x", None), ("y", "")], "item_id string, text string")
+    d = spark.createDataFrame([(k, " ".join(f"T{(k + j) % 29}" for j in range(k))) for k in range(40)], "doc_id long, text string")
+    one, many = (sorted(map(str, decontaminate.find_contamination(d, b, cut=True, group_bytes=g).collect())) for g in (1 << 20, 40))
+    assert one == many and "i3" in str(one)
+    none = decontaminate.find_contamination(d, b.limit(0)).collect()
+    assert len(none) == 40 and all(r.n_hit == 0 and r["items"] == [] for r in none)

@@ -8,6 +8,7 @@ all phrases are searched backward at once through its ranks. Places come from su
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from tidemark.llm import textops as X
 
 WINDOW = 10
 SAMPLE = 8
-#: Benchmark items are searched in groups of about so many bytes; what is sent to every executor is one group.
+#: Benchmark items are searched in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
 
 
@@ -101,23 +102,31 @@ class FMIndex:
         return out
 
 
-def phrases_of(items: list[tuple[str, str | None]], window: int = WINDOW):
-    """Vocabulary (sorted hashes), phrases as a right-aligned matrix of symbols, their lengths, and the items of each phrase."""
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        data, off = X.texts(pa.array([text], pa.string()))
-        starts, ends, _ = X.words(data, off, X.ALNUM)
-        h = X.word_hash(X.LOWER[data], starts, ends).tolist()
-        for i in range(max(len(h) - window + 1, min(len(h), 1))):
-            names = found.setdefault(tuple(h[i : i + window]), set())
-            if item is not None:
-                names.add(item)
-    vocab = np.array(sorted({h for p in found for h in p}), np.uint64)
-    matrix = np.zeros((len(found), window), np.int64)
-    length = np.array([len(p) for p in found], np.int64)
-    for k, p in enumerate(found):
-        matrix[k, window - len(p) :] = np.searchsorted(vocab, np.array(p, np.uint64)) + 1
-    return vocab, matrix, length, [sorted(v) for v in found.values()]
+def packed_items(items: list[tuple[str | None, str | None]]) -> bytes:
+    """A group of items (name, text) as vocabulary (sorted hashes of words), the items' words as symbols, where each item's start, and names."""
+    names, texts = [n for n, _ in items], pa.array([t for _, t in items], pa.string())
+    data, off = X.texts(texts)
+    starts, ends, first = X.words(data, off, X.ALNUM)
+    vocab, symbols = np.unique(X.word_hash(X.LOWER[data], starts, ends), return_inverse=True)
+    return pickle.dumps((vocab, symbols.reshape(-1).astype(np.uint32), first, names))
+
+
+def phrases_of(packed: bytes, window: int = WINDOW):
+    """Vocabulary, distinct phrases of a packed group as a right-aligned matrix of symbols, their lengths, and the items of each."""
+    vocab, symbols, first, names = pickle.loads(packed)
+    n = np.diff(first)
+    many = np.where(n >= window, n - window + 1, np.minimum(n, 1))  # windows of an item; all of it if it is shorter
+    item = np.repeat(np.arange(len(n)), many)
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + first[item]
+    length = np.minimum(n, window)[item]
+    k = np.arange(window)[None, :] - (window - length)[:, None]
+    matrix = np.where(k >= 0, symbols[np.minimum(at[:, None] + np.maximum(k, 0), max(0, len(symbols) - 1))].astype(np.int64) + 1, 0) if len(at) else np.zeros((0, window), np.int64)
+    matrix, back = np.unique(matrix, axis=0, return_inverse=True)
+    of: list[set[str]] = [set() for _ in matrix]
+    for p, i in sorted(set(zip(back.reshape(-1).tolist(), item.tolist(), strict=True))):
+        if names[i] is not None:
+            of[p].add(names[i])
+    return vocab, matrix, (matrix > 0).sum(1), [sorted(x) for x in of]
 
 
 def _searched(data: np.ndarray, off: np.ndarray, phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,17 +162,19 @@ def _searched(data: np.ndarray, off: np.ndarray, phrases) -> tuple[np.ndarray, n
     return starts, ends, first, hit, text, phrase
 
 
-def _find(groups: list, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _find(groups: list, window: int, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = phrases_of(groups[0].value, window) if len(groups) == 1 else None  # of several, one at a time is unfolded
         for t in X.blocks(batches, "text"):
             data, off = X.texts(t["text"])
             found: list[set[str]] = [set() for _ in range(t.num_rows)]
             hit = False
-            for phrases in groups:
-                starts, ends, first, here, text, phrase = _searched(data, off, phrases.value)
+            for group in groups:
+                phrases = only or phrases_of(group.value, window)
+                starts, ends, first, here, text, phrase = _searched(data, off, phrases)
                 hit = hit | here
                 for d, p in set(zip(text.tolist(), phrase.tolist(), strict=True)):
-                    found[d].update(phrases.value[3][p])
+                    found[d].update(phrases[3][p])
             n_hit = np.add.reduceat(np.append(hit, False), np.minimum(first[:-1], len(hit))) if len(first) > 1 else []
             n_words = np.diff(first)
             n_hit = np.where(n_words > 0, n_hit, 0)
@@ -199,8 +210,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     them up to the next word. Null texts have no words and stay null. Repeated rows are judged one by one; empty tables
     give empty results, and an empty benchmark hits nothing. An item without item_id hits, but is not among items. Columns n_words, n_hit and items replace ones so named.
 
-    The benchmark is read in groups of about group_bytes of text, each broadcast by itself; a task searches its block for one
-    group after another and joins the hits, so a benchmark of any size gives whole results.
+    The benchmark is packed by tasks in groups of about group_bytes of text, each broadcast by itself; a task searches its block for
+    one group after another and joins the hits. The driver holds one packed group at a time; a worker holds all of them, some four
+    bytes a word, and the phrases of one, so what a worker can hold bounds the benchmark's size, not the results.
     """
     docs = documents.drop("n_words", "n_hit", "items")
     spark = docs.sparkSession
@@ -209,11 +221,15 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     groups = max(1, -(-sized // group_bytes))
     items = items.withColumn("g", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
     plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text" or cut)
-    sent = []
-    for g in range(groups):
-        rows = items.filter(F.col("g") == g).select("item", "text").toLocalIterator()
-        sent.append(spark.sparkContext.broadcast(phrases_of([(r.item, r.text) for r in rows], window)))
-    return docs.mapInArrow(X.task(_find(sent, cut)), plain + "n_words long, n_hit long, items array<string>")
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["item"].to_pylist(), t["text"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r))
+        return pa.table({"packed": pa.array([packed_items(rows)], pa.binary())})
+
+    packed = items.groupBy("g").applyInArrow(pack, "packed binary")
+    sent = [spark.sparkContext.broadcast(r.packed) for r in packed.toLocalIterator()]
+    sent = sent or [spark.sparkContext.broadcast(packed_items([]))]
+    return docs.mapInArrow(X.task(_find(sent, window, cut)), plain + "n_words long, n_hit long, items array<string>")
 
 
 def items_digest(items: str):
