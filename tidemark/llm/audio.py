@@ -20,6 +20,7 @@ from tidemark.llm import textops as X
 MU_LAW, A_LAW, IMA, PCM = 7, 6, 17, 1
 #: Samples a second of stored sounds, and of the PCM made of them.
 RATE, TARGET = 16000, 8000
+LEVEL = "parquet.compression.codec.zstd.level"
 BLOCK = 192
 SAMPLES = 1 + 2 * (BLOCK - 4)
 
@@ -168,7 +169,7 @@ def store_texts(documents: DataFrame, path: str) -> None:
 
     Repeated rows are stored each; null doc_ids stay null; further columns are ignored; an empty table gives an empty one.
     """
-    documents.select("doc_id", "text").mapInArrow(X.task(_store), "doc_id long, n_bytes long, sound binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    documents.select("doc_id", "text").mapInArrow(X.task(_store), "doc_id long, n_bytes long, sound binary").write.mode("overwrite").option("compression", "zstd").option(LEVEL, 7).parquet(path)
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, a_law long, adpcm long, peak long, sound binary"
@@ -199,7 +200,7 @@ def write_pcm(spark: SparkSession, path: str, to: str) -> None:
     """The sounds at path, as store_texts writes them, read back and written to a table at to as PCM at TARGET samples a second, with
     digests of what was stored. Nulls, repeated rows and empty tables go through row by row."""
     read = spark.read.parquet(path).select("doc_id", "n_bytes", "sound").mapInArrow(X.task(_read), READ)
-    to_pcm(read).drop("sound").write.mode("overwrite").option("compression", "zstd").parquet(to)
+    to_pcm(read).drop("sound").write.mode("overwrite").option("compression", "zstd").option(LEVEL, 7).parquet(to)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
