@@ -79,3 +79,38 @@ def test_mixing_and_token_ids(spark, folder):
     want = sorted((repr(r[0]), len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in rows)
     assert sorted((repr(r.doc_id), r.n_tokens) for r in tokens) == want
     assert min(r.start for r in tokens) == 0
+
+
+def test_the_whole_run(spark, tmp_path):
+    """Stage by stage on what the stage before wrote: each result is what brute force makes of it."""
+    labels = [(100 + i, int(i % 2)) for i in range(60)]
+    rows = corpus() + [(100 + i, f"{'filth ' if i % 2 else 'fine '}word{i} " * 8, "en", "s1", 5) for i in range(60)]
+    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS words", "2 AS size", "3 AS node").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", rows[3][1])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mine = [tuple(r) for r in docs.select(P.COLUMNS).collect()]
+    for k, (name, stage) in enumerate(P.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        assert docs.columns == P.COLUMNS
+        got = [tuple(r) for r in docs.collect()]
+        if name == "toxicity":
+            assert not any("filth" in (r[1] or "") for r in got) and set(map(repr, got)) >= {repr(r) for r in mine if "fine" in (r[1] or "")}
+        elif name == "near_duplicates":
+            assert len(got) == len(groups(mine)) and set(map(repr, got)) <= set(map(repr, mine))
+        elif name == "decontamination":
+            assert not any(rows[3][1] in (r[1] or "") for r in got) and len(got) == len(mine) - sum(r[1] == rows[3][1] for r in mine)
+        else:
+            total = sum(len((r[1] or "").split()) for r in mine)
+            assert abs(sum(len((r[1] or "").split()) for r in got) - 1.5 * total) <= 2  # one word a source
+        mine = got
+    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    want = sorted((repr(r[0]), len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in mine)
+    assert sorted((repr(r.doc_id), r.n_tokens) for r in P.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_run_over_nothing(spark, tmp_path):
+    for name, kind in (("documents", SCHEMA), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id string, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
