@@ -5,6 +5,7 @@ import io
 import random
 import tarfile
 
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -40,10 +41,12 @@ def test_unpacking(spark, tmp_path):
     (tmp_path / "a.gz").write_bytes(gzip.compress(data) + gzip.compress(data))
     (tmp_path / "b.bz2").write_bytes(bz2.compress(data))
     (tmp_path / "c.zstd").write_bytes(zstandard.compress(data))
+    with pa.CompressedOutputStream(str(tmp_path / "f.lz4"), "lz4") as f:
+        f.write(data)
     (tmp_path / "d.tar").write_bytes(tar_of(x=data, y=b""))
     (tmp_path / "e.tgz").write_bytes(gzip.compress(tar_of(z=data)))
     got = {r["name"]: bytes(r.content) for r in R.read_compressed(spark, str(tmp_path)).collect()}
-    assert got["a"] == data * 2 and got["b"] == got["c"] == data and "e.tar" in got
+    assert got["a"] == data * 2 and got["b"] == got["c"] == got["f"] == data and "e.tar" in got
     assert {(r["name"], bytes(r.content)) for r in R.expand_archives(spark, str(tmp_path)).collect()} == {("x", data), ("y", b""), ("z", data)}
 
 

@@ -67,6 +67,8 @@ query("p8_relation_path", "SELECT DISTINCT db, rel, fork, CASE WHEN db=0 THEN 'g
     on(V.v_blocks, lambda b: b.select("db", "rel", "fork", B.relation_path(F.when(F.col("db") == 0, 1664).when(F.col("db") == 1, 1700).otherwise(1663), F.col("db"), F.col("rel"), F.col("fork")).alias("path")).distinct()))
 query("p9_parse_relation_path", "SELECT DISTINCT 'base/'||db||'/'||rel||['','_fsm','_vm','_init'][fork+1]||'.'||(rel%3) AS path, spc, db, rel, fork, rel%3 AS segno FROM v_blocks")(
     on(V.v_blocks, lambda b: B.parse_relation_path(b.select(F.concat(B.relation_path(F.col("spc"), F.col("db"), F.col("rel"), F.col("fork")), F.lit("."), (F.col("rel") % 3).cast("string")).alias("path")).distinct())))
+query("p9_all_spaces", "SELECT DISTINCT CASE WHEN db=0 THEN 'global/' WHEN db=1 THEN 'pg_tblspc/1700/PG_17/1/' ELSE 'base/'||db||'/' END||rel||['','_fsm','_vm','_init'][fork+1] AS path, CASE WHEN db=0 THEN 1664 WHEN db=1 THEN 1700 ELSE 1663 END::BIGINT AS spc, db, rel, fork, 0::BIGINT AS segno FROM v_blocks")(
+    on(V.v_blocks, lambda b: B.parse_relation_path(b.select(B.relation_path(F.when(F.col("db") == 0, 1664).when(F.col("db") == 1, 1700).otherwise(1663), F.col("db"), F.col("rel"), F.col("fork")).alias("path")).distinct())))
 query("p10_wal_limit", f"{SELECT} FROM v_wal ORDER BY lsn LIMIT 100")(on(V.v_wal, lambda w: wal.wal_limit(w, 100).select(COLS)))
 query("p11_list_backups", "SELECT server, label, size, type, parent_label FROM v_catalog")(on(V.v_catalog, lambda c: C.list_backups(c, True).select("server", "label", "size", "type", "parent_label")))
 query("p12_backup_info", "SELECT server, label, size FROM v_catalog WHERE server=3 ORDER BY label DESC LIMIT 1")(on(V.v_catalog, lambda c: C.backup_info(c, 3, "newest").select("server", "label", "size")))
