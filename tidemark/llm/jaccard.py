@@ -35,22 +35,26 @@ BUCKET_ROWS = 300_000
 HELD_ROWS = 4_000_000
 
 
-SHINGLED = "doc_id long, text_key long, n_shingles long, node binary, bucket long, blob binary"
-_SHINGLED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bucket", pa.int64()), ("blob", pa.binary())])
+#: A text's own row has all but sig, unit, spare, n and blob; packed signatures have bucket and blob; signatures that met sig to n.
+FIELDS = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_shingles": pa.int64(), "node": pa.binary(), "bucket": pa.int64(), "blob": pa.binary(), "sig": pa.int64(), "unit": pa.int32(), "spare": pa.int32(), "n": pa.int32()}
+ROWS = "doc_id long, text_key long, n_shingles long, node binary, bucket long, blob binary, sig long, unit int, spare int, n int"
+_KEYED = np.dtype([("n1", np.uint64), ("n2", np.uint64), ("unit", np.uint16), ("spare", np.uint8)])
+
+
+def _batch(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(size, kind)) for name, kind in FIELDS.items()], names=list(FIELDS))
 
 
 def _shingled(sim: S.Similarity, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each text, its set's key as node; and the signatures of a block's sets, one packed row a bucket. A set signs once a block."""
 
-    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _SHINGLED], schema=_SHINGLED)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for t in X.blocks(batches, "text"):
             v, first = S.shingles(t["text"], sim.words)
             size, node = np.diff(first), S.set_keys(v, first)
-            yield batch(len(size), doc_id=t["doc_id"].combine_chunks(), text_key=t["text_key"].combine_chunks(), n_shingles=pa.array(size, pa.int64()), node=S.as_binary(node, size == 0))
+            spread = (node[:, 0] % np.uint64(n_buckets)).astype(np.int64)
+            yield _batch(len(size), doc_id=t["doc_id"].combine_chunks(), text_key=t["text_key"].combine_chunks(), n_shingles=pa.array(size, pa.int64()), node=S.as_binary(node, size == 0), bucket=pa.array(spread))
             _, one = np.unique(node, axis=0, return_index=True)
             one = one[size[one] > 0]
             n = size[one]
@@ -62,24 +66,24 @@ def _shingled(sim: S.Similarity, n_buckets: int) -> Callable[[Iterator[pa.Record
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             out_b, out = [], []
             for i, j in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-                used, back = np.unique(doc[i:j], return_inverse=True)
-                raw = node[one[used]].tobytes() + back.astype(np.uint32).tobytes() + sig[i:j].tobytes() + unit[i:j].astype(np.uint16).tobytes() + np.minimum(spare[i:j], 255).astype(np.uint8).tobytes()
+                _, at, back = np.unique(doc[i:j] << 16 | unit[i:j], return_index=True, return_inverse=True)
+                head = np.empty(len(at), _KEYED)
+                head["n1"], head["n2"] = node[one[doc[i:j][at]]].T
+                head["unit"], head["spare"] = unit[i:j][at], np.minimum(spare[i:j][at], 255)
+                raw = head.tobytes() + back.astype(np.uint32).tobytes() + sig[i:j].tobytes()
                 out_b.append(int(bucket[i]))
-                out.append(struct.pack("<qq", len(used), j - i) + pack.compress(raw))
+                out.append(struct.pack("<qq", len(at), j - i) + pack.compress(raw))
             if out:
-                yield batch(len(out), bucket=pa.array(out_b, pa.int64()), blob=pa.array(out, pa.binary()))
+                yield _batch(len(out), bucket=pa.array(out_b, pa.int64()), blob=pa.array(out, pa.binary()))
 
     return run
 
 
-MET = "sig long, node binary, unit int, spare int, n int"
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node, unit, spare, n) of the signatures that n nodes share, two at least; of a bucket that outgrows HELD_ROWS all rows, n null,
-    for Spark to group."""
+    """The rows of texts as they are, and (sig, node, unit, spare, n) of the signatures that n nodes share, two at least; of a bucket
+    that outgrows HELD_ROWS all rows, n null, for Spark to group."""
     unpack = zstandard.ZstdDecompressor()
-    kind = np.dtype([("sig", np.int64), ("n1", np.uint64), ("n2", np.uint64), ("unit", np.uint16), ("spare", np.uint8)])
+    kind = np.dtype([("sig", np.int64), *_KEYED.descr])
     now, rows, held, whole = None, [], 0, True
 
     def compact(only_shared: bool) -> np.ndarray:
@@ -99,21 +103,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(r), 100_000):
             x = r[i : i + 100_000]
             many = pa.array(n[i : i + 100_000]) if all_there else pa.nulls(len(x), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x["sig"].copy()), S.as_binary(np.stack((x["n1"], x["n2"]), 1)), pa.array(x["unit"].astype(np.int32)), pa.array(x["spare"].astype(np.int32)), many], names=["sig", "node", "unit", "spare", "n"])
+            yield _batch(len(x), sig=pa.array(x["sig"].copy()), node=S.as_binary(np.stack((x["n1"], x["n2"]), 1)), unit=pa.array(x["unit"].astype(np.int32)), spare=pa.array(x["spare"].astype(np.int32)), n=many)
 
     for batch in batches:
+        own = batch["blob"].is_null()
+        if own.true_count:
+            yield batch.filter(own)
         for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"], strict=True):
+            if not blob.is_valid:
+                continue
             if bucket != now:
                 if held:
                     yield from out(compact(whole), whole)
                 now, rows, held, whole = bucket, [], 0, True
             b = blob.as_buffer().to_pybytes()
             k, n = struct.unpack_from("<qq", b)
-            raw = unpack.decompress(b[16:], max_output_size=16 * k + 15 * n)
-            own, back = np.frombuffer(raw, np.uint64, 2 * k).reshape(-1, 2), np.frombuffer(raw, np.uint32, n, 16 * k)
+            raw = unpack.decompress(b[16:], max_output_size=_KEYED.itemsize * k + 12 * n)
+            head, back = np.frombuffer(raw, _KEYED, k), np.frombuffer(raw, np.uint32, n, _KEYED.itemsize * k)
             r = np.empty(n, kind)
-            r["n1"], r["n2"] = own[back].T
-            r["sig"], r["unit"], r["spare"] = np.frombuffer(raw, np.int64, n, 16 * k + 4 * n), np.frombuffer(raw, np.uint16, n, 16 * k + 12 * n), np.frombuffer(raw, np.uint8, n, 16 * k + 14 * n)
+            for name in _KEYED.names:
+                r[name] = head[name][back]
+            r["sig"] = np.frombuffer(raw, np.int64, n, _KEYED.itemsize * k + 4 * n)
             rows.append(r)
             held += n
             if held > HELD_ROWS:
@@ -126,9 +136,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(compact(whole), whole)
 
 
-def _met(signed: DataFrame, meeting: int) -> DataFrame:
-    """(sig, node, blocks) of the meetings of two nodes or more, without those that their sets can spare."""
-    met = X.written(signed.mapInArrow(X.task(_meet), MET))
+def _met(met: DataFrame, meeting: int) -> DataFrame:
+    """(sig, node, blocks) of the meetings of two nodes or more, without those that their sets can spare; met is what _meet gives."""
     left = met.filter("n IS NULL").drop("n")
     if not left.isEmpty():
         left = X.written(left.distinct())
@@ -317,10 +326,10 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     n_buckets = max(1, round(total * 2.2 * (sim.den - sim.num) / (sim.den + sim.num) / bucket_rows))
     parts = min(n_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16))
-    shingled = X.written(docs.mapInArrow(X.task(_shingled(sim, n_buckets)), SHINGLED))
-    nodes = shingled.filter("blob IS NULL").select("doc_id", "text_key", "n_shingles", "node")
-    signed = shingled.filter("blob IS NOT NULL").select("bucket", "blob")
-    met = _met(signed.repartition(parts, "bucket").sortWithinPartitions("bucket"), meeting)
+    dealt = docs.mapInArrow(X.task(_shingled(sim, n_buckets)), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    rows = X.written(dealt.mapInArrow(X.task(_meet), ROWS))
+    nodes = rows.filter("sig IS NULL").select("doc_id", "text_key", "n_shingles", "node")
+    met = _met(rows.filter("sig IS NOT NULL").select("sig", "node", "unit", "spare", "n"), meeting)
     # one document stands for each node that meets another
     stands = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("node", "d.doc_id", "d.text_key")
     stands = stands.join(met.select("node").distinct(), "node", "left_semi")
