@@ -396,7 +396,7 @@ def repeated_spans(documents: DataFrame, w: Windows, label: Callable, bucket_byt
     left, spans = docs.mapInArrow(X.task(_deal(w, label, n_buckets)), SHUFFLED), []
     for level in range(levels + 1):
         dealt = left.repartition(parts, "bucket").sortWithinPartitions("bucket")
-        met = X.kept(dealt.mapInArrow(X.task(_meet(w, label, chunk_bytes, level, levels, n_buckets * SPREAD**level)), SHUFFLED))
+        met = X.written(dealt.mapInArrow(X.task(_meet(w, label, chunk_bytes, level, levels, n_buckets * SPREAD**level)), SHUFFLED))
         spans.append(met.filter(F.col("kind") == SPAN).select("doc_id", "text_key", "start", "stop"))
         left = met.filter(F.col("kind") == BLOB)
         if level < levels and left.isEmpty():
