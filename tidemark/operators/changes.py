@@ -21,6 +21,65 @@ def effective_limits(events: DataFrame) -> DataFrame:
     return e.filter("low IS NULL OR limit_block < low").drop("low")
 
 
+def _number(data: Column, at: Column | int, width: int = 4) -> Column:
+    """The little-endian unsigned number of width bytes that starts at byte at (from 0) of a binary column; null beyond its end."""
+    h = F.hex(F.substring(data, at + 1 if isinstance(at, Column) else F.lit(at + 1), F.lit(width)))
+    turned = F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(width))])
+    return F.when(F.length(h) == 2 * width, F.conv(turned, 16, 10).cast("long"))
+
+
+#: Operations of resource managers that change limits, and log operations of which no block counts.
+XACT_ENDS = (0x00, 0x20, 0x30, 0x40)
+STORAGE_CREATE, STORAGE_TRUNCATE, TRUNCATES_HEAP, TRUNCATES_VM = 0x10, 0x20, 1, 2
+NO_BLOCKS = (0x00, 0x60, 0x90, 0xE0)
+MAIN, VM, INIT = 0, 2, 3
+
+
+def block_events(records: DataFrame) -> DataFrame:
+    """Events (spc, db, rel, fork, lsn, phase 0 limit or 1 mark, limit_block, blk) of decoded records, as read_wal_records gives them.
+
+    Ends of transactions cut the forks of dropped relations to 0, a new fork is cut to 0, a truncation cuts the main fork and the visibility map
+    as its flags say, and a database that is made or dropped cuts its relation 0 in each tablespace. Then each block reference is
+    a mark. Free space maps have no events. Checkpoints of a shutdown or redo, ends of recovery and changed parameters have none, nor do
+    partial records. Payloads that are cut short have no limits.
+    """
+    r = records.filter(~F.coalesce("partial", F.lit(False)) & ~((F.col("rmid") == 0) & F.col("info").bitwiseAND(F.lit(0xF0)).isin(*NO_BLOCKS)))
+    op, data = F.col("info").bitwiseAND(F.lit(0xF0)), F.col("main_data")
+    at = lambda k: _number(data, 4 * k)
+    limit = lambda spc, db, rel, fork, blk: F.struct(spc.alias("spc"), db.alias("db"), rel.alias("rel"), fork.cast("int").alias("fork"), blk.cast("long").alias("limit_block"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<spc:bigint,db:bigint,rel:bigint,fork:int,limit_block:bigint>>")
+    forks = F.array(*map(F.lit, (MAIN, VM, INIT)))
+    dropped = F.flatten(F.transform("dropped_rels", lambda x: F.transform(forks, lambda f: limit(x["spc"], x["db"], x["rel"], f, zero))))
+    new = F.array(limit(at(0), at(1), at(2), at(3), zero))
+    flags = at(4)
+    cut = lambda flag, fork: F.when(flags.bitwiseAND(F.lit(flag)) != 0, limit(at(1), at(2), at(3), F.lit(fork), at(0)))
+    cuts = F.array_compact(F.array(cut(TRUNCATES_HEAP, MAIN), cut(TRUNCATES_VM, VM)))
+    drops = F.when(F.col("version") >= 15, op == 0x20).otherwise(op == 0x10)
+    made = (op == 0x00) | ((F.col("version") >= 15) & (op == 0x10))
+    spaces = F.when(at(1) > 0, F.sequence(F.lit(0).cast("long"), at(1) - 1)).otherwise(F.array().cast("array<bigint>"))
+    emptied = F.transform(spaces, lambda k: limit(_number(data, k * 4 + 8), at(0), zero, F.lit(MAIN), zero))
+    made_in = F.array(limit(at(1), at(0), zero, F.lit(MAIN), zero))
+    rmid, xact = F.col("rmid"), F.col("info").bitwiseAND(F.lit(0x70))
+    limits = (
+        F.when((rmid == 1) & xact.isin(*XACT_ENDS), dropped)
+        .when((rmid == 2) & (op == STORAGE_CREATE), new)
+        .when((rmid == 2) & (op == STORAGE_TRUNCATE), cuts)
+        .when((rmid == 4) & drops, emptied)
+        .when((rmid == 4) & made, made_in)
+    )
+    whole = F.filter(F.coalesce(limits, none), lambda x: x["spc"].isNotNull() & x["db"].isNotNull() & x["rel"].isNotNull() & (x["fork"] != FREE_SPACE) & x["limit_block"].isNotNull())
+    marks = F.filter("blocks", lambda b: b["fork"] != FREE_SPACE)
+    event = lambda x, phase, lim, blk: F.struct(*[x[k].alias(k) for k in KEY], F.lit(phase).alias("phase"), lim.cast("long").alias("limit_block"), blk.cast("long").alias("blk"))
+    every = F.concat(F.transform(whole, lambda x: event(x, 0, x["limit_block"], F.lit(None))), F.transform(F.coalesce(marks, F.array().cast(records.schema["blocks"].dataType)), lambda b: event(b, 1, F.lit(None), b["blk"])))
+    return r.select("lsn", F.explode(every).alias("e")).select(*[f"e.{k}" for k in KEY], "lsn", "e.phase", "e.limit_block", "e.blk")
+
+
+def last_limits(events: DataFrame) -> DataFrame:
+    """(key, limit_block, lsn): the lowest limit of each fork and where it first came up, which is the last limit that took effect."""
+    low = events.filter("phase = 0 AND limit_block IS NOT NULL").groupBy(*KEY).agg(F.min(F.struct("limit_block", "lsn")).alias("low"))
+    return low.select(*KEY, "low.limit_block", "low.lsn")
+
+
 def brt_limits(events: DataFrame) -> DataFrame:
     return events.filter("phase = 0 AND limit_block IS NOT NULL").groupBy(*KEY).agg(F.min("limit_block").alias("limit_block"))
 
@@ -28,8 +87,8 @@ def brt_limits(events: DataFrame) -> DataFrame:
 def summarize(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Modified blocks (key, blk) of events (key, lsn, phase 0 limit or 1 mark, limit_block, blk) with start <= lsn < end.
 
-    A limit removes marks at or above it that came before; later marks stay. Of limits after a mark only the lowest matters,
-    so each mark is joined with one row a fork and limit event that took effect, on the fork's key.
+    A limit removes marks at or above it that came before; later marks stay. It only takes effect where it is lower than all before
+    it, so of the limits after a mark the last one is the lowest: each mark is held against one row of its fork.
     """
     if start is not None:
         events = events.filter(F.col("lsn") >= start)
@@ -37,9 +96,9 @@ def summarize(events: DataFrame, start: int | None = None, end: int | None = Non
         events = events.filter(F.col("lsn") < end)
     marks = events.filter((F.col("phase") == 1) & (F.col("fork") != FREE_SPACE) & F.col("blk").isNotNull())
     marks = marks.groupBy(*KEY, "blk").agg(F.max("lsn").alias("last"))
-    limits = effective_limits(events).select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("lsn").alias("_lsn"), "limit_block")
-    same = [F.col(k) == F.col(f"_{k}") for k in KEY]
-    return marks.join(limits, [*same, F.col("limit_block") <= F.col("blk"), F.col("_lsn") > F.col("last")], "left_anti").select(*KEY, "blk")
+    low = last_limits(events).select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("lsn").alias("_lsn"), "limit_block")
+    out = marks.join(low, [F.col(k) == F.col(f"_{k}") for k in KEY], "left")
+    return out.filter(F.col("limit_block").isNull() | (F.col("blk") < F.col("limit_block")) | (F.col("last") >= F.col("_lsn"))).select(*KEY, "blk")
 
 
 def brt_range(blocks: DataFrame, start: int, stop: int) -> DataFrame:

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import crc32c
 from tidemark.operators.ordered import by_log, carried
 
-def _listed(df: DataFrame, column: str, values: list, to: str) -> DataFrame:
-    """Distinct values as a table with one column, to, for joins with a list of any length."""
-    kind = df.schema[column].dataType
-    return df.sparkSession.createDataFrame([(v,) for v in values], f"`{to}` {kind.simpleString()}").distinct()
-
 
-def _among(df: DataFrame, column: str, values: list) -> DataFrame:
-    return df.join(_listed(df, column, values, column), column, "left_semi").select(df.columns)
+def _among(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
+    """Rows whose column is in a list, which is pushed into the scan, or in the first column of a table, which is joined."""
+    if isinstance(values, DataFrame):
+        return df.join(values.select(F.col(values.columns[0]).alias(column)).distinct(), column, "left_semi").select(df.columns)
+    return df.filter(F.col(column).isin(list(values)))
 
 
-def wal_filter(records: DataFrame, rmgrs: list[str] | None = None, start_lsn: int = 0, end_lsn: int = 0, xids: list[int] | None = None) -> DataFrame:
-    """Keep records by resource manager, bounds (0: none) and transactions; partial records and no-ops never pass."""
+def wal_filter(records: DataFrame, rmgrs: list[str] | DataFrame | None = None, start_lsn: int = 0, end_lsn: int = 0, xids: list[int] | DataFrame | None = None) -> DataFrame:
+    """Keep records by resource manager, bounds (0: none) and transactions; partial records and no-ops never pass. Lists that are
+    given as values are part of the scan's filters; lists as large as tables are given as tables."""
     out = records
     if "partial" in records.columns:
         out = out.filter(~F.col("partial"))
@@ -29,21 +32,34 @@ def wal_filter(records: DataFrame, rmgrs: list[str] | None = None, start_lsn: in
         out = out.filter(F.col("prev_lsn") >= start_lsn)
     if end_lsn > 0:
         out = out.filter(F.col("lsn") <= end_lsn)
-    if rmgrs:
+    given = lambda values: isinstance(values, DataFrame) or bool(values)
+    if given(rmgrs):
         out = _among(out, "rmgr", rmgrs)
-    return _among(out, "xid", xids) if xids else out
+    return _among(out, "xid", xids) if given(xids) else out
 
 
-def wal_filter_objects(records: DataFrame, names: list[str]) -> DataFrame:
-    """Records whose description names any of the objects."""
+def _named(records: DataFrame, names: list[str], mapping: DataFrame | None) -> Column:
+    """Does the record name any of the objects: in its description, or as tablespace, database or relation of a block, by number or, where
+    mapping (oid, name) resolves it, by name?"""
     hit = F.lit(False)
     for n in names:
-        hit = hit | F.col("description").contains(n)
-    return records.filter(hit) if names else records
+        hit = hit | F.coalesce(F.contains(F.col("description"), F.lit(n)), F.lit(False))
+    if "blocks" not in records.columns:
+        return hit
+    wanted = F.array(*[F.lit(int(n)).cast("long") for n in names if n.isdecimal()]).cast("array<bigint>")
+    if mapping is not None:
+        wanted = F.concat(wanted, mapping.filter(F.col("name").isin(names)).agg(F.collect_set(F.col("oid").cast("long")).alias("oids")).scalar())
+    touched = F.flatten(F.transform("blocks", lambda b: F.array(b["rel"], b["db"], b["spc"])))
+    return hit | F.coalesce(F.arrays_overlap(touched, wanted), F.lit(False))
+
 
+def wal_filter_objects(records: DataFrame, names: list[str], mapping: DataFrame | None = None) -> DataFrame:
+    """Records that name any of the objects: in the description, or in their blocks by number or resolved by mapping (oid, name)."""
+    return records.filter(_named(records, names, mapping)) if names else records
 
-def wal_filter_interactive(records: DataFrame, rmgrs: str = "", start_lsn: int = 0, end_lsn: int = 0, xids: str = "", relations: str = "") -> DataFrame:
-    """Filters given as comma lists; resource managers in any case, a relation by number or as part of the description."""
+
+def wal_filter_interactive(records: DataFrame, rmgrs: str = "", start_lsn: int = 0, end_lsn: int = 0, xids: str = "", relations: str = "", mapping: DataFrame | None = None) -> DataFrame:
+    """Filters given as comma lists; resource managers in any case, a relation by number, by name or as part of the description."""
     parts = lambda s: [x.strip() for x in s.split(",") if x.strip()]
     out = records
     if parts(rmgrs):
@@ -54,7 +70,7 @@ def wal_filter_interactive(records: DataFrame, rmgrs: str = "", start_lsn: int =
         out = out.filter(F.col("lsn") <= end_lsn)
     if parts(xids):
         out = _among(out, "xid", [int(x) for x in parts(xids)])
-    return wal_filter_objects(out, parts(relations))
+    return wal_filter_objects(out, parts(relations), mapping)
 
 
 def wal_search(records: DataFrame, rmgr: str | None = None, start_lsn: int = 0, end_lsn: int = 0, xid: int | None = None, text: str | None = None, most: int | None = None) -> DataFrame:
@@ -85,9 +101,30 @@ def next_lsn(records: DataFrame, by: str = "timeline") -> DataFrame:
     return r.withColumn("next_lsn", F.coalesce("next_lsn", F.lit(0)))
 
 
-def with_op(records: DataFrame, ops: DataFrame) -> DataFrame:
-    """Adds op, the operation's name, from ops (rmid, mask, info, op); no entry gives null. ops is a fixed list of operations."""
-    return records.join(F.broadcast(ops), (records["rmid"] == ops["rmid"]) & (records["info"].bitwiseAND(ops["mask"]) == ops["info"]), "left").select(records["*"], ops["op"])
+#: Of each resource manager that has named operations the bits of info that tell them, and the names.
+OPERATIONS = {
+    0: (0xF0, {
+        0x00: "CHECKPOINT_SHUTDOWN", 0x10: "CHECKPOINT_ONLINE", 0x20: "NOOP", 0x30: "NEXTOID", 0x40: "SWITCH", 0x50: "BACKUP_END", 0x60: "PARAMETER_CHANGE",
+        0x70: "RESTORE_POINT", 0x80: "FPW_CHANGE", 0x90: "END_OF_RECOVERY", 0xA0: "FPI_FOR_HINT", 0xB0: "FPI", 0xE0: "CHECKPOINT_REDO",
+    }),
+    1: (0x70, {0x00: "COMMIT", 0x10: "PREPARE", 0x20: "ABORT", 0x30: "COMMIT_PREPARED", 0x40: "ABORT_PREPARED"}),
+    8: (0xF0, {0x00: "LOCK", 0x10: "RUNNING_XACTS"}),
+    10: (0x70, {0x00: "INSERT", 0x10: "DELETE", 0x20: "UPDATE", 0x30: "TRUNCATE", 0x40: "HOT_UPDATE", 0x70: "INPLACE"}),
+    11: (0xF0, {0x00: "INSERT_LEAF", 0x10: "INSERT_UPPER", 0x30: "SPLIT_L", 0x40: "SPLIT_R", 0x70: "DELETE"}),
+}
+
+
+def with_op(records: DataFrame, ops: DataFrame | None = None) -> DataFrame:
+    """Adds op, the operation's name, null where it has none: of OPERATIONS by rmid and info, or from ops (rmid, mask, info, op), a fixed list
+    of other operations."""
+    if ops is not None:
+        return records.join(F.broadcast(ops), (records["rmid"] == ops["rmid"]) & (records["info"].bitwiseAND(ops["mask"]) == ops["info"]), "left").select(records["*"], ops["op"])
+    op = F.lit(None).cast("string")
+    for rmid, (mask, names) in OPERATIONS.items():
+        code = F.col("info").bitwiseAND(F.lit(mask))
+        table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        op = F.when(F.col("rmid") == rmid, F.try_element_at(table, code.cast("int"))).otherwise(op)
+    return records.withColumn("op", op)
 
 
 def record_lengths(records: DataFrame) -> DataFrame:
@@ -130,7 +167,8 @@ def xact_timestamps(records: DataFrame) -> DataFrame:
     """Adds ts: a record's own commit time, else that of its transaction (of several the earliest record's); xid 0 has none."""
     own = records.filter(F.col("xact_ts").isNotNull()).select("lsn", "xact_ts", F.explode(F.array_prepend(F.coalesce("subxacts", F.array().cast("array<long>")), F.col("xid"))).alias("_xid"))
     times = own.filter("_xid <> 0").groupBy("_xid").agg(F.min_by("xact_ts", "lsn").alias("_ts"))
-    return records.join(times, F.col("xid") == F.col("_xid"), "left").withColumn("ts", F.coalesce("xact_ts", "_ts")).drop("_xid", "_ts")
+    own_xid = F.nullif("xid", F.lit(0))  # no record of xid 0 takes part in the join
+    return records.join(times, own_xid == F.col("_xid"), "left").withColumn("ts", F.coalesce("xact_ts", "_ts")).drop("_xid", "_ts")
 
 
 def rmgr_counts(records: DataFrame) -> DataFrame:
@@ -145,20 +183,44 @@ def wal_stats(records: DataFrame) -> DataFrame:
     return s.select("*", *[share(c).alias(f"{c}_pct") for c in ("n", "record_size", "fpi_size", "combined_size")])
 
 
-def wal_filter_xids(records: DataFrame, xids: list[int]) -> DataFrame:
-    """Records of the transactions become no-ops; none goes. Adds changed."""
-    gone = _listed(records, "xid", xids, "_x")
-    r = records.join(gone, F.col("xid") == F.col("_x"), "left").withColumn("changed", F.col("_x").isNotNull()).drop("_x")
-    if "toplevel_xid" in records.columns:
-        r = r.join(gone, F.col("toplevel_xid") == F.col("_x"), "left").withColumn("changed", F.col("changed") | F.col("_x").isNotNull()).drop("_x")
-    return r.withColumn("rmgr", F.when(F.col("changed"), F.lit("XLOG")).otherwise(F.col("rmgr")))
+XLOG, NOOP = 0, 0x20
+HEADER, CRC_AT = 24, 20
+
+
+def _as_noops(records: DataFrame, changed: Column) -> DataFrame:
+    """Adds changed; such records become no-ops of the log manager in every column that says so. Where raw has a record's bytes, they
+    and crc are stamped anew: CRC-32C over what follows the header, then over the header without it."""
+    r = records.withColumn("changed", changed)
+    now = lambda c, value: F.when(F.col("changed"), value).otherwise(F.col(c))
+    new = {"rmgr": F.lit("XLOG"), "rmid": F.lit(XLOG), "info": F.lit(NOOP), "noop": F.lit(True)}
+    if "raw" in records.columns:
+        part = lambda at, n: F.substring(F.col("raw"), F.lit(at + 1), F.lit(n))
+        head = F.concat(part(0, 16), F.lit(bytes([NOOP, XLOG])), part(18, 2))
+        rest = F.substring(F.col("raw"), F.lit(HEADER + 1), F.octet_length("raw"))
+        r = r.withColumn("_crc", crc32c(F.when(F.col("changed"), F.concat(rest, head))))
+        turned = F.lpad(F.hex("_crc"), 8, "0")
+        stamp = F.unhex(F.concat(*[F.substring(turned, k, 2) for k in (7, 5, 3, 1)]))
+        new |= {"raw": F.concat(head, stamp, rest), "crc": F.col("_crc")}
+    return r.select(*[now(c, new[c].cast(records.schema[c].dataType)).alias(c) if c in new else F.col(c) for c in records.columns], "changed")
+
+
+def _of_transactions(records: DataFrame, xids: list[int] | DataFrame, mark: str) -> DataFrame:
+    """Adds mark: is the record's own or top transaction among xids?"""
+    own = [c for c in ("xid", "toplevel_xid") if c in records.columns]
+    if not isinstance(xids, DataFrame):
+        return records.withColumn(mark, reduce(or_, [F.coalesce(F.col(c).isin(list(xids)), F.lit(False)) for c in own], F.lit(False)))
+    gone, r = xids.select(F.col(xids.columns[0]).alias("_x")).filter("_x IS NOT NULL").distinct(), records.withColumn(mark, F.lit(False))
+    for c in own:
+        r = r.join(gone, F.col(c) == F.col("_x"), "left").withColumn(mark, F.col(mark) | F.col("_x").isNotNull()).drop("_x")
+    return r
+
+
+def wal_filter_xids(records: DataFrame, xids: list[int] | DataFrame) -> DataFrame:
+    """Records of the transactions become no-ops, with new checksums where the records have their bytes (raw); none goes. Adds changed."""
+    return _as_noops(_of_transactions(records, xids, "_a"), F.col("_a")).drop("_a")
 
 
 def wal_filter_delete(records: DataFrame, deletes: Column, xmax: str) -> DataFrame:
-    """Deletes, and records of any transaction that a delete names, become no-ops. Adds changed."""
-    gone = records.filter(deletes).select(F.col(xmax).alias("_x")).filter("_x IS NOT NULL").distinct()
-    r = records.join(gone, F.col("xid") == F.col("_x"), "left").withColumn("_a", F.col("_x").isNotNull()).drop("_x")
-    if "toplevel_xid" in records.columns:
-        r = r.join(gone, F.col("toplevel_xid") == F.col("_x"), "left").withColumn("_a", F.col("_a") | F.col("_x").isNotNull()).drop("_x")
-    hit = F.coalesce(deletes, F.lit(False)) | F.col("_a")
-    return r.withColumn("changed", hit).withColumn("rmgr", F.when(F.col("changed"), F.lit("XLOG")).otherwise(F.col("rmgr"))).drop("_a")
+    """Deletes, and records of any transaction that a delete names, become no-ops like those of wal_filter_xids. Adds changed."""
+    r = _of_transactions(records, records.filter(deletes).select(xmax), "_a")
+    return _as_noops(r, F.coalesce(deletes, F.lit(False)) | F.col("_a")).drop("_a")

@@ -137,7 +137,7 @@ def read_oid_mappings_jdbc(spark: SparkSession, url: str, properties: dict[str,
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _unpacked(name: str, raw: bytes) -> tuple[str, bytes]:
+def unpacked(name: str, raw: bytes) -> tuple[str, bytes]:
     """Name and bytes of a file without its outer compression."""
     stem, _, suffix = name.rpartition(".")
     if suffix == "gz" or suffix == "tgz":
@@ -162,17 +162,17 @@ def _unpacked(name: str, raw: bytes) -> tuple[str, bytes]:
     return name, raw
 
 
-def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def open_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, raw in zip(batch["path"], batch["content"], strict=True):
-            name, data = _unpacked(path, raw)
+            name, data = unpacked(path, raw)
             yield pd.DataFrame({"path": [path], "name": [name.rsplit("/", 1)[-1]], "content": [data]})
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, raw in zip(batch["path"], batch["content"], strict=True):
-            with tarfile.open(fileobj=io.BytesIO(_unpacked(path, raw)[1])) as tar:
+            with tarfile.open(fileobj=io.BytesIO(unpacked(path, raw)[1])) as tar:
                 for m in tar:
                     if m.isfile():
                         yield pd.DataFrame({"path": [path], "name": [m.name], "content": [tar.extractfile(m).read()]})
@@ -181,7 +181,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_compressed(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, content) of each file, unpacked by its suffix; others stay as they are. A file must fit a task's memory."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInPandas(_open, "path string, name string, content binary")
+    return files.select("path", "content").mapInPandas(open_files, "path string, name string, content binary")
 
 
 def expand_archives(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.files import WAL, base_name, expand_archives, file_class, file_name, read_compressed
+from tidemark.sources.files import WAL, base_name, expand_archives, file_class, file_name, open_files, read_compressed  # noqa: F401
 
 #: The magic of each version's pages, and the names of the resource managers in order of their ids.
 MAGIC = {0xD106: 13, 0xD10D: 14, 0xD110: 15, 0xD113: 16, 0xD116: 17, 0xD118: 18, 0xD121: 19}
@@ -31,9 +31,9 @@ _REL = pa.struct([("spc", pa.int64()), ("db", pa.int64()), ("rel", pa.int64())])
 _RECORD = pa.schema([
     ("file", pa.string()), ("timeline", pa.int64()), ("version", pa.int32()), ("lsn", pa.int64()), ("prev_lsn", pa.int64()), ("tot_len", pa.int64()), ("xid", pa.int64()),
     ("toplevel_xid", pa.int64()), ("info", pa.int32()), ("rmid", pa.int32()), ("crc", pa.int64()), ("xact_us", pa.int64()), ("subxacts", pa.list_(pa.int64())),
-    ("dropped_rels", pa.list_(_REL)), ("delete_xmax", pa.int64()), ("partial", pa.bool_()), ("blocks", pa.list_(_BLOCK)), ("main_data", pa.binary()),
+    ("dropped_rels", pa.list_(_REL)), ("delete_xmax", pa.int64()), ("partial", pa.bool_()), ("blocks", pa.list_(_BLOCK)), ("main_data", pa.binary()), ("raw", pa.binary()),
 ])
-_FRAGMENT = pa.schema([("file", pa.string()), ("timeline", pa.int64()), ("version", pa.int32()), ("segment", pa.int64()), ("kind", pa.string()), ("lsn", pa.int64()), ("length", pa.int64()), ("room", pa.int64()), ("bytes", pa.binary())])
+FRAGMENT = pa.schema([("file", pa.string()), ("timeline", pa.int64()), ("version", pa.int32()), ("segment", pa.int64()), ("kind", pa.string()), ("lsn", pa.int64()), ("length", pa.int64()), ("room", pa.int64()), ("bytes", pa.binary())])
 _SQL = {pa.string(): "string", pa.int64(): "bigint", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary"}
 
 
@@ -49,6 +49,9 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_sql(f.type)}" for f in schema)
 
 
+RECORD_DDL, FRAGMENT_DDL = _ddl(_RECORD), _ddl(FRAGMENT)
+
+
 def _u(stream: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Little-endian unsigned numbers at the places."""
     return sum(stream[at + k].astype(np.int64) << (8 * k) for k in range(width))
@@ -101,8 +104,9 @@ class Segment:
         return np.array(out, np.int64), None, 0
 
 
-def decode(stream: np.ndarray, at: np.ndarray, version: int) -> dict[str, pa.Array]:
-    """Columns of the records at the places of a payload; each header step is taken by all records that have it."""
+def decode(stream: np.ndarray, at: np.ndarray, version: int, keep_raw: bool = False) -> dict[str, pa.Array]:
+    """Columns of the records at the places of a payload; each header step is taken by all records that have it. raw, a record's own
+    bytes, only where it is asked for."""
     s = np.concatenate((stream, np.zeros(64, np.uint8)))
     n, size = len(at), len(stream)
     total, info, rmid = _u(s, at, 4), s[at + 16].astype(np.int32), s[at + 17].astype(np.int32)
@@ -172,7 +176,7 @@ def decode(stream: np.ndarray, at: np.ndarray, version: int) -> dict[str, pa.Arr
         "crc": pa.array(_u(s, at + 20, 4)), "xact_us": pa.array(when, mask=~xact), "subxacts": pa.array(subs, pa.list_(pa.int64())), "dropped_rels": pa.array(rels, pa.list_(_REL)),
         "delete_xmax": pa.array(_u(s, np.minimum(main, size), 4), mask=~deleted), "partial": pa.array(np.zeros(n, bool)), "blocks": blocks,
         "main_data": pa.array([raw[a:b] for a, b in zip(main.tolist(), end.tolist(), strict=True)], pa.binary()),
-    }
+    } | ({"raw": pa.array([raw[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)], pa.binary())} if keep_raw else {})
 
 
 def _rows(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -185,43 +189,61 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Seg
             yield file, int(file[:8], 16), Segment(content.as_buffer().to_pybytes())
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for file, timeline, seg in _segments(batches):
-        at, _, _ = seg.chain()
-        for i in range(0, len(at), 20_000):
-            part = at[i : i + 20_000]
-            stop = int(part[-1] + _u(seg.stream, part[-1:], 4)[0])
-            cols = decode(seg.stream[part[0] : stop], part - part[0], seg.version)
-            cols |= {"file": pa.array([file] * len(part)), "timeline": pa.array([timeline] * len(part)), "version": pa.array([seg.version] * len(part)), "lsn": pa.array(seg.lsn(part))}
-            yield _rows(len(part), cols)
+def whole_records(file: str, timeline: int, seg: Segment, keep_raw: bool) -> Iterator[pa.RecordBatch]:
+    """The records that lie within a segment."""
+    at, _, _ = seg.chain()
+    for i in range(0, len(at), 20_000):
+        part = at[i : i + 20_000]
+        stop = int(part[-1] + _u(seg.stream, part[-1:], 4)[0])
+        cols = decode(seg.stream[part[0] : stop], part - part[0], seg.version, keep_raw)
+        cols |= {"file": pa.array([file] * len(part)), "timeline": pa.array([timeline] * len(part)), "version": pa.array([seg.version] * len(part)), "lsn": pa.array(seg.lsn(part))}
+        yield _rows(len(part), cols)
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for file, timeline, seg in _segments(batches):
-        common = {"file": file, "timeline": timeline, "version": seg.version, "segment": seg.base // seg.size, "room": seg.room}
-        rows = []
-        if seg.continued:
-            rows.append(common | {"kind": "head", "lsn": seg.base, "length": seg.continued, "bytes": seg.stream[: min(seg.continued, len(seg.stream))].tobytes()})
-        _, cut, length = seg.chain()
-        if cut is not None:
-            rows.append(common | {"kind": "tail", "lsn": int(seg.lsn(cut)), "length": length, "bytes": seg.stream[cut:].tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, schema=_FRAGMENT)
+def fragments(file: str, timeline: int, seg: Segment) -> list[dict]:
+    """What a segment's start holds of a record before it (head), and what its end cuts (tail)."""
+    common, rows = {"file": file, "timeline": timeline, "version": seg.version, "segment": seg.base // seg.size, "room": seg.room}, []
+    if seg.continued:
+        rows.append(common | {"kind": "head", "lsn": seg.base, "length": seg.continued, "bytes": seg.stream[: min(seg.continued, len(seg.stream))].tobytes()})
+    _, cut, length = seg.chain()
+    if cut is not None:
+        rows.append(common | {"kind": "tail", "lsn": int(seg.lsn(cut)), "length": length, "bytes": seg.stream[cut:].tobytes()})
+    return rows
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records from their parts; without a part, what the header tells, marked partial."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            raw, left = r["bytes"], r["length"] - len(r["bytes"])
-            for p in sorted(r["parts"] or [], key=lambda p: p["segment"]):
-                if p["length"] != left:  # continues another record
-                    break
-                raw, left = raw + p["bytes"], left - len(p["bytes"])
-            cols = {c: pa.array([r[c]]) for c in ("file", "timeline", "version", "lsn")}
-            if left:
-                yield _rows(1, cols | {"tot_len": pa.array([r["length"]]), "partial": pa.array([True])})
-            else:
-                yield _rows(1, decode(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), r["version"]) | cols)
+def finished_record(tail: dict, parts: list[dict], keep_raw: bool) -> pa.RecordBatch:
+    """A record from its parts in the order of their segments; without a part, what the header tells, marked partial."""
+    raw, left = tail["bytes"], tail["length"] - len(tail["bytes"])
+    for p in parts:
+        if p["length"] != left:  # continues another record
+            break
+        raw, left = raw + p["bytes"], left - len(p["bytes"])
+    cols = {c: pa.array([tail[c]]) for c in ("file", "timeline", "version", "lsn")}
+    if left:
+        return _rows(1, cols | {"tot_len": pa.array([tail["length"]]), "partial": pa.array([True])})
+    return _rows(1, decode(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), tail["version"], keep_raw) | cols)
+
+
+def whole_rows(keep_raw: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment in _segments(batches):
+            yield from whole_records(*segment, keep_raw)
+
+    return run
+
+
+def fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for segment in _segments(batches):
+        yield pa.RecordBatch.from_pylist(fragments(*segment), schema=FRAGMENT)
+
+
+def joined_rows(keep_raw: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield finished_record(r, sorted(r["parts"] or [], key=lambda p: p["segment"]), keep_raw)
+
+    return run
 
 
 def wal_files(spark: SparkSession, path: str) -> DataFrame:
@@ -238,20 +260,20 @@ def described(records: DataFrame) -> Column:
     return F.concat_ws(", ", F.concat(F.lit("info 0x"), F.lpad(F.hex(records["info"].cast("long")), 2, "0")), F.array_join(F.transform(records["blocks"], one), ", "))
 
 
-def read_wal_records(files: DataFrame) -> DataFrame:
+def read_wal_records(files: DataFrame, keep_raw: bool = False) -> DataFrame:
     """Records of the segments in files (file, content), as wal_files gives them: one row each, also for records over page and
     segment borders. file is the segment where a record starts, lsn its position, next_lsn is left to the operator of that name.
 
     A record whose rest no given segment holds, and a segment's start whose beginning no given segment holds, are one row marked
     partial: the first with lsn and tot_len, the second with the segment's first lsn, tot_len the bytes that were left. Reading
     ends at a length of 0 and at a page of an earlier use. A file that is no segment raises ValueError. A file that is given twice gives
-    its records twice. An empty table gives none.
+    its records twice. An empty table gives none. With keep_raw, raw has each whole record's own bytes.
 
     A segment fits one task; segments are read twice, and only cut records are shuffled.
     """
     files = files.select("file", "content")
-    whole = files.mapInArrow(_whole, _ddl(_RECORD))
-    parts = files.mapInArrow(_fragments, _ddl(_FRAGMENT))
+    whole = files.mapInArrow(whole_rows(keep_raw), RECORD_DDL)
+    parts = files.mapInArrow(fragment_rows, FRAGMENT_DDL)
     heads = parts.filter("kind = 'head'").select(F.col("timeline").alias("t"), F.col("segment").alias("s"), F.struct("segment", "length", "bytes").alias("part")).dropDuplicates(["t", "s"])
     tails = parts.filter("kind = 'tail'")
     # the missing bytes and the room of a segment tell how many segments the record goes on in
@@ -260,11 +282,15 @@ def read_wal_records(files: DataFrame) -> DataFrame:
     found = asks.join(heads, (asks["timeline"] == heads["t"]) & (asks["s"] == heads["s"]), "left")
     first = lambda c: F.first(c).alias(c)
     found = found.groupBy("row").agg(*[first(c) for c in ("file", "timeline", "version", "lsn", "length", "bytes")], F.collect_list("part").alias("parts")).drop("row")
-    finished = found.mapInArrow(_joined, _ddl(_RECORD))
+    finished = found.mapInArrow(joined_rows(keep_raw), RECORD_DDL)
     orphans = parts.filter("kind = 'head'").join(asks.select("timeline", F.col("s").alias("segment")).distinct(), ["timeline", "segment"], "left_anti")
     orphans = orphans.select("file", "timeline", "version", "lsn", F.col("length").alias("tot_len"), F.lit(True).alias("partial"))
-    out = whole.unionByName(finished).unionByName(orphans, allowMissingColumns=True)
+    return with_names(whole.unionByName(finished).unionByName(orphans, allowMissingColumns=True), keep_raw)
+
+
+def with_names(out: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """Decoded rows with the columns that follow from theirs: rmgr, noop, fpi_len, xact_ts and description."""
     fpi = F.aggregate(F.filter("blocks", lambda b: b["has_image"]), F.lit(0).cast("long"), lambda a, b: a + b["bimg_len"])
     out = out.withColumn("rmgr", F.coalesce(F.try_element_at(F.array(*map(F.lit, MANAGERS)), F.col("rmid") + 1), F.concat(F.lit("custom"), F.col("rmid").cast("string"))))
     out = out.withColumn("noop", (F.col("rmid") == 0) & (F.col("info").bitwiseAND(F.lit(0xF0)) == 0x20)).withColumn("fpi_len", F.coalesce(fpi, F.lit(0).cast("long")))
-    return out.withColumn("xact_ts", F.timestamp_micros("xact_us")).withColumn("description", described(out)).drop("xact_us")
+    return out.withColumn("xact_ts", F.timestamp_micros("xact_us")).withColumn("description", described(out)).drop("xact_us", *([] if keep_raw else ["raw"]))

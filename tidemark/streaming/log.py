@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import changes
 from tidemark.operators.catalog import retention_plan
+from tidemark.operators.wal import wal_filter
 
 SEGMENT = 16 << 20
 
@@ -49,6 +50,29 @@ def wal_stats_stream(records: DataFrame) -> DataFrame:
     return records.groupBy("rmgr").agg(F.count("*").alias("count"), *sizes)
 
 
+def stats_fold(records: DataFrame, store: str, checkpoint: str, every: str | None = None):
+    """Start a query that adds the statistics of arriving records, partial ones and no-ops left out, to a table under store, a version a
+    batch. A batch that is run again writes the same version again."""
+
+    def fold(batch: DataFrame, k: int) -> None:
+        known = wal_stats_stream(wal_filter(batch))
+        if k:
+            known = known.unionByName(batch.sparkSession.read.parquet(f"{store}/version={k - 1}"))
+        sums = [F.sum(c).alias(c) for c in ("count", "record_size", "fpi_size", "combined_size")]
+        known.groupBy("rmgr").agg(*sums).write.mode("overwrite").parquet(f"{store}/version={k}")
+
+    return on_each_batch(records, fold, checkpoint, every)
+
+
+def stats_so_far(spark: SparkSession, store: str) -> DataFrame:
+    return newest_version(spark, store)
+
+
+def newest_version(spark: SparkSession, store: str) -> DataFrame:
+    every = spark.read.parquet(store)
+    return every.filter(F.col("version") == every.agg(F.max("version")).scalar()).drop("version")
+
+
 def on_each_batch(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Start a query that runs a policy (retention, verification, folding of blocks) on each batch; without every, on what is there."""
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -57,10 +81,10 @@ def on_each_batch(stream: DataFrame, run: Callable[[DataFrame, int], None], chec
 
 def compact_events(events: DataFrame) -> DataFrame:
     """Block events of which only those are left that a summary of these and of any further events needs: of each block its last
-    mark, of each fork the limits that took effect."""
+    mark, of each fork the last limit that took effect."""
     marks = events.filter((F.col("phase") == 1) & F.col("blk").isNotNull()).groupBy(*changes.KEY, "blk").agg(F.max("lsn").alias("lsn"))
     marks = marks.select(*changes.KEY, "lsn", F.lit(1).alias("phase"), F.lit(None).cast("long").alias("limit_block"), "blk")
-    limits = changes.effective_limits(events).select(*changes.KEY, "lsn", F.lit(0).alias("phase"), F.col("limit_block").cast("long").alias("limit_block"), F.lit(None).cast("long").alias("blk"))
+    limits = changes.last_limits(events).select(*changes.KEY, "lsn", F.lit(0).alias("phase"), F.col("limit_block").cast("long").alias("limit_block"), F.lit(None).cast("long").alias("blk"))
     return marks.unionByName(limits)
 
 
@@ -79,9 +103,7 @@ def brt_stream(events: DataFrame, store: str, checkpoint: str, every: str | None
 
 def brt_so_far(spark: SparkSession, store: str) -> DataFrame:
     """Modified blocks (key, blk) of the newest version under store."""
-    every = spark.read.parquet(store)
-    newest = every.agg(F.max("version")).first()[0]
-    return changes.summarize(every.filter(F.col("version") == newest).drop("version"))
+    return changes.summarize(newest_version(spark, store))
 
 
 SERIES = "name string, labels string, times array<timestamp>, samples array<string>"
