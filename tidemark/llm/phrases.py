@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import textops as X
 
 LEAST, TOP, SHARE = 30, 2000, 80
-#: Bits of a bitmap of phrases (8 MB).
-BITS = 1 << 26
+#: Bits of a bitmap of phrases (4 MB).
+BITS = 1 << 25
 BUCKET = 1 << 15
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -35,8 +35,9 @@ BREAK[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
 IN_WORD = ~BREAK
 IN_WORD[[32, 9]] = False
 
-_COUNTS = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
-_SQL = "lang string, m int, phrase string, key long, n long"
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_COUNTS_SQL = "lang string, phrase string, n long"
+_KEYED_SQL = "lang string, m int, phrase string, key long, n long"
 
 
 class Coded:
@@ -46,6 +47,7 @@ class Coded:
         data, off = X.texts(table["text"])
         self.data = X.LOWER[data]
         self.starts, self.ends, first = X.words(self.data, off, IN_WORD)
+        self.first = first
         n = len(self.starts)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         piece = np.cumsum(BREAK[self.data])[self.starts]
@@ -90,15 +92,12 @@ class Coded:
         text = np.delete(text, ends - 1)
         off = np.concatenate(([0], ends - np.arange(1, len(p) + 1)))
         phrase = pa.Array.from_buffers(pa.large_string(), len(p), [None, pa.py_buffer(off), pa.py_buffer(text)]).cast(pa.string())
-        return self.batch(self.names.take(pa.array(self.lang[p])), m, phrase, self.key(m)[p].view(np.int64), n)
+        return pa.RecordBatch.from_arrays([self.names.take(pa.array(self.lang[p])), phrase, pa.array(n)], schema=_COUNTS)
 
     def totals(self) -> pa.RecordBatch:
         """How many words each language has."""
         n = np.bincount(self.lang, minlength=len(self.names))
-        return self.batch(self.names, 0, pa.array([""] * len(n)), np.zeros(len(n), np.int64), n)
-
-    def batch(self, lang: pa.Array, m: int, phrase: pa.Array, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(n), m, np.int32)), phrase, pa.array(key), pa.array(n.astype(np.int64))], schema=_COUNTS)
+        return pa.RecordBatch.from_arrays([self.names, pa.array([""] * len(n), pa.string()), pa.array(n)], schema=_COUNTS)
 
 
 def _later(flags: np.ndarray, k: int) -> np.ndarray:
@@ -121,10 +120,23 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def _counted(docs: DataFrame, asked: list[tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int]]]], bits: dict[str, np.ndarray]) -> DataFrame:
-    """(lang, m, phrase, key, n) of the phrases asked for: (m, all, any) asks for those of m words of which every part in all, and some
-    part in any (if there are any), is in its bitmap; a part is (bitmap, its words, how many words stand before it)."""
-    sent = {k: docs.sparkSession.sparkContext.broadcast(v) for k, v in bits.items()}
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, m, phrase, key, n) of counted phrases: a phrase is a text of its own, so its key is that of its first place."""
+    for b in batches:
+        block = Coded(pa.table({"lang": b["lang"], "text": b["phrase"]}))
+        m, at = np.diff(block.first), np.minimum(block.first[:-1], max(len(block.code) - 1, 0))
+        key = np.zeros(b.num_rows, np.uint64)
+        for k in range(1, int(m.max(initial=0)) + 1):
+            key = np.where(m == k, block.key(k)[at], key)
+        yield pa.RecordBatch.from_arrays([b["lang"], pa.array(m.astype(np.int32)), b["phrase"], pa.array(key.view(np.int64)), b["n"]], names=["lang", "m", "phrase", "key", "n"])
+
+
+def _counted(docs: DataFrame, least: int, asked: list[tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int]]]], bits: dict[str, np.ndarray]) -> DataFrame:
+    """(lang, m, phrase, key, n) of the phrases asked for that occur least times, written: (m, all, any) asks for those of m words of which
+    every part in all, and some part in any (if there are any), is in its bitmap; a part is (bitmap, its words, how many words stand
+    before it). With words of one, the phrase of none counts all words."""
+    named = {p[0] for _, every, some in asked for p in [*every, *some]}
+    sent = {k: docs.sparkSession.sparkContext.broadcast(v) for k, v in bits.items() if k in named}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in X.blocks(batches, "text"):
@@ -145,9 +157,16 @@ def _counted(docs: DataFrame, asked: list[tuple[int, list[tuple[str, int, int]],
                 if some:
                     on &= reduce(np.logical_or, [part(*p) for p in some])
                 yield block.counts(m, np.flatnonzero(on))
-
-    out = docs.select("lang", "text").mapInArrow(X.task(run), _SQL)
-    return out.groupBy("lang", "m", "phrase").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
+            del block, inside, part
+
+    # blocks have counted already, so tasks don't count once more before the shuffle
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = docs.select("lang", "text").mapInArrow(X.task(run), _COUNTS_SQL).repartition(parts, "lang", "phrase")
+    out = out.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("phrase") == ""))
+    out = X.written(out.mapInArrow(X.task(_keyed), _KEYED_SQL))
+    for b in sent.values():
+        b.destroy()
+    return out
 
 
 def _head(phrase: str, words: Column | int) -> Column:
@@ -208,11 +227,11 @@ def collocations(documents: DataFrame, top: int = TOP, least: int = LEAST, share
     """
     spark: SparkSession = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    words = X.written(_counted(docs, [(1, [], [])], {}).filter((F.col("m") == 0) | (F.col("n") >= least)))
+    words = _counted(docs, least, [(1, [], [])], {})
     totals, words = words.filter("m = 0").select("lang", F.col("n").alias("total")), words.filter("m = 1")
     bits = {"words": bitmap(words)}
-    pairs = _counted(docs, [(2, [("words", 1, 0), ("words", 1, 1)], [])], bits).filter(F.col("n") >= least)
-    pairs = _bounded(X.written(pairs), words).withColumnRenamed("bound", "_b")
+    pairs = _counted(docs, least, [(2, [("words", 1, 0), ("words", 1, 1)], [])], bits)
+    pairs = _bounded(pairs, words).withColumnRenamed("bound", "_b")
     pairs = X.written(scored(pairs.drop("_b"), words).join(pairs.select("lang", "phrase", F.col("_b").alias("bound")), ["lang", "phrase"]))
     bits["pairs"] = bitmap(pairs)
     known = words.select("lang", "phrase", "n").unionByName(pairs.select("lang", "phrase", "n"))
@@ -228,7 +247,7 @@ def collocations(documents: DataFrame, top: int = TOP, least: int = LEAST, share
         grown, wanted = X.written(_at_least(here, "bound", floors)), X.written(_at_least(here, "score", floors))
         bits |= {"grow2": bitmap(grown), "want2": bitmap(wanted)}
         both = [("pairs", 2, 0), ("pairs", 2, 1)]
-        threes = X.written(_counted(docs, [(3, both, [("grow2", 2, 0), ("want2", 2, 1)])], bits).filter(F.col("n") >= least))
+        threes = _counted(docs, least, [(3, both, [("grow2", 2, 0), ("want2", 2, 1)])], bits)
         three = scored(threes, known).join(_bounded(threes, words).select("lang", "phrase", "bound"), ["lang", "phrase"])
         three = X.written(three.join(floors.select("lang"), "lang", "left_semi"))
         grown3, wanted3 = _at_least(three, "bound", floors), _at_least(three, "score", floors)
@@ -237,7 +256,7 @@ def collocations(documents: DataFrame, top: int = TOP, least: int = LEAST, share
         ends = pairs.join(ends, ["lang", "phrase"], "left_semi").join(grown, ["lang", "phrase"], "left_anti")
         bits |= {"grow3": bitmap(grown3), "want3": bitmap(wanted3), "ends": bitmap(ends)}
         asked = [(4, [*both, ("pairs", 2, 2)], [("grow3", 3, 0), ("want3", 3, 1)]), (3, both, [("ends", 2, 0)])]
-        more = X.written(_counted(docs, asked, bits).filter(F.col("n") >= least))
+        more = _counted(docs, least, asked, bits)
         parts = known.unionByName(threes.unionByName(more.filter("m = 3")).select("lang", "phrase", "n").distinct())
         fours = more.filter("m = 4")
         four = _at_least(scored(fours, parts), "score", floors)
