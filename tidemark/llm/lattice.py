@@ -29,6 +29,8 @@ MARK = "▁".encode()
 ROUNDS, PRIOR = 3, 2_000.0
 #: Bytes of words that are looked up at once; a longer word is walked through in such parts.
 PART = 1 << 17
+#: Bytes of texts whose distinct words are listed together.
+BLOCK_BYTES = 8 << 20
 ZIPF = 8.0
 
 _ROWS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("trained", pa.int64()), ("blob", pa.binary())])
@@ -51,14 +53,21 @@ class Pieces:
             i = i[np.argsort(h[i])]
             self.by_length[n] = (h[i], i)
         self.longest = max(self.by_length)
+        self.maybe = np.zeros(1 << 20, bool)  # most byte strings are no piece, and this tells so for nearly all of them
+        self.maybe[(h >> np.uint64(44)).astype(np.int64)] = True
 
     def at(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
         """For each place and length from 1 on the piece of that length that ends there, -1: none; start is where the place's word starts."""
         pre, ends = X.prefix(X.TABLES[0][data]), np.arange(1, len(data) + 1)
-        out = np.full((len(data), self.longest), -1, np.int32)
+        inside = ends - start
+        out = np.full((len(data), min(self.longest, int(inside.max(initial=0)))), -1, np.int32)
         for n, (known, which) in self.by_length.items():
-            e = ends[ends - start >= n]
+            if n > out.shape[1]:
+                break
+            e = ends[inside >= n]
             h = X.spans(pre, e - n, e)
+            some = self.maybe[(h >> np.uint64(44)).astype(np.int64)]
+            e, h = e[some], h[some]
             i = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[i] == h
             out[e[hit] - 1, n - 1] = which[i[hit]]
@@ -107,7 +116,7 @@ class Lattice:
         """Step t, the words of t bytes at least, and the edges that end at their byte t."""
         for t in range(1, int(self.size.max(initial=0)) + 1):
             w = self.order[: np.searchsorted(self.ended, -t, side="right")]
-            yield t, w, self.edges[self.first[w] + t - 1, : min(t, self.pieces.longest)]
+            yield t, w, self.edges[self.first[w] + t - 1, : min(t, self.edges.shape[1])]
 
     def forward(self, weights: np.ndarray) -> np.ndarray:
         """alpha[first + word + t]: log of the sum over segmentations of the word's first t bytes; one place more than bytes in each word."""
@@ -151,7 +160,10 @@ class Long:
     def edges(self, i: int) -> np.ndarray:
         lead = min(i, self.pieces.longest - 1)
         raw = np.frombuffer(self.word[i - lead : i + self.part], np.uint8)
-        return self.pieces.at(raw, np.zeros(len(raw), np.int64))[lead:]
+        out = np.full((len(raw) - lead, self.pieces.longest), -1, np.int32)
+        found = self.pieces.at(raw, np.zeros(len(raw), np.int64))[lead:]
+        out[:, : found.shape[1]] = found
+        return out
 
     def logp(self) -> float:
         return float(self.alpha[-1])
@@ -240,7 +252,7 @@ def _read(folds: int, fold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for k, table in enumerate(X.blocks(batches, "text")):
+        for k, table in enumerate(X.blocks(batches, "text", BLOCK_BYTES)):
             data, off = X.texts(table["text"])
             data = X.LOWER[data]
             starts, ends, first = X.words(data, off)
