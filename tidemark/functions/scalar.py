@@ -87,6 +87,13 @@ def version_number(version: Column) -> Column:
     return part(1) * 10000 + part(2) * 100 + part(3)
 
 
+def little_endian(data: Column, at: Column | int, width: int = 4) -> Column:
+    """The little-endian unsigned number of width bytes that starts at byte at (from 0) of a binary column; null beyond its end."""
+    h = F.hex(F.substring(data, at + 1 if isinstance(at, Column) else F.lit(at + 1), F.lit(width)))
+    turned = F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(width))])
+    return F.when(F.length(h) == 2 * width, F.conv(turned, 16, 10).cast("long"))
+
+
 @F.pandas_udf(LongType())
 def crc32c(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """CRC-32C of a binary column; the contents of a batch are stepped through together, byte by byte."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import shared
-from tidemark.operators.ordered import by_month, carried
+from tidemark.functions.scalar import ratio, throughput
+from tidemark.operators.ordered import by_log, by_month, carried
 
 
 def list_backups(catalog: DataFrame, descending: bool = False) -> DataFrame:
@@ -61,8 +63,8 @@ def backup_chain(catalog: DataFrame) -> DataFrame:
     return chain
 
 
-def backup_root(catalog: DataFrame) -> DataFrame:
-    """(server, label, root, depth).
+def backup_root(catalog: DataFrame, strict: bool = False) -> DataFrame:
+    """(server, label, root, depth). A snapshot whose parent is missing is the root of those above it; where strict, it is an error.
 
     Each round takes every snapshot to where its ancestor has got to, so rows stay as many as snapshots and rounds are few.
     """
@@ -77,18 +79,89 @@ def backup_root(catalog: DataFrame) -> DataFrame:
         more = at.join(further, ["server", "root"], "left")
         more = shared.kept(more.select("server", "label", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_depth").isNotNull().alias("moved")))
         moved, at, steps = not more.filter("moved").isEmpty(), more.drop("moved"), steps * 2
-    return at.groupBy("server", "label").agg(F.max_by("root", "depth").alias("root"), F.max("depth").alias("depth"))
+    out = at.groupBy("server", "label").agg(F.max_by("root", "depth").alias("root"), F.max("depth").alias("depth"))
+    if strict:
+        full = catalog.filter("type = 'full'").select("server", F.col("label").alias("root"), F.lit(True).alias("_full")).distinct()
+        whole = F.when(F.col("_full"), F.col("root")).otherwise(F.raise_error(F.concat(F.lit("the chain lacks the parent of "), F.col("root"))))
+        out = out.join(full, ["server", "root"], "left").select("server", "label", whole.alias("root"), "depth")
+    return out
 
 
-def resolve_targets(catalog: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (server, target) the newest valid snapshot with label <= target, or null: one as-of pass.
+def label_chains(catalog: DataFrame, asked: DataFrame, inclusive: bool = True) -> DataFrame:
+    """(server, newest, oldest, label, depth) of the chain of each row asked for (server, newest, oldest): from newest (itself only where
+    inclusive) down to oldest, or where that is null to the first full snapshot.
 
-    Targets and snapshots of a server go in one order, and each target takes the last snapshot before it.
+    Only these chains are followed, by doubling. When the rows are computed, an error is raised for a newest that the catalog lacks or that is its own
+    oldest, and for a chain that ends before it gets there, as a parent is missing or oldest isn't in it.
     """
-    c = catalog.filter("valid").select("server", F.col("label").alias("at"), F.lit(0).alias("k"), F.col("label"))
-    t = targets.select("server", F.col("target").alias("at"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("label")).distinct()
-    out = carried(c.union(t), "server", by_month("at"), ["at", "k"], F.col("label"), "found", with_own=True).filter("k = 1")
-    return out.select("server", F.col("at").alias("target"), F.col("found").alias("label"))
+    asked = asked.select("server", "newest", "oldest").distinct()
+    c = catalog.select(F.col("server").alias("_s"), F.col("label").alias("_l"), "type", "parent_label")
+    key = ["server", "newest", "oldest"]
+    chain = asked.join(c, (F.col("server") == F.col("_s")) & (F.col("newest") == F.col("_l")), "left").select(*key, F.col("_l").alias("label"), F.lit(0).alias("depth"))
+    chain = shared.kept(chain)
+    for k, jump in enumerate(_jumps(_links(catalog))):
+        chain = shared.kept(chain.union(chain.join(jump, ["server", "label"]).select(*key, F.col("up").alias("label"), (F.col("depth") + (1 << k)).cast("int").alias("depth"))))
+    known = chain.join(c, (F.col("server") == F.col("_s")) & (F.col("label") == F.col("_l")), "left")
+    ends = known.groupBy(*key).agg(F.max_by(F.struct("label", "type", "parent_label"), "depth").alias("end"), F.max(F.when(F.col("label") == F.col("oldest"), F.col("depth"))).alias("at"), F.max("depth").alias("deepest"))
+    stop = (
+        F.when(F.col("end.label").isNull(), F.raise_error(F.concat(F.lit("there is no snapshot "), "newest")).cast("int"))
+        .when(F.col("newest") == F.col("oldest"), F.raise_error(F.concat(F.lit("the newest snapshot of a chain can't be its oldest: "), "newest")).cast("int"))
+        .when(F.col("oldest").isNotNull() & F.col("at").isNotNull(), F.col("at"))
+        .when(F.col("oldest").isNull() & (F.col("end.type") == "full"), F.col("deepest"))
+        .otherwise(F.raise_error(F.concat(F.lit("the chain of "), "newest", F.lit(" ends at "), "end.label", F.lit(" without "), F.coalesce("oldest", "end.parent_label", F.lit("a full snapshot")))).cast("int"))
+    )
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in key], stop.alias("stop"))
+    out = chain.join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).filter((F.col("depth") <= F.col("stop")) & (F.col("depth") >= (0 if inclusive else 1)))
+    return out.select(*key, "label", "depth")
+
+
+def resolve_targets(catalog: DataFrame, targets: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Adds label to targets (server and any of time, lsn and timeline; the first of lsn, time and timeline that a target has counts): its
+    newest valid snapshot, or null. Labels are times, so the largest is the newest.
+
+    A time takes a snapshot with label <= time, a position one with start_lsn <= lsn, a timeline one that starts on it. Where history (server,
+    tli, parent_tli, switch_lsn; of every timeline all that it comes from, as history files have them) is given and a target has both
+    lsn and timeline, its snapshot must start on that timeline or, before they part, on one that it comes from.
+
+    Each kind is one pass over targets and snapshots in one order. Repeated targets are resolved once each.
+    """
+    has = lambda c, kind: F.col(c).cast(kind) if c in targets.columns else F.lit(None).cast(kind)
+    t = targets.select(F.col("server"), has("time", "string").alias("time"), has("lsn", "long").alias("lsn"), has("timeline", "long").alias("timeline")).distinct()
+    good = catalog.filter("valid")
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def as_of(backups: DataFrame, asked: DataFrame, bins) -> DataFrame:
+        """asked (by, at) with found: the largest label among the backups (by, at, label) up to it."""
+        both = backups.select("by", "at", F.lit(0).alias("k"), "label").unionByName(asked.select("by", "at").distinct().select("by", "at", F.lit(1).alias("k"), null("string").alias("label")))
+        return carried(both, "by", bins, ["at", "k"], F.col("label"), "found", with_own=True, largest=True).filter("k = 1").select("by", "at", "found")
+
+    same = lambda a, b, *cs: [a[c].eqNullSafe(b[c]) for c in cs]
+    times = t.filter("lsn IS NULL AND time IS NOT NULL")
+    f = as_of(good.select(F.struct("server").alias("by"), F.col("label").alias("at"), "label"), times.select(F.struct("server").alias("by"), F.col("time").alias("at")), by_month("at"))
+    f = f.select(F.col("by.server").alias("server"), F.col("at").alias("time"), "found")
+    out = [times.join(f, same(times, f, "server", "time"), "left").select(times["*"], F.col("found").alias("label"))]
+
+    if "start_lsn" in catalog.columns:
+        both = history is not None
+        plain = t.filter("lsn IS NOT NULL" + (" AND timeline IS NULL" if both else ""))
+        f = as_of(good.select(F.struct("server").alias("by"), F.col("start_lsn").alias("at"), "label"), plain.select(F.struct("server").alias("by"), F.col("lsn").alias("at")), by_log("at"))
+        f = f.select(F.col("by.server").alias("server"), F.col("at").alias("lsn"), "found")
+        out.append(plain.join(f, same(plain, f, "server", "lsn"), "left").select(plain["*"], F.col("found").alias("label")))
+        if both:
+            branch = t.filter("lsn IS NOT NULL AND timeline IS NOT NULL")
+            h = history.select(F.col("server").alias("_s"), F.col("tli").alias("_t"), F.col("parent_tli").cast("long").alias("on"), F.col("switch_lsn").alias("_cut")).distinct()
+            above = branch.join(h, (F.col("server") == F.col("_s")) & (F.col("timeline") == F.col("_t"))).select("server", "lsn", "timeline", "on", F.least("lsn", F.col("_cut")).alias("upto"))
+            ways = branch.select("server", "lsn", "timeline", F.col("timeline").alias("on"), F.col("lsn").alias("upto")).unionByName(above)
+            f = as_of(good.select(F.struct("server", F.col("start_timeline").cast("long").alias("on")).alias("by"), F.col("start_lsn").alias("at"), "label"), ways.select(F.struct("server", "on").alias("by"), F.col("upto").alias("at")), by_log("at"))
+            f = f.select(F.col("by.server").alias("server"), F.col("by.on").alias("on"), F.col("at").alias("upto"), "found")
+            w = ways.join(f, ["server", "on", "upto"], "left").groupBy("server", "lsn", "timeline").agg(F.max("found").alias("found"))
+            out.append(branch.join(w, same(branch, w, "server", "lsn", "timeline"), "left").select(branch["*"], F.col("found").alias("label")))
+    if "start_timeline" in catalog.columns:
+        lines = t.filter("lsn IS NULL AND time IS NULL AND timeline IS NOT NULL")
+        w = good.groupBy("server", F.col("start_timeline").cast("long").alias("timeline")).agg(F.max("label").alias("found"))
+        out.append(lines.join(w, same(lines, w, "server", "timeline"), "left").select(lines["*"], F.col("found").alias("label")))
+    every = reduce(DataFrame.unionByName, out)
+    return every.select("server", *[c for c in ("time", "lsn", "timeline") if c in targets.columns], "label")
 
 
 def remote_reconcile(catalog: DataFrame, listing: DataFrame) -> DataFrame:
@@ -123,17 +196,77 @@ def space_usage(files: DataFrame, by: str = "server") -> DataFrame:
     return files.groupBy(by).agg(F.sum("size").alias("total"), F.count("*").alias("files"), F.max("size").alias("biggest"))
 
 
-def server_status(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy("server").agg(
-        F.count("*").alias("n_backups"), F.sum("size").alias("total_size"), F.count_if("keep").alias("n_kept"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("type") == "full").alias("n_full")
+def tree_usage(files: DataFrame, levels: int = 32) -> DataFrame:
+    """(folder, total, files, biggest) of every folder, with all that is below it, of files (path, size). The root's folder is the empty
+    text. One aggregation a level of the tree, from the deepest up: a level adds what is directly in its folders to what came up from
+    below, so a file counts once and not once for each folder above it. A path of more than levels folders is an error."""
+    up = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    sums = [F.sum("total").alias("total"), F.sum("files").alias("files"), F.max("biggest").alias("biggest")]
+    own = files.select(up(F.col("path")).alias("folder"), F.col("size").alias("total"), F.lit(1).cast("long").alias("files"), F.col("size").alias("biggest")).groupBy("folder").agg(*sums)
+    own = shared.kept(own.withColumn("depth", depth))
+    deepest = own.agg(F.max("depth")).first()[0] or 0
+    if deepest > levels:
+        raise ValueError(f"a path has {deepest} folders, more than {levels}")
+    every, below = [], None
+    for d in range(deepest, -1, -1):
+        here = own.filter(F.col("depth") == d).drop("depth")
+        if below is not None:
+            here = here.unionByName(below.withColumn("folder", up(F.col("folder")))).groupBy("folder").agg(*sums)
+        below = shared.kept(here)
+        every.append(below)
+    return reduce(DataFrame.unionByName, every)
+
+
+def wal_usage(segments: DataFrame, start: str = "") -> DataFrame:
+    """(server, total, files) of the log segments (server, name, size) from a name on."""
+    return segments.filter(F.col("name") >= start).groupBy("server").agg(F.sum("size").alias("total"), F.count("*").alias("files"))
+
+
+def server_status(catalog: DataFrame, settings: DataFrame | None = None, defaults: dict[str, int] | None = None, details: bool = False) -> DataFrame:
+    """One row a server: its snapshots, sizes and flags. With settings (server and any of workers, days, weeks, months, years) every server of
+    it has a row with its own value of each, or defaults' where it has none or -1. With details, backups lists its snapshots in
+    order: (label, type, size, valid, keep)."""
+    more = [F.array_sort(F.collect_list(F.struct("label", "type", "size", "valid", "keep"))).alias("backups")] if details else []
+    out = catalog.groupBy("server").agg(
+        F.count("*").alias("n_backups"), F.sum("size").alias("total_size"), F.count_if("keep").alias("n_kept"), F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("type") == "full").alias("n_full"), *more
     )
+    if settings is None:
+        return out
+    s = settings.join(out, "server", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_backups", "total_size", "n_kept", "n_invalid", "n_full")]
+    return s.select("server", *[_setting(c, defaults or {}).alias(c) for c in settings.columns if c != "server"], *counts, *(["backups"] if details else []))
+
+
+def _setting(column: str, defaults: dict[str, int]):
+    """A server's own value, or the default where it is null or -1."""
+    own = F.nullif(F.col(column), F.lit(-1))
+    return F.coalesce(own, F.lit(defaults.get(column, -1)))
+
+
+#: Fixed names: the times of a snapshot's phases.
+PHASES = ("total", "basebackup", "manifest", "hash", "compression_zstd", "compression_gzip", "compression_bzip2", "compression_lz4", "encryption", "linking", "remote_ssh", "remote_s3", "remote_azure")
+#: Sizes, positions and timelines that a catalog may have, as they stand.
+PLAIN_GAUGES = ("restore_size", "biggest_file_size", "major_version", "minor_version", "start_timeline", "end_timeline", "start_lsn", "checkpoint_lsn", "end_lsn")
 
 
 def catalog_gauges(catalog: DataFrame, servers: DataFrame) -> DataFrame:
-    """Long samples (server, label, metric, value); a server without backups has one row of 0."""
-    wide = catalog.select("server", "label", F.col("size").cast("double").alias("backup_size"), F.col("valid").cast("double").alias("backup_valid"), F.col("keep").cast("double").alias("backup_retain"))
-    long = wide.unpivot(["server", "label"], ["backup_size", "backup_valid", "backup_retain"], "metric", "value")
-    none = servers.join(catalog.select("server").distinct(), "server", "left_anti").select("server", F.lit(None).cast("string").alias("label"), F.lit("backup_size").alias("metric"), F.lit(0.0).alias("value"))
+    """Long samples (server, label, metric, value) of every snapshot: validity, retention, sizes, versions, timelines and positions, the
+    ratio of its own to its restored size, and for each phase (elapsed_*) its seconds and its throughput in MB/s; of the columns
+    that the catalog lacks there are none, and values that are null are 0. A server without snapshots has one row of 0 for each metric, label null."""
+    size = F.col("size").cast("double")
+    out = {"backup_size": size, "backup_valid": F.col("valid").cast("double"), "backup_retain": F.col("keep").cast("double")}
+    out |= {f"backup_{c}": F.col(c).cast("double") for c in PLAIN_GAUGES if c in catalog.columns}
+    if "restore_size" in catalog.columns:
+        out["backup_ratio"] = ratio(size, F.col("restore_size").cast("double"))
+    for p in PHASES:
+        if f"elapsed_{p}" in catalog.columns:
+            seconds = F.col(f"elapsed_{p}").cast("double")
+            out |= {f"backup_elapsed_{p}": seconds, f"backup_{p}_mbs": F.round(throughput(size, seconds), 4)}
+    wide = catalog.select("server", "label", *[F.coalesce(c, F.lit(0.0)).alias(name) for name, c in out.items()])
+    long = wide.unpivot(["server", "label"], list(out), "metric", "value")
+    none = servers.select("server").distinct().join(catalog.select("server").distinct(), "server", "left_anti")
+    none = none.select("server", F.lit(None).cast("string").alias("label"), F.explode(F.array(*map(F.lit, out))).alias("metric"), F.lit(0.0).alias("value"))
     return long.unionByName(none)
 
 
@@ -161,10 +294,40 @@ def retention_mark(catalog: DataFrame, now: dt.date, days: int = 7, weeks: int =
     return c.withColumn("marked", recent | (F.col("_last") & F.coalesce("_a", F.lit(False)))).drop("day", "_last", "_a")
 
 
-def retention_plan(catalog: DataFrame, now: dt.date, **policy) -> DataFrame:
-    """(server, label) to delete in this run: per server the oldest that is unmarked, not kept and nobody's parent."""
+def _anchors_by_server(policies: DataFrame, now: dt.date, weeks_mode: str) -> DataFrame:
+    """(server, day) of the days of which a server keeps the last snapshot, of policies (server, weeks, months, years)."""
+    today, upto = F.lit(now), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    monday = F.date_sub(F.trunc(today, "week"), 0)
+    back = (lambda j: j * 7) if weeks_mode == "consecutive" else (lambda j: F.expr("0") + (j * (j + 1) / 2).cast("int") * 7)
+    days = {
+        "weeks": lambda j: F.date_sub(monday, back(j).cast("int")),
+        "months": lambda j: F.add_months(F.trunc(today, "month"), -j),
+        "years": lambda j: F.add_months(F.trunc(today, "year"), -12 * j),
+    }
+    each = [F.when(F.col(c) > 0, F.transform(upto(c), f)).otherwise(F.array().cast("array<date>")) for c, f in days.items()]
+    return policies.select("server", F.explode(F.array_distinct(F.concat(*each))).alias("day")).select("server", F.date_format("day", "yyyyMMdd").alias("day"))
+
+
+def retention_mark_by_server(catalog: DataFrame, now: dt.date, policies: DataFrame, defaults: dict[str, int] | None = None, weeks_mode: str = "consecutive") -> DataFrame:
+    """Like retention_mark, with policies (server and any of days, weeks, months, years) of each server; where a server or a value is
+    missing, null or -1, defaults hold (days 7, the others off, where they don't say)."""
+    base = {"days": 7, "weeks": -1, "months": -1, "years": -1} | (defaults or {})
+    p = catalog.select("server").distinct().join(policies.dropDuplicates(["server"]), "server", "left")
+    own = lambda c: _setting(c, base) if c in policies.columns else F.lit(base[c])
+    p = p.select("server", *[own(c).cast("int").alias(c) for c in base])
+    anchors = _anchors_by_server(p, now, weeks_mode).withColumn("_a", F.lit(True))
+    last = F.row_number().over(W.partitionBy("server", "day").orderBy(F.col("label").desc())) == 1
+    c = catalog.withColumn("day", F.left("label", F.lit(8))).withColumn("_last", last).join(anchors, ["server", "day"], "left").join(p.select("server", "days"), "server")
+    recent = (F.col("days") >= 0) & (F.col("label") >= F.date_format(F.date_sub(F.lit(now), F.col("days")), "yyyyMMdd000000"))
+    return c.withColumn("marked", recent | (F.col("_last") & F.coalesce("_a", F.lit(False)))).select(*catalog.columns, "marked")
+
+
+def retention_plan(catalog: DataFrame, now: dt.date, policies: DataFrame | None = None, defaults: dict[str, int] | None = None, **policy) -> DataFrame:
+    """(server, label) to delete in this run: per server the oldest that is unmarked, not kept and nobody's parent. One policy holds for all, or
+    each server of policies has its own, with defaults where it has none."""
+    marked = retention_mark(catalog, now, **policy) if policies is None else retention_mark_by_server(catalog, now, policies, defaults, **policy)
     parents = catalog.filter("parent_label IS NOT NULL").select("server", F.col("parent_label").alias("label")).distinct()
-    free = retention_mark(catalog, now, **policy).filter("NOT marked AND NOT keep").join(parents, ["server", "label"], "left_anti")
+    free = marked.filter("NOT marked AND NOT keep").join(parents, ["server", "label"], "left_anti")
     return free.groupBy("server").agg(F.min("label").alias("label"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import little_endian
+
 KEY = ["spc", "db", "rel", "fork"]
 FREE_SPACE = 1
 CHUNK = 65536
@@ -21,13 +25,6 @@ def effective_limits(events: DataFrame) -> DataFrame:
     return e.filter("low IS NULL OR limit_block < low").drop("low")
 
 
-def _number(data: Column, at: Column | int, width: int = 4) -> Column:
-    """The little-endian unsigned number of width bytes that starts at byte at (from 0) of a binary column; null beyond its end."""
-    h = F.hex(F.substring(data, at + 1 if isinstance(at, Column) else F.lit(at + 1), F.lit(width)))
-    turned = F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(width))])
-    return F.when(F.length(h) == 2 * width, F.conv(turned, 16, 10).cast("long"))
-
-
 #: Operations of resource managers that change limits, and log operations of which no block counts.
 XACT_ENDS = (0x00, 0x20, 0x30, 0x40)
 STORAGE_CREATE, STORAGE_TRUNCATE, TRUNCATES_HEAP, TRUNCATES_VM = 0x10, 0x20, 1, 2
@@ -45,7 +42,7 @@ def block_events(records: DataFrame) -> DataFrame:
     """
     r = records.filter(~F.coalesce("partial", F.lit(False)) & ~((F.col("rmid") == 0) & F.col("info").bitwiseAND(F.lit(0xF0)).isin(*NO_BLOCKS)))
     op, data = F.col("info").bitwiseAND(F.lit(0xF0)), F.col("main_data")
-    at = lambda k: _number(data, 4 * k)
+    at = lambda k: little_endian(data, 4 * k)
     limit = lambda spc, db, rel, fork, blk: F.struct(spc.alias("spc"), db.alias("db"), rel.alias("rel"), fork.cast("int").alias("fork"), blk.cast("long").alias("limit_block"))
     zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<spc:bigint,db:bigint,rel:bigint,fork:int,limit_block:bigint>>")
     forks = F.array(*map(F.lit, (MAIN, VM, INIT)))
@@ -57,7 +54,7 @@ def block_events(records: DataFrame) -> DataFrame:
     drops = F.when(F.col("version") >= 15, op == 0x20).otherwise(op == 0x10)
     made = (op == 0x00) | ((F.col("version") >= 15) & (op == 0x10))
     spaces = F.when(at(1) > 0, F.sequence(F.lit(0).cast("long"), at(1) - 1)).otherwise(F.array().cast("array<bigint>"))
-    emptied = F.transform(spaces, lambda k: limit(_number(data, k * 4 + 8), at(0), zero, F.lit(MAIN), zero))
+    emptied = F.transform(spaces, lambda k: limit(little_endian(data, k * 4 + 8), at(0), zero, F.lit(MAIN), zero))
     made_in = F.array(limit(at(1), at(0), zero, F.lit(MAIN), zero))
     rmid, xact = F.col("rmid"), F.col("info").bitwiseAND(F.lit(0x70))
     limits = (
@@ -113,6 +110,44 @@ def brt_chunks(blocks: DataFrame) -> DataFrame:
     return out.withColumn("n", n.cast("long")).withColumn("kind", F.when(n <= ARRAY_MOST, "array").otherwise("bitmap"))
 
 
+#: Spark's bitmaps hold so many bits: half a chunk.
+BUCKET = 32768
+
+
+def brt_packed(blocks: DataFrame) -> DataFrame:
+    """(key, bucket, n, offsets, bits): blocks by half chunks, offsets (two bytes each) while those are smaller than a bitmap of all, else
+    bits, of which bit k stands for offset k. bucket counts half chunks from 0."""
+    c = blocks.select(*KEY, F.floor(F.col("blk") / BUCKET).cast("long").alias("bucket"), (F.col("blk") % BUCKET).alias("at"))
+    g = c.groupBy(*KEY, "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    return _smallest(g.withColumn("n", F.bitmap_count("bits")))
+
+
+def _smallest(packed: DataFrame) -> DataFrame:
+    dense = F.col("n") * 2 > BUCKET // 8
+    return packed.select(*KEY, "bucket", "n", F.when(~dense, _offsets("bits").cast("array<smallint>")).alias("offsets"), F.when(dense, F.col("bits")).alias("bits"))
+
+
+def _offsets(bits: str) -> Column:
+    """Offsets of the set bits of a bitmap, ascending, word by word."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(BUCKET // 32 - 1)), lambda k: F.struct(k.alias("k"), little_endian(F.col(bits), k * 4).alias("w")))
+    some = F.filter(words, lambda x: x["w"] != 0)
+    return F.flatten(F.transform(some, lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.getbit(x["w"], i) == 1), lambda i: (x["k"] * 32 + i).cast("int"))))
+
+
+def brt_union(*packed: DataFrame) -> DataFrame:
+    """Packed tables of several ranges as one, by OR of their bits."""
+    every = reduce(DataFrame.unionByName, packed)
+    sparse = every.filter("bits IS NULL").select(*KEY, "bucket", F.explode("offsets").alias("at")).groupBy(*KEY, "bucket").agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bits"))
+    both = sparse.unionByName(every.filter("bits IS NOT NULL").select(*KEY, "bucket", "bits"))
+    return _smallest(both.groupBy(*KEY, "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("n", F.bitmap_count("bits")))
+
+
+def brt_unpacked(packed: DataFrame) -> DataFrame:
+    """(key, blk) of packed blocks."""
+    at = F.coalesce(F.col("offsets").cast("array<int>"), _offsets("bits"))
+    return packed.select(*KEY, "bucket", F.explode(at).alias("at")).select(*KEY, (F.col("bucket") * BUCKET + F.col("at")).alias("blk"))
+
+
 def relation_path(spc: Column, db: Column, rel: Column, fork: Column, version: str = "PG_17") -> Column:
     name = F.concat(rel.cast("string"), F.element_at(F.array(*map(F.lit, FORKS)), fork.cast("int") + 1))
     return (

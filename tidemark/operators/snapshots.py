@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,13 +70,16 @@ def restore_file_plan(files: DataFrame) -> DataFrame:
     return files.withColumn("action", F.when(F.col("path").isin("backup_label", "backup_manifest"), "skip").when(name.startswith("INCREMENTAL."), "reconstruct").otherwise("copy"))
 
 
-def reconstruct_blocks(files: DataFrame, blocks: DataFrame) -> DataFrame:
+def reconstruct_blocks(files: DataFrame, blocks: DataFrame, incremental: bool = True) -> DataFrame:
     """The newest version of every block of each file: (file, blk, payload).
 
     files (file, depth, kind, truncation_len) gives the file in each snapshot of the chain, depth 0 the newest; blocks (file, depth, blk, payload).
-    The chain of a file ends at its first full snapshot. Blocks at or beyond the newest truncation come from the newest only.
+    The chain of a file ends at its first full snapshot. Blocks at or beyond the newest truncation come from the newest only. A chain
+    without a full file gives an incremental result; where that isn't wanted it is an error, raised when the rows are computed.
     """
     ends = files.groupBy("file").agg(F.min(F.when(F.col("kind") == "full", F.col("depth"))).alias("last"), F.min_by("truncation_len", "depth").alias("cut"), F.min("depth").alias("newest"))
+    if not incremental:
+        ends = ends.withColumn("last", F.coalesce("last", F.raise_error(F.concat(F.lit("no snapshot of the chain has the full file "), F.col("file").cast("string"))).cast("int")))
     b = blocks.join(ends, "file").filter((F.col("last").isNull() | (F.col("depth") <= F.col("last"))) & ((F.col("depth") == F.col("newest")) | F.col("cut").isNull() | (F.col("blk") < F.col("cut"))))
     return b.groupBy("file", "blk").agg(F.min_by("payload", "depth").alias("payload"))
 
@@ -93,8 +100,11 @@ def restore_size(files: DataFrame, block_size: int = 8192) -> DataFrame:
     return files.groupBy("label").agg(F.sum(size).alias("restore_size"), F.max(size).alias("biggest_file"))
 
 
-def standby_apply(target: DataFrame, newest: DataFrame, diff: DataFrame) -> DataFrame:
-    """target after deleting, overwriting and adding what diff names; rows (path, checksum)."""
+def standby_apply(target: DataFrame | None, newest: DataFrame, diff: DataFrame | None = None, incremental: bool = False) -> DataFrame:
+    """target after deleting, overwriting and adding what diff names; rows like newest's (path, checksum). The first time, without target or diff,
+    and for an incremental snapshot, whose files stand for nothing alone, all of newest is copied."""
+    if target is None or diff is None or incremental:
+        return newest
     gone = diff.select("path")
     fresh = newest.join(diff.filter("status IN ('added', 'changed')").select("path"), "path", "left_semi")
     return target.join(gone, "path", "left_anti").unionByName(fresh)
@@ -110,9 +120,70 @@ def refresh_hash(manifest: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def build_manifest(files: DataFrame, bits: int = 512) -> DataFrame:
-    return files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", bits).alias("checksum"))
+    """(path, size, checksum) of files (path, content), and modified where they have modificationTime, as the binaryFile source does."""
+    more = [F.col("modificationTime").alias("modified")] if "modificationTime" in files.columns else []
+    return files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", bits).alias("checksum"), *more)
 
 
 def latest_rows(df: DataFrame, by: list[str], order: str) -> DataFrame:
     w = W.partitionBy(*by).orderBy(F.col(order).desc())
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+BLOCK = 8192
+#: Fixed value: the first word of an incremental file.
+MAGIC = 0xD3AE1F0D
+#: Blocks of a file that are put together in one row.
+PART = 1024
+
+
+def file_blocks(files: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """(path, blk, payload) of whole files (path, content); the last block may be shorter, an empty file has none."""
+    n = F.ceil(F.octet_length("content") / block_size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.cast("long").alias("blk"), F.substring(F.col("content"), k * block_size + 1, F.lit(block_size)).alias("payload")))
+    return files.filter(n > 0).select("path", F.explode(cut).alias("b")).select("path", "b.*")
+
+
+def _read_incremental(block_size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                raw = memoryview(content.as_buffer())
+                if len(raw) < 12 or int.from_bytes(raw[:4], "little") != MAGIC:
+                    raise ValueError(f"incremental file {path}: wrong magic")
+                n, cut = np.frombuffer(raw, "<u4", 2, 4).tolist()
+                head = -(-(12 + 4 * n) // block_size) * block_size if n else 12
+                if len(raw) < head + n * block_size:
+                    raise ValueError(f"incremental file {path}: cut short")
+                numbers = np.frombuffer(raw, "<u4", n, 12)
+                for i in range(0, max(n, 1), PART):
+                    some = numbers[i : i + PART].tolist() or [None]
+                    pages = [None if k is None else bytes(raw[head + (i + j) * block_size :][:block_size]) for j, k in enumerate(some)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([cut] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(pages, pa.binary())], names=["path", "truncation_len", "blk", "payload"])
+
+    return run
+
+
+def incremental_files(files: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """(path, truncation_len, blk, payload) of incremental files (path, content), a row a block; a file without blocks is one row without.
+
+    The header is the magic, the number of blocks, the truncation length and the blocks' numbers, in words of four bytes, filled up to a
+    block if there are blocks; then come the blocks. Another magic, or fewer bytes than the header tells, is an error.
+    """
+    return files.select("path", "content").mapInArrow(_read_incremental(block_size), "path string, truncation_len long, blk long, payload binary")
+
+
+def incremental_content(blocks: Column, truncation_len: Column, block_size: int = BLOCK) -> Column:
+    """The bytes of an incremental file of blocks, an array of (blk, payload)."""
+    le = lambda x: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x.cast("bigint")), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
+    joined = lambda parts: F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+    n = F.size(blocks)
+    head = joined(F.concat(F.array(le(F.lit(MAGIC)), le(n), le(truncation_len)), F.transform(blocks, lambda b: le(b["blk"]))))
+    fill = F.when(n > 0, F.pmod(-(n + 3) * 4, F.lit(block_size))).otherwise(F.lit(0))
+    return F.concat(head, F.unhex(F.repeat(F.lit("00"), fill)), joined(F.transform(blocks, lambda b: b["payload"])))
+
+
+def file_parts(blocks: DataFrame, by: str = "file", part: int = PART) -> DataFrame:
+    """(file, part, bytes): blocks (file, blk, payload) put together in order, part of them a row, so that no file is held whole."""
+    g = blocks.groupBy(by, F.floor(F.col("blk") / part).cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("blk", "payload"))).alias("b"))
+    return g.select(by, "part", F.unhex(F.array_join(F.transform("b", lambda x: F.hex(x["payload"])), "")).alias("bytes"))

@@ -46,6 +46,25 @@ def _chunked(blocks: DataFrame) -> DataFrame:
     return B.brt_chunks(blocks).withColumn("offsets", F.concat_ws(",", F.transform("offsets", lambda x: x.cast("string"))))
 
 
+def _all_targets(c: DataFrame) -> DataFrame:
+    c = c.withColumn("start_timeline", F.floor(F.col("start_lsn") / 4096) % 5 + 1)
+    none = lambda kind: F.lit(None).cast(kind)
+    lsn, line, time = F.col("start_lsn") - F.col("start_lsn") % 1000000, F.col("start_timeline"), F.left("label", F.lit(7))
+    kinds = [(time, none("long"), none("long")), (none("string"), lsn, none("long")), (none("string"), none("long"), line), (none("string"), lsn, line)]
+    t = c.select("server", F.explode(F.array(*[F.struct(a.alias("time"), b.alias("lsn"), d.alias("timeline")) for a, b, d in kinds])).alias("t")).select("server", "t.*")
+    ways = F.array(*[F.struct(F.lit(a).cast("long").alias("tli"), F.lit(b).cast("long").alias("parent_tli")) for a, b in ((3, 1), (3, 2), (4, 1), (5, 2), (5, 4))])
+    history = c.select("server").distinct().select("server", F.explode(ways).alias("w")).select("server", "w.*", (F.col("w.parent_tli") * 20000000).alias("switch_lsn"))
+    return C.resolve_targets(c, t, history)
+
+
+def _chains(c: DataFrame) -> DataFrame:
+    """Chains of each server's newest snapshot that is not full, where they are whole."""
+    root = C.backup_root(c).join(c.filter("type = 'full'").select("server", F.col("label").alias("root")), ["server", "root"], "left_semi")
+    new = c.filter("type <> 'full'").join(c.select("server", F.col("label").alias("parent_label")), ["server", "parent_label"], "left_semi").groupBy("server").agg(F.max("label").alias("newest"))
+    asked = new.join(root.select("server", F.col("label").alias("newest")), ["server", "newest"]).select("server", "newest", F.lit(None).cast("string").alias("oldest"))
+    return C.label_chains(c, asked).select("server", "newest", "label", "depth")
+
+
 SELECT = "SELECT lsn, prev_lsn, xid, rmgr, tot_len, fpi_len, description"
 COLS = ["lsn", "prev_lsn", "xid", "rmgr", "tot_len", "fpi_len", "description"]
 
@@ -97,7 +116,18 @@ query("j11_backup_root", """RECURSIVE up AS (SELECT server, label, label AS ance
   SELECT server, label, arg_max(ancestor, depth) AS root, max(depth) AS depth FROM up GROUP BY 1,2""")(on(V.v_catalog, C.backup_root))
 TARGETS = "SELECT DISTINCT server, substr(label,1,6)||'15' AS target FROM v_catalog"
 query("j12_resolve_target", f", t AS ({TARGETS}) SELECT t.server, t.target, max(c.label) AS label FROM t LEFT JOIN v_catalog c ON c.server=t.server AND c.valid AND c.label<=t.target GROUP BY 1,2")(
-    on(V.v_catalog, lambda c: C.resolve_targets(c, c.select("server", F.concat(F.left("label", F.lit(6)), F.lit("15")).alias("target")))))
+    on(V.v_catalog, lambda c: C.resolve_targets(c, c.select("server", F.concat(F.left("label", F.lit(6)), F.lit("15")).alias("time"))).withColumnRenamed("time", "target")))
+query("j12_resolve_all", """, c AS (SELECT server, label, valid, start_lsn, start_lsn//4096%5+1 AS start_timeline FROM v_catalog),
+  h AS (SELECT server, tli, parent_tli, parent_tli*20000000 AS switch_lsn FROM (SELECT DISTINCT server FROM c), (VALUES (3,1),(3,2),(4,1),(5,2),(5,4)) t(tli, parent_tli)),
+  t AS (SELECT DISTINCT server, CASE WHEN k=0 THEN substr(label,1,7) END AS time, CASE WHEN k IN (1,3) THEN start_lsn-start_lsn%1000000 END AS lsn, CASE WHEN k>=2 THEN start_timeline END AS timeline FROM c, (VALUES (0),(1),(2),(3)) u(k)),
+  w AS (SELECT *, timeline AS on_, lsn AS upto FROM t WHERE lsn IS NOT NULL AND timeline IS NOT NULL UNION ALL SELECT t.*, parent_tli, least(lsn, switch_lsn) FROM t JOIN h ON h.server=t.server AND h.tli=t.timeline WHERE lsn IS NOT NULL)
+  SELECT t.server, t.time, t.lsn, t.timeline, max(c.label) AS label FROM t LEFT JOIN c ON c.server=t.server AND c.valid AND CASE WHEN t.time IS NOT NULL THEN c.label<=t.time WHEN t.lsn IS NULL THEN c.start_timeline=t.timeline WHEN t.timeline IS NULL THEN c.start_lsn<=t.lsn END
+    WHERE t.lsn IS NULL OR t.timeline IS NULL GROUP BY ALL
+  UNION ALL SELECT w.server, w.time, w.lsn, w.timeline, max(c.label) FROM w LEFT JOIN c ON c.server=w.server AND c.valid AND c.start_timeline=w.on_ AND c.start_lsn<=w.upto GROUP BY ALL""")(on(V.v_catalog, _all_targets))
+query("j11_label_chains", """RECURSIVE a AS (SELECT server, max(label) AS newest FROM v_catalog WHERE type<>'full' AND parent_label IN (SELECT label FROM v_catalog) GROUP BY 1),
+  up AS (SELECT a.server, newest, label, type, parent_label, 0 AS depth FROM a JOIN v_catalog c ON c.server=a.server AND c.label=a.newest UNION ALL
+  SELECT u.server, u.newest, c.label, c.type, c.parent_label, u.depth+1 FROM up u JOIN v_catalog c ON u.server=c.server AND u.parent_label=c.label WHERE u.type<>'full'),
+  whole AS (SELECT server FROM up WHERE type='full') SELECT server, newest, label, depth FROM up WHERE server IN (SELECT server FROM whole)""")(on(V.v_catalog, _chains))
 query("j13_remote_reconcile", "SELECT server, label, CASE WHEN size%2=0 THEN 'remote' ELSE 'local' END AS verify FROM v_catalog")(on(V.v_catalog, lambda c: C.remote_reconcile(c, c.filter("size % 2 = 0")).select("server", "label", "verify")))
 query("j14_wal_between", """, b AS (SELECT server, label, label AS wal, lead(label) OVER (PARTITION BY server ORDER BY label) AS upto FROM v_catalog WHERE type='full')
   SELECT b.server, b.label, count(s.label) AS segments FROM b LEFT JOIN v_catalog s ON s.server=b.server AND s.label>=b.wal AND (b.upto IS NULL OR s.label<b.upto) GROUP BY 1,2""")(
@@ -110,6 +140,21 @@ query("a2_wal_stats", """, s AS (SELECT rmgr, count(*) AS n, sum(tot_len-fpi_len
 LIMITS = "e AS (SELECT *, min(limit_block) OVER (PARTITION BY spc,db,rel,fork ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM v_blocks WHERE phase=0), l AS (SELECT * FROM e WHERE low IS NULL OR limit_block<low), m AS (SELECT spc,db,rel,fork,blk,max(lsn) AS last FROM v_blocks WHERE phase=1 AND fork<>1 GROUP BY ALL), s AS (SELECT spc,db,rel,fork,blk FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.db=m.db AND l.rel=m.rel AND l.fork=m.fork AND l.limit_block<=m.blk AND l.lsn>m.last))"
 query("a3_summarize_wal", f", {LIMITS} SELECT * FROM s")(on(V.v_blocks, B.summarize))
 query("a3_brt_limits", "SELECT spc,db,rel,fork,min(limit_block) AS limit_block FROM v_blocks WHERE phase=0 GROUP BY ALL")(on(V.v_blocks, B.brt_limits))
+query("a3_block_events", """, r AS (SELECT event_id AS i, event_type AS e, 14+event_id%5 AS version, user_id%7 AS db, user_id%25 AS rel, event_id%4 AS fork, event_id*7%500 AS blk FROM events),
+  x AS (SELECT i AS lsn, 1 AS phase, 1663::BIGINT AS spc, db, rel, (fork+k)%4 AS fork, NULL::BIGINT AS limit_block, blk+k AS blk FROM r, (VALUES (0),(1)) t(k) WHERE e IN ('view','click') AND (fork+k)%4<>1 AND NOT (e='click' AND i%16 IN (0,6,9,14))
+  UNION ALL SELECT i, 0, 1663, db, rel, fork, 0, NULL FROM r WHERE e='signup' AND i%2=0 AND fork<>1
+  UNION ALL SELECT i, 0, 1663, db, rel, f, blk, NULL FROM r, (VALUES (0,1),(2,2)) t(f,bit) WHERE e='signup' AND i%2=1 AND i%8&bit<>0
+  UNION ALL SELECT i, 0, 1663, db, rel, f, 0, NULL FROM r, (VALUES (0),(2),(3)) t(f) WHERE e='error' AND i%8 IN (0,2,3,4)
+  UNION ALL SELECT i, 0, 1663, db, 0, 0, 0, NULL FROM r WHERE e='purchase' AND (i%3=0 OR i%3=1 AND version>=15)
+  UNION ALL SELECT i, 0, s, db, 0, 0, 0, NULL FROM r, (VALUES (1663),(1700)) t(s) WHERE e='purchase' AND (i%3=2 AND version>=15 OR i%3=1 AND version<15))
+  SELECT spc, db, rel, fork, lsn, phase, limit_block, blk FROM x""")(on(V.v_records, B.block_events))
+query("a5_brt_packed", "SELECT DISTINCT spc, db, rel, fork, blk FROM (SELECT * FROM v_many UNION ALL SELECT spc, db, rel, fork, blk+blk%1000 FROM v_many)")(
+    on(V.v_many, lambda b: B.brt_unpacked(B.brt_union(B.brt_packed(b), B.brt_packed(b.withColumn("blk", F.col("blk") + F.col("blk") % 1000))))))
+query("a5_packed_sizes", "SELECT spc, db, rel, fork, blk//32768 AS bucket, count(DISTINCT blk) AS n, least(4096, 2*count(DISTINCT blk)) AS bytes FROM v_many GROUP BY ALL")(
+    on(V.v_many, lambda b: B.brt_packed(b).select(*B.KEY, "bucket", "n", F.coalesce(F.octet_length("bits"), F.size("offsets") * 2).cast("long").alias("bytes"))))
+query("a8_tree_usage", """RECURSIVE t AS (SELECT regexp_replace('/'||path, '/[^/]*$', '') AS folder, size FROM (SELECT path||'/'||(size%7)||'/f' AS path, size FROM m_all)
+  UNION ALL SELECT regexp_replace(folder, '/[^/]*$', ''), size FROM t WHERE folder<>'') SELECT substr(folder,2) AS folder, sum(size)::BIGINT AS total, count(*) AS files, max(size) AS biggest FROM t GROUP BY 1""")(
+    on(V.v_manifest, lambda m: C.tree_usage(m.select(F.concat_ws("/", "path", (F.col("size") % 7).cast("string"), F.lit("f")).alias("path"), "size"))))
 query("a4_brt_blocks", f", {LIMITS} SELECT * FROM s WHERE blk>=100 AND blk<300")(on(V.v_blocks, lambda b: B.brt_range(B.summarize(b), 100, 300)))
 CHUNKED = "SELECT spc,db,rel,fork,blk//65536 AS chunk,count(*) AS n,CASE WHEN count(*)>4095 THEN 'bitmap' ELSE 'array' END AS kind,string_agg((blk%65536)::VARCHAR,',' ORDER BY blk) AS offsets"
 query("a5_brt_chunks", f", {LIMITS} {CHUNKED} FROM s GROUP BY spc,db,rel,fork,blk//65536")(on(V.v_blocks, lambda b: _chunked(B.summarize(b))))
@@ -129,8 +174,11 @@ query("a14_bench_compare", """, a AS (SELECT user_id%7 AS phase, median(value) A
     on(V.v_metrics, lambda m: M.bench_compare(M.medians(m.filter("event_id % 2 = 0").withColumn("phase", F.col("user_id") % 7), "phase", "value"), M.medians(m.filter("event_id % 2 = 1").withColumn("phase", F.col("user_id") % 7), "phase", "value"))))
 query("a16_perf_data", "SELECT 'OK | '||string_agg(rmgr||'='||n, ' ' ORDER BY rmgr||'='||n) AS line FROM (SELECT rmgr, count(*) AS n FROM v_wal GROUP BY 1)")(on(V.v_wal, lambda w: M.perf_data(wal.rmgr_counts(w).select(F.col("rmgr").alias("name"), F.col("n").alias("value")))))
 query("a17_manifest_totals", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM m_all")(on(V.v_manifest, lambda m: m.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))))
-query("a18_catalog_gauges", "SELECT server, label, metric, value FROM (SELECT server, label, size::DOUBLE AS backup_size, valid::INT::DOUBLE AS backup_valid, keep::INT::DOUBLE AS backup_retain FROM v_catalog) UNPIVOT (value FOR metric IN (backup_size, backup_valid, backup_retain)) UNION ALL SELECT s, NULL, 'backup_size', 0.0 FROM range(25) t(s) WHERE s NOT IN (SELECT server FROM v_catalog)")(
-    lambda s, d: C.catalog_gauges(V.v_catalog(s, d), s.range(25).select(F.col("id").alias("server"))))
+query("a18_catalog_gauges", """, g AS (SELECT server, label, size::DOUBLE AS backup_size, valid::INT::DOUBLE AS backup_valid, keep::INT::DOUBLE AS backup_retain, (size*2)::DOUBLE AS backup_restore_size, major_version::DOUBLE AS backup_major_version, start_lsn::DOUBLE AS backup_start_lsn,
+  CASE WHEN size=0 THEN 0.0 ELSE size::DOUBLE/(size*2) END AS backup_ratio, (size%60)::DOUBLE AS backup_elapsed_total, round(CASE WHEN size%60=0 THEN 0.0 ELSE size/((size%60)*1e6) END, 4) AS backup_total_mbs FROM v_catalog),
+  u AS (SELECT server, label, metric, value FROM g UNPIVOT (value FOR metric IN (backup_size, backup_valid, backup_retain, backup_restore_size, backup_major_version, backup_start_lsn, backup_ratio, backup_elapsed_total, backup_total_mbs)))
+  SELECT * FROM u UNION ALL SELECT s, NULL, metric, 0.0 FROM range(25) t(s), (SELECT DISTINCT metric FROM u) WHERE s NOT IN (SELECT DISTINCT server FROM v_catalog)""")(
+    lambda s, d: C.catalog_gauges(V.v_catalog(s, d).withColumns({"restore_size": F.col("size") * 2, "elapsed_total": F.col("size") % 60}), s.range(25).select(F.col("id").alias("server"))))
 MARK = """, days AS (SELECT strftime(DATE '1998-01-12' - to_days((7*j)::INT),'%Y%m%d') AS day FROM range(4) t(j) UNION SELECT strftime(DATE '1998-01-01' - to_months(j::INT),'%Y%m%d') FROM range(12) t(j) UNION SELECT strftime(DATE '1998-01-01' - to_years(j::INT),'%Y%m%d') FROM range(5) t(j)),
   k AS (SELECT *, row_number() OVER (PARTITION BY server, substr(label,1,8) ORDER BY label DESC) AS rn FROM v_catalog), mk AS (SELECT *, label>='19980108000000' OR (rn=1 AND substr(label,1,8) IN (SELECT day FROM days)) AS marked FROM k)"""
 POLICY = {"days": 7, "weeks": 4, "months": 12, "years": 5}

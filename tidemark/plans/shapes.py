@@ -32,6 +32,28 @@ def v_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded log records with the payloads of storage, transaction and database operations."""
+    i, e, fork, blk = F.col("event_id"), F.col("event_type"), F.col("event_id") % 4, F.col("event_id") * 7 % 500
+    db, rel, spc = F.col("user_id") % 7, F.col("user_id") % 25, F.lit(1663).cast("long")
+    version = (14 + i % 5).cast("int")
+    word = lambda c: F.concat(*[F.substring(F.lpad(F.hex(c.cast("long")), 8, "0"), k, 2) for k in (7, 5, 3, 1)])
+    data = lambda *cs: F.unhex(F.concat(*map(word, cs)))
+    drop = F.when(version >= 15, i % 3 == 2).otherwise(i % 3 == 1)
+    main = (
+        F.when((e == "signup") & (i % 2 == 0), data(spc, db, rel, fork)).when(e == "signup", data(blk, spc, db, rel, i % 8))
+        .when((e == "purchase") & drop, data(db, F.lit(2), spc, F.lit(1700))).when(e == "purchase", data(db, spc, F.lit(0), F.lit(0)))
+    )
+    rmid = F.when(e == "signup", 2).when(e == "error", 1).when(e == "purchase", 4).when(e == "click", 0).otherwise(10)
+    info = F.when(e == "signup", F.when(i % 2 == 0, 0x10).otherwise(0x20)).when(e == "purchase", i % 3 * 16).otherwise(i % 16 * 16).cast("int")
+    block = lambda k: F.struct(spc.alias("spc"), db.alias("db"), rel.alias("rel"), ((fork + k) % 4).cast("int").alias("fork"), (blk + k).alias("blk"), F.lit(False).alias("has_image"), F.lit(0).alias("bimg_len"))
+    rels = F.when(e == "error", F.array(F.struct(spc.alias("spc"), db.alias("db"), rel.alias("rel"))))
+    return read(spark, sf_dir, "events").select(
+        i.alias("lsn"), version.alias("version"), F.lit(False).alias("partial"), rmid.alias("rmid"), info.alias("info"), main.alias("main_data"), rels.alias("dropped_rels"),
+        F.when(e.isin("view", "click"), F.array(block(0), block(1))).alias("blocks"),
+    )
+
+
 def v_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest of all documents."""
     d = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))

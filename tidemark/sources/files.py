@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import string_to_lsn
@@ -67,11 +68,39 @@ def read_manifest_csv(spark: SparkSession, path: str, strict: bool = False) -> D
     return rows.filter(~wrong).select("path", "checksum")
 
 
+#: One flat JSON object at the end of a text: names, numbers and quoted strings with escapes.
+_OBJECT = r'\{(?:[^"{}]|"(?:[^"\\]|\\.)*+")*+\}$'
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, item, value): the flat objects, without objects in them, of the JSON documents at path, in order, each as text.
+
+    A document is split wherever a brace closes, so that tasks read byte ranges of it, however long its lines are. Whether such a
+    brace ends an object or stands in a string depends on the quotes before it: each range counts its own, a table of one row a range
+    carries the parity on, and pieces that end within a string are put together with the next.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range")]
+    pieces = spark.read.option("lineSep", "}").text(path).select(*place, F.monotonically_increasing_id().alias("row"), "value")
+    quotes = F.length(F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '[^"]', "")) % 2
+    inside = W.partitionBy("file", "range").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    p = pieces.withColumn("odd", F.sum(quotes).over(inside) % 2)
+    ranges = p.groupBy("file", "range").agg(F.max_by("odd", "row").alias("odd"), F.count_if(F.col("odd") == 0).alias("even"), F.count("*").alias("n"))
+    before = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carry = F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2
+    ranges = ranges.select("file", "range", carry.alias("flip"), F.when(carry == 0, F.col("even")).otherwise(F.col("n") - F.col("even")).alias("ends"))
+    ranges = ranges.withColumn("ended", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    p = p.join(ranges, ["file", "range"]).withColumn("end", ((F.col("odd") + F.col("flip")) % 2 == 0).cast("long"))
+    item = F.col("ended") + F.coalesce(F.sum("end").over(W.partitionBy("file", "range").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = p.withColumn("item", item).groupBy("file", "item").agg(F.array_sort(F.collect_list(F.struct("range", "row", "value"))).alias("parts"))
+    text = F.concat(F.array_join(F.transform("parts", lambda x: x["value"]), "}"), F.lit("}"))
+    return parts.select("file", "item", F.regexp_extract(text, _OBJECT, 0).alias("value")).filter("value <> ''")
+
+
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each item of the array Files."""
+    """One row for each item of the array Files, read by many tasks; see json_objects. Objects without a Path, such as those of other
+    arrays, are no files."""
     item = "`Path` string, `Size` bigint, `Last-Modified` string, `Checksum-Algorithm` string, `Checksum` string"
-    doc = spark.read.option("multiLine", "true").schema(f"Files array<struct<{item.replace(' string', ':string').replace(' bigint', ':bigint')}>>").json(path)
-    return doc.select(F.explode("Files").alias("f")).select("f.*")
+    return json_objects(spark, path).select(F.from_json("value", item).alias("f")).select("f.*").filter("Path IS NOT NULL")
 
 
 def read_catalog(spark: SparkSession, folder: str, info: str = "backup.info") -> DataFrame:
@@ -89,18 +118,26 @@ CATALOG_FIELDS = {
     "ELAPSED": ("elapsed", "double"), "MAJOR_VERSION": ("major_version", "int"), "MINOR_VERSION": ("minor_version", "int"), "KEEP": ("keep", "int"), "COMMENTS": ("comments", "string"),
     "TYPE": ("type", "int"), "PARENT": ("parent_label", "string"), "COMPRESSION": ("compression", "int"), "ENCRYPTION": ("encryption", "int"),
     "START_TIMELINE": ("start_timeline", "int"), "END_TIMELINE": ("end_timeline", "int"),
+    "BASEBACKUP_ELAPSED": ("elapsed_basebackup", "double"), "MANIFEST_ELAPSED": ("elapsed_manifest", "double"), "HASH_ELAPSED": ("elapsed_hash", "double"), "LINKING_ELAPSED": ("elapsed_linking", "double"),
+    "COMPRESSION_ZSTD_ELAPSED": ("elapsed_compression_zstd", "double"), "COMPRESSION_GZIP_ELAPSED": ("elapsed_compression_gzip", "double"), "COMPRESSION_BZIP2_ELAPSED": ("elapsed_compression_bzip2", "double"),
+    "COMPRESSION_LZ4_ELAPSED": ("elapsed_compression_lz4", "double"), "ENCRYPTION_ELAPSED": ("elapsed_encryption", "double"), "REMOTE_SSH_ELAPSED": ("elapsed_remote_ssh", "double"),
+    "REMOTE_S3_ELAPSED": ("elapsed_remote_s3", "double"), "REMOTE_AZURE_ELAPSED": ("elapsed_remote_azure", "double"),
 }
 CATALOG_POSITIONS = {"START_WALPOS": "start_lsn", "END_WALPOS": "end_lsn", "CHKPT_WALPOS": "checkpoint_lsn"}
 
 
 def typed_catalog(catalog: DataFrame) -> DataFrame:
     """The rows of read_catalog with a column for each known field: positions as numbers, keep and valid as booleans, type as full or
-    incremental. What a file lacks, or is no such value, is null; fields holds all as they stand."""
+    incremental, times of the phases as elapsed_*, and tablespaces as an array of (number, name, oid, path) in order of their numbers. What a file lacks,
+    or is no such value, is null; fields holds all as they stand."""
     text = lambda k: F.try_element_at("fields", F.lit(k))
     out = {name: F.nullif(F.trim(text(k)), F.lit("")).try_cast(kind) for k, (name, kind) in CATALOG_FIELDS.items()}
     out |= {name: string_to_lsn(F.trim(text(k))) for k, name in CATALOG_POSITIONS.items()}
     out |= {"label": F.coalesce(out["label"], F.col("label")), "keep": out["keep"] == 1, "valid": out.pop("status") == 1, "type": F.when(out["type"] == 0, "full").when(out["type"] == 1, "incremental")}
-    return catalog.select(*[c.alias(name) for name, c in out.items()], "fields")
+    numbers = F.transform(F.filter(F.map_keys("fields"), lambda k: k.rlike("^TABLESPACE[0-9]+$")), lambda k: F.substring(k, 11, 9).cast("int"))
+    of = lambda key, n: F.trim(F.try_element_at(F.col("fields"), F.concat(F.lit(key), n.cast("string"))))
+    one = lambda n: F.struct(n.alias("number"), of("TABLESPACE", n).alias("name"), of("TABLESPACE_OID", n).try_cast("long").alias("oid"), of("TABLESPACE_PATH", n).alias("path"))
+    return catalog.select(*[c.alias(name) for name, c in out.items()], F.transform(F.array_sort(numbers), one).alias("tablespaces"), "fields")
 
 
 def read_timeline_history(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import changes
 from tidemark.operators.catalog import retention_plan
+from tidemark.operators.snapshots import verification_sweep
 from tidemark.operators.wal import wal_filter
 
 SEGMENT = 16 << 20
@@ -140,6 +141,28 @@ def retention_runs(catalog: Callable[[], DataFrame], delete: Callable[[DataFrame
     return run
 
 
+def verification_runs(catalog: Callable[[], DataFrame], statuses: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """For on_each_batch: each batch reads the catalog anew, has statuses (server, label, status of each file) taken of its valid snapshots, and hands
+    the catalog to publish, with those invalid of which a file isn't ok; only where that changes any."""
+
+    def run(_: DataFrame, __: int) -> None:
+        now = catalog()
+        swept = verification_sweep(now, statuses(now.filter("valid")))
+        if not swept.filter("NOT valid").join(now.filter("valid").select("server", "label"), ["server", "label"], "left_semi").isEmpty():
+            publish(swept)
+
+    return run
+
+
+def validity_runs(catalog: Callable[[], DataFrame], report: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """For on_each_batch: each batch hands (server, n_valid, n_invalid, newest_valid) of the catalog as it then is to report."""
+
+    def run(_: DataFrame, __: int) -> None:
+        report(catalog().groupBy("server").agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"), F.max(F.when(F.col("valid"), F.col("label"))).alias("newest_valid")))
+
+    return run
+
+
 def ticks(spark: SparkSession) -> DataFrame:
     """A stream of one row a second, whose batches set off policy runs on the trigger of on_each_batch."""
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
