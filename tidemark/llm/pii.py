@@ -1,9 +1,10 @@
 """Personal data by base patterns and by bootstrapped contexts, with DataFrame functions only.
 
-Matches of the base patterns are the seeds, and so are words in the shape of a key (SHAPE). The words before a match (and what the word
-itself starts with, as in `id:`) make lexical patterns; patterns and the word values that they introduce form a graph, on which Spark
-scores patterns by the share of known identifiers among their values, and values by their patterns, round after round. Only patterns
-that reach CONFIDENT count. Values that reach the threshold become spans of the kind `id`.
+Matches of the base patterns are the seeds. The words before a match (and what the word itself starts with, as in `id:`) make lexical
+patterns, with and without the label that they name; patterns and the word values that they introduce form a graph. Round after round Spark scores
+a pattern by the scores of its values, and a value by its prior and its patterns. The prior is 1 for seeds and PRIOR for words in the
+shape of a key, which alone is below the threshold: such a word counts only where its contexts introduce others like it. Only patterns that
+reach CONFIDENT on SUPPORT values at least count. Values that reach the threshold become spans of the kind `id`.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ BASE = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: A word in the shape of a key: 32 hexadecimal digits or more, figures among them.
+#: A word in the shape of a key, a weak prior: 32 hexadecimal digits or more, figures among them.
 SHAPE = r"^(?=.*[0-9])[0-9A-Fa-f]{32,}$"
 ROUNDS = 3
-LEAST, CONFIDENT = 0.75, 0.5
+LEAST, CONFIDENT, SUPPORT, PRIOR = 0.75, 0.3, 2, 0.5
 MIN_LENGTH = 6
 
 
@@ -96,17 +97,20 @@ def _occurrences(found: DataFrame) -> DataFrame:
 
 
 def _scored(occurrences: DataFrame, rounds: int) -> DataFrame:
-    """(value, score) of the values that a confident pattern introduces, or that are known: edges join values to patterns, and scores go
+    """(value, score) of the values that a confident pattern introduces, or that have a prior: edges join values to patterns, and scores go
     to and fro between them. value is a hash of the word in lower case."""
-    edges = occurrences.select(F.xxhash64(F.lower("value")).alias("value"), (F.col("seed") | F.col("shaped")).alias("known"), F.explode_outer("patterns").alias("p"))
-    edges = X.kept(edges.groupBy("value", F.xxhash64("p").alias("p"), F.col("p").isNull().alias("bare")).agg(F.max("known").alias("known")))
-    known = edges.groupBy("value").agg(F.max("known").alias("known")).filter("known").select("value", F.lit(1.0).alias("score"))
-    values, edges = known, edges.filter("NOT bare").select("value", "p")
+    prior = F.when(F.col("seed"), 1 - 1e-9).when(F.col("shaped"), PRIOR).otherwise(0.0)
+    edges = occurrences.select(F.xxhash64(F.lower("value")).alias("value"), prior.alias("prior"), F.explode_outer("patterns").alias("p"))
+    edges = X.kept(edges.groupBy("value", F.xxhash64("p").alias("p"), F.col("p").isNull().alias("bare")).agg(F.max("prior").alias("prior")))
+    priors = edges.groupBy("value").agg(F.max("prior").alias("score")).filter("score > 0")
+    doubt = priors.select("value", F.log(1 - F.col("score")).alias("doubt"))
+    values, edges = priors, edges.filter("NOT bare").select("value", "p")
     for _ in range(rounds):
         # a pattern that introduces mostly unknown words, as every frequent word does, is dropped here and not joined back
-        p = edges.join(values, "value", "left").groupBy("p").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("trust")).filter(F.col("trust") >= CONFIDENT)
-        new = edges.join(p, "p").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.lit(0.95) * F.col("trust"))))).alias("score"))
-        values = X.kept(new.unionByName(known).groupBy("value").agg(F.max("score").alias("score")))
+        p = edges.join(values, "value", "left").groupBy("p").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("trust"), F.count_if(F.col("score") >= PRIOR).alias("support"))
+        p = p.filter((F.col("trust") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("p", "trust")
+        led = edges.join(p, "p").select("value", F.log(1 - F.lit(0.95) * F.col("trust")).alias("doubt"))
+        values = X.kept(led.unionByName(doubt).groupBy("value").agg((1 - F.exp(F.sum("doubt"))).alias("score")))
     return values
 
 
@@ -115,8 +119,7 @@ def find_pii(documents: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -
     points, kind an index into KINDS.
 
     Base kinds are the stated patterns and checks; the contextual kind, id, adds words of MIN_LENGTH characters or more that
-    hold a digit, overlap no base span, and score least or more; a word in the shape of a key scores 1, and so does a word that is a base
-    match elsewhere. Null and empty texts have no spans; rows that repeat doc_id
+    hold a digit, overlap no base span, and score least or more, as a word does that is a base match elsewhere. Null and empty texts have no spans; rows that repeat doc_id
     and text have one result here, which holds for each of them; a null doc_id is a document like any other. Empty tables
     give empty results, further columns are ignored.
     """
