@@ -76,8 +76,19 @@ def _matches(documents: DataFrame) -> DataFrame:
     return d.filter("good").withColumn("first", first).filter("row = first").select("doc_id", "text_key", "kind", "start", "stop", "word", "near")
 
 
+def _plain(c: str) -> Column:
+    return F.regexp_replace(F.lower(c), "[0-9]", "0")
+
+
+def _counted(documents: DataFrame) -> DataFrame:
+    """(context, total): how often each word of all texts occurs, by its hash."""
+    words = documents.select(F.explode(F.split(_plain("text"), r"[\x20\x09-\x0D]+")).alias("word"))
+    return words.groupBy(F.xxhash64("word").alias("context")).agg(F.count("*").alias("total"))
+
+
 def _occurrences(found: DataFrame) -> DataFrame:
-    """Words with digits or @ and what introduces them: (doc_id, text_key, start, stop, value, seed, shaped, patterns)."""
+    """Words with digits or @ and what introduces them: (doc_id, text_key, start, stop, value, seed, shaped, patterns, context): context
+    is the hash of the word before, null where the word itself begins with a label."""
     is_word = F.col("kind") == 4
     # in order of a base match's start and a word's end, the furthest end so far tells whether a base match overlaps the word
     by = W.partitionBy("doc_id", "text_key").orderBy(F.when(is_word, F.col("stop")).otherwise(F.col("start")), F.when(is_word, 0).otherwise(1))
@@ -87,27 +98,33 @@ def _occurrences(found: DataFrame) -> DataFrame:
     rest = F.expr("substring(word, char_length(lead) + 1)")
     w = w.withColumn("value", F.regexp_replace(rest, r"[^\p{L}\p{N}]+$", ""))
     w = w.withColumn("start", F.col("start") + F.char_length("lead")).withColumn("stop", F.col("start") + F.char_length("value"))
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    lead, near = plain("lead"), F.split(F.trim(F.regexp_replace(plain("near"), r"[\x20\x09-\x0D]+", " ")), " ")
+    lead, near = _plain("lead"), F.split(F.trim(F.regexp_replace(_plain("near"), r"[\x20\x09-\x0D]+", " ")), " ")
     one, two = F.element_at(near, -1), F.when(F.size(near) > 1, F.element_at(near, -2))
     labelled = F.col("lead").rlike("[=:]")
     patterns = F.when(labelled, F.array(lead)).otherwise(F.array(F.concat(one, F.lit(" "), lead), F.concat(two, F.lit(" "), one, F.lit(" "), lead)))
     w = w.withColumn("patterns", F.filter(patterns, lambda p: p.isNotNull() & (F.trim(p) != "")))
-    return w.select("doc_id", "text_key", "start", "stop", "value", "seed", F.col("value").rlike(SHAPE).alias("shaped"), "patterns")
+    return w.select("doc_id", "text_key", "start", "stop", "value", "seed", F.col("value").rlike(SHAPE).alias("shaped"), "patterns", F.when(~labelled, F.xxhash64(one)).alias("context"))
 
 
-def _scored(occurrences: DataFrame, rounds: int) -> DataFrame:
+def _scored(occurrences: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
     """(value, score) of the values that a confident pattern introduces, or that have a prior: edges join values to patterns, and scores go
-    to and fro between them. value is a hash of the word in lower case."""
+    to and fro between them. value is a hash of the word in lower case.
+
+    A pattern trusts its values as far as they are known, times the share of such values among all words that follow its last word: a
+    word of ordinary prose introduces next to none, whatever those few are.
+    """
     prior = F.when(F.col("seed"), 1 - 1e-9).when(F.col("shaped"), PRIOR).otherwise(0.0)
-    edges = occurrences.select(F.xxhash64(F.lower("value")).alias("value"), prior.alias("prior"), F.explode_outer("patterns").alias("p"))
-    edges = X.kept(edges.groupBy("value", F.xxhash64("p").alias("p"), F.col("p").isNull().alias("bare")).agg(F.max("prior").alias("prior")))
+    led = occurrences.filter("context IS NOT NULL").groupBy("context").agg(F.count("*").alias("led"))
+    share = led.join(totals, "context").select("context", (F.col("led") / F.greatest("led", "total")).alias("share"))
+    edges = occurrences.select(F.xxhash64(F.lower("value")).alias("value"), prior.alias("prior"), "context", F.explode_outer("patterns").alias("p"))
+    edges = edges.groupBy("value", F.xxhash64("p").alias("p"), F.col("p").isNull().alias("bare"), "context").agg(F.max("prior").alias("prior"))
+    edges = X.kept(edges.join(share, "context", "left").select("value", "p", "bare", "prior", F.coalesce("share", F.lit(1.0)).alias("share")))
     priors = edges.groupBy("value").agg(F.max("prior").alias("score")).filter("score > 0")
     doubt = priors.select("value", F.log(1 - F.col("score")).alias("doubt"))
-    values, edges = priors, edges.filter("NOT bare").select("value", "p")
+    values, edges = priors, edges.filter("NOT bare").select("value", "p", "share")
     for _ in range(rounds):
         # a pattern that introduces mostly unknown words, as every frequent word does, is dropped here and not joined back
-        p = edges.join(values, "value", "left").groupBy("p").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("trust"), F.count_if(F.col("score") >= PRIOR).alias("support"))
+        p = edges.join(values, "value", "left").groupBy("p").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1) * F.max("share")).alias("trust"), F.count_if(F.col("score") >= PRIOR).alias("support"))
         p = p.filter((F.col("trust") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("p", "trust")
         led = edges.join(p, "p").select("value", F.log(1 - F.lit(0.95) * F.col("trust")).alias("doubt"))
         values = X.kept(led.unionByName(doubt).groupBy("value").agg((1 - F.exp(F.sum("doubt"))).alias("score")))
@@ -125,7 +142,7 @@ def find_pii(documents: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -
     """
     found = X.kept(_matches(documents))
     occurrences = X.kept(_occurrences(found))
-    values = _scored(occurrences, rounds).filter(F.col("score") >= least).select(F.col("value").alias("v"))
+    values = _scored(occurrences, _counted(documents), rounds).filter(F.col("score") >= least).select(F.col("value").alias("v"))
     new = occurrences.filter(~F.col("seed") & (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]"))
     new = new.join(values, F.xxhash64(F.lower("value")) == F.col("v"), "left_semi")
     spans = found.filter("kind < 4").select("doc_id", "text_key", "kind", "start", "stop")
