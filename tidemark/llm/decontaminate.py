@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ WINDOW = 10
 SAMPLE = 8
 #: Benchmark items are searched in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
+#: Groups whose phrases a task keeps unfolded.
+UNFOLDED = 8
 
 
 class WaveletMatrix:
@@ -103,17 +106,19 @@ class FMIndex:
 
 
 def packed_items(items: list[tuple[str | None, str | None]]) -> bytes:
-    """A group of items (name, text) as vocabulary (sorted hashes of words), the items' words as symbols, where each item's start, and names."""
+    """A group of items (name, text): vocabulary (sorted hashes of words) and the words of the shortest item, and by itself what phrases are
+    unfolded from, the items' words as symbols, where each item's start, and names."""
     names, texts = [n for n, _ in items], pa.array([t for _, t in items], pa.string())
     data, off = X.texts(texts)
     starts, ends, first = X.words(data, off, X.ALNUM)
     vocab, symbols = np.unique(X.word_hash(X.LOWER[data], starts, ends), return_inverse=True)
-    return pickle.dumps((vocab, symbols.reshape(-1).astype(np.uint32), first, names))
+    n = np.diff(first)
+    return pickle.dumps((vocab, int(n[n > 0].min(initial=1 << 31)), pickle.dumps((symbols.reshape(-1).astype(np.uint32), first, names))))
 
 
 def phrases_of(packed: bytes, window: int = WINDOW):
-    """Vocabulary, distinct phrases of a packed group as a right-aligned matrix of symbols, their lengths, and the items of each."""
-    vocab, symbols, first, names = pickle.loads(packed)
+    """Distinct phrases of a packed group, of its second part, as a right-aligned matrix of symbols, their lengths, and the items of each."""
+    symbols, first, names = pickle.loads(packed)
     n = np.diff(first)
     many = np.where(n >= window, n - window + 1, np.minimum(n, 1))  # windows of an item; all of it if it is shorter
     item = np.repeat(np.arange(len(n)), many)
@@ -126,17 +131,17 @@ def phrases_of(packed: bytes, window: int = WINDOW):
     for p, i in sorted(set(zip(back.reshape(-1).tolist(), item.tolist(), strict=True))):
         if names[i] is not None:
             of[p].add(names[i])
-    return vocab, matrix, (matrix > 0).sum(1), [sorted(x) for x in of]
+    return matrix, (matrix > 0).sum(1), [sorted(x) for x in of]
 
 
-def _searched(data: np.ndarray, off: np.ndarray, phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block, which are hit, and pairs (text, phrase) that occur."""
-    vocab, matrix, length, _ = phrases
+def _searched(data: np.ndarray, off: np.ndarray, vocab: np.ndarray, shortest: int, unfold: Callable[[], tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """Words of a block, which are hit, and where a phrase occurs the text and the phrase's items. A group of which no run of words is long enough
+    isn't unfolded, and phrases of which the block lacks a word aren't searched."""
     starts, ends, first = X.words(data, off, X.ALNUM)
     hit = np.zeros(len(starts), bool)
     none = np.empty(0, np.int64)
     if not len(starts) or not len(vocab):
-        return starts, ends, first, hit, none, none
+        return starts, ends, first, hit, none, []
     h = X.word_hash(X.LOWER[data], starts, ends)
     at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
     known = vocab[at] == h
@@ -146,9 +151,17 @@ def _searched(data: np.ndarray, off: np.ndarray, phrases) -> tuple[np.ndarray, n
     number = np.cumsum(new) - 1
     size = np.bincount(number[known], minlength=1)
     keep = np.flatnonzero(known)
-    keep = keep[size[number[keep]] >= length.min()]
+    keep = keep[size[number[keep]] >= shortest]
     if not len(keep):
-        return starts, ends, first, hit, none, none
+        return starts, ends, first, hit, none, []
+    matrix, length, of = unfold()
+    there = np.zeros(len(vocab) + 1, bool)
+    there[0] = True
+    there[at[keep] + 1] = True
+    some = np.flatnonzero(there[matrix].all(1))
+    if not len(some):
+        return starts, ends, first, hit, none, []
+    matrix, length = matrix[some], length[some]
     split = np.flatnonzero(np.diff(number[keep])) + 1  # a separator after each run
     seq = np.insert(at[keep] + 1, split, len(vocab) + 1)
     back = np.insert(keep, split, -1)
@@ -159,22 +172,22 @@ def _searched(data: np.ndarray, off: np.ndarray, phrases) -> tuple[np.ndarray, n
     word = back[index.locate(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))]
     hit = X.merged(word, word + length[phrase], len(starts))
     text = np.searchsorted(first, word, side="right") - 1
-    return starts, ends, first, hit, text, phrase
+    return starts, ends, first, hit, text, [of[p] for p in some[phrase].tolist()]
 
 
 def _find(groups: list, window: int, cut: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = phrases_of(groups[0].value, window) if len(groups) == 1 else None  # of several, one at a time is unfolded
+        unfolded = lru_cache(maxsize=UNFOLDED)(lambda k: phrases_of(pickle.loads(groups[k].value)[2], window))
         for t in X.blocks(batches, "text"):
             data, off = X.texts(t["text"])
             found: list[set[str]] = [set() for _ in range(t.num_rows)]
             hit = False
-            for group in groups:
-                phrases = only or phrases_of(group.value, window)
-                starts, ends, first, here, text, phrase = _searched(data, off, phrases)
+            for k, group in enumerate(groups):
+                vocab, shortest, _ = pickle.loads(group.value)
+                starts, ends, first, here, text, items = _searched(data, off, vocab, min(shortest, window), lambda k=k: unfolded(k))
                 hit = hit | here
-                for d, p in set(zip(text.tolist(), phrase.tolist(), strict=True)):
-                    found[d].update(phrases[3][p])
+                for d, named in zip(text.tolist(), items, strict=True):
+                    found[d].update(named)
             n_hit = np.add.reduceat(np.append(hit, False), np.minimum(first[:-1], len(hit))) if len(first) > 1 else []
             n_words = np.diff(first)
             n_hit = np.where(n_words > 0, n_hit, 0)
@@ -212,7 +225,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
     The benchmark is packed by tasks in groups of about group_bytes of text, each broadcast by itself; a task searches its block for
     one group after another and joins the hits. The driver holds one packed group at a time; a worker holds all of them, some four
-    bytes a word, and the phrases of one, so what a worker can hold bounds the benchmark's size, not the results.
+    bytes a word, and the phrases of UNFOLDED ones, so what a worker can hold bounds the benchmark's size, not the results.
     """
     docs = documents.drop("n_words", "n_hit", "items")
     spark = docs.sparkSession
