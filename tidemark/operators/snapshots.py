@@ -125,6 +125,19 @@ def build_manifest(files: DataFrame, bits: int = 512) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", bits).alias("checksum"), *more)
 
 
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """One row: how many files there are to process, and their bytes."""
+    return manifest.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def merged_lists(*lists: DataFrame, by: str, name: str = "name") -> DataFrame:
+    """(by, names): the names of several tables (by, name) as one list each, in order; a name that several have stands several times."""
+    every = lists[0].select(by, name)
+    for other in lists[1:]:
+        every = every.unionByName(other.select(by, name))
+    return every.groupBy(by).agg(F.sort_array(F.collect_list(name)).alias("names"))
+
+
 def latest_rows(df: DataFrame, by: list[str], order: str) -> DataFrame:
     w = W.partitionBy(*by).orderBy(F.col(order).desc())
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

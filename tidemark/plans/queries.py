@@ -94,7 +94,7 @@ query("p12_backup_info", "SELECT server, label, size FROM v_catalog WHERE server
 query("p13_marked_xids", "SELECT xid, min(lsn) AS first_lsn FROM v_wal WHERE rmgr='error' AND xid>0 GROUP BY xid")(on(V.v_wal, lambda w: wal.marked_xids(w, F.col("rmgr") == "error")))
 query("p14_known_values", "SELECT DISTINCT description AS value FROM v_wal WHERE starts_with(description,'view rel 1') ORDER BY 1 LIMIT 8")(on(V.v_wal, lambda w: wal.known_values(w, "description", "view rel 1", 8)))
 query("p15_double_compression_guard", "SELECT path FROM (SELECT path||CASE WHEN size%4=0 THEN '.gz' WHEN size%4=1 THEN '.aes' ELSE '.txt' END AS path FROM m_all) WHERE NOT regexp_matches(path,'\\.(gz|zstd|lz4|bz2|aes)$')")(
-    on(V.v_manifest, lambda m: m.select(F.concat("path", F.when(F.col("size") % 4 == 0, ".gz").when(F.col("size") % 4 == 1, ".aes").otherwise(".txt")).alias("path")).filter(~F.col("path").rlike(r"\.(gz|zstd|lz4|bz2|aes)$"))))
+    on(V.v_manifest, lambda m: R.neither_packed_nor_encrypted(m.select(F.concat("path", F.when(F.col("size") % 4 == 0, ".gz").when(F.col("size") % 4 == 1, ".aes").otherwise(".txt")).alias("path")))))
 query("j1_translate_oids", "SELECT lsn, coalesce(n_name, CAST(xid%40 AS VARCHAR)) AS name FROM v_wal LEFT JOIN nation ON n_nationkey=xid%40")(
     lambda s, d: wal.translate_oids(V.v_wal(s, d).withColumn("oid40", F.col("xid") % 40), V.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("oid"), F.col("n_name").alias("name")), "oid40", "name").select("lsn", "name"))
 query("j2_xact_timestamps", """, x AS (SELECT lsn, xact_ts, unnest([xid, xid+1000]) AS x FROM v_wal WHERE xact_ts IS NOT NULL), t AS (SELECT x, arg_min(xact_ts, lsn) AS t FROM x WHERE x<>0 GROUP BY x)
@@ -173,7 +173,7 @@ query("a14_bench_compare", """, a AS (SELECT user_id%7 AS phase, median(value) A
   SELECT phase, b AS base, c AS candidate, CASE WHEN b<=0 OR c<=0 THEN 'n/a' WHEN abs(b-c)/b<0.1 THEN 'no change' WHEN c<b THEN printf('%.2fx faster', b/c) ELSE printf('%.2fx slower', c/b) END AS verdict FROM a JOIN c USING (phase)""")(
     on(V.v_metrics, lambda m: M.bench_compare(M.medians(m.filter("event_id % 2 = 0").withColumn("phase", F.col("user_id") % 7), "phase", "value"), M.medians(m.filter("event_id % 2 = 1").withColumn("phase", F.col("user_id") % 7), "phase", "value"))))
 query("a16_perf_data", "SELECT 'OK | '||string_agg(rmgr||'='||n, ' ' ORDER BY rmgr||'='||n) AS line FROM (SELECT rmgr, count(*) AS n FROM v_wal GROUP BY 1)")(on(V.v_wal, lambda w: M.perf_data(wal.rmgr_counts(w).select(F.col("rmgr").alias("name"), F.col("n").alias("value")))))
-query("a17_manifest_totals", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM m_all")(on(V.v_manifest, lambda m: m.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))))
+query("a17_manifest_totals", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM m_all")(on(V.v_manifest, S.manifest_totals))
 query("a18_catalog_gauges", """, g AS (SELECT server, label, size::DOUBLE AS backup_size, valid::INT::DOUBLE AS backup_valid, keep::INT::DOUBLE AS backup_retain, (size*2)::DOUBLE AS backup_restore_size, major_version::DOUBLE AS backup_major_version, start_lsn::DOUBLE AS backup_start_lsn,
   CASE WHEN size=0 THEN 0.0 ELSE size::DOUBLE/(size*2) END AS backup_ratio, (size%60)::DOUBLE AS backup_elapsed_total, round(CASE WHEN size%60=0 THEN 0.0 ELSE size/((size%60)*1e6) END, 4) AS backup_total_mbs FROM v_catalog),
   u AS (SELECT server, label, metric, value FROM g UNPIVOT (value FOR metric IN (backup_size, backup_valid, backup_retain, backup_restore_size, backup_major_version, backup_start_lsn, backup_ratio, backup_elapsed_total, backup_total_mbs)))
@@ -207,7 +207,7 @@ query("f8_select_wal", "SELECT label||CASE WHEN size%2=0 THEN '.partial' ELSE ''
 query("f10_incremental_file_size", "SELECT blk, CASE WHEN blk>0 THEN ((((blk+3)*4)+8191)//8192)*8192+blk*8192 ELSE 12 END AS size FROM (SELECT DISTINCT blk FROM ch_b)")(on(V.v_chain, lambda f, b: b.select("blk").distinct().withColumn("size", B.incremental_file_size(F.col("blk")))))
 query("f11_refresh_hash", "SELECT path, coalesce(n.checksum,o.checksum) AS checksum FROM m_old o FULL JOIN m_new n USING (path)")(on(V.v_manifests, lambda o, n: S.refresh_hash(o.select("path", "checksum"), n)))
 query("f12_merge_lists", "SELECT server, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT server, min(label) AS x FROM v_catalog GROUP BY 1 UNION ALL SELECT server, max(label) FROM v_catalog GROUP BY 1) GROUP BY 1")(
-    on(V.v_catalog, lambda c: c.groupBy("server").agg(F.concat_ws(",", F.concat(F.array(F.min("label")), F.array(F.max("label")))).alias("names"))))
+    on(V.v_catalog, lambda c: S.merged_lists(c.groupBy("server").agg(F.min("label").alias("name")), c.groupBy("server").agg(F.max("label").alias("name")), by="server").select("server", F.array_join("names", ",").alias("names"))))
 query("f13_build_manifest", "SELECT path, size, checksum FROM m_all")(on(V.v_manifest, lambda m: S.build_manifest(m, 256)))
 query("f14_annotate", "SELECT label, CASE WHEN comments LIKE 'k1|%' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN comments LIKE 'k1|%' THEN comments ELSE comments||',k1|new' END AS comments FROM v_catalog")(on(V.v_catalog, lambda c: C.annotate(c, "add", "k1", "new").select("label", "status", "comments")))
 query("x1_lsn_text", "SELECT lsn*4294967 AS lsn, upper(to_hex((lsn*4294967)>>32))||'/'||upper(to_hex((lsn*4294967)&4294967295)) AS text, lsn*4294967 AS back FROM v_wal")(

@@ -51,6 +51,11 @@ def file_inventory(spark: SparkSession, folder: str, mask: int = 0, recursive: b
     return out.filter(F.col("file_class").bitwiseAND(F.lit(mask)) != 0) if mask else out
 
 
+def neither_packed_nor_encrypted(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files whose suffixes tell of no compression and no encryption yet, so that neither is applied twice."""
+    return files.filter(file_class(F.col(path)).bitwiseAND(F.lit(GZIP | LZ4 | ZSTD | BZ2 | AES)) == 0)
+
+
 def list_wal_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of a folder by name; timeline histories are left out."""
     files = file_inventory(spark, folder, WAL, recursive=False)
