@@ -14,6 +14,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,16 @@ class DacReader:
         return out
 
 
+#: 0 for a to z, 1 for A to Z and bytes above 127, else 2.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[97:123], _KIND[65:91] = 0, 1
+_KIND[128:] = 1
+
+
+def _is_letters(word: str) -> bool:
+    return word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
+
+
 class Vocabulary:
     """Ids of words, each distinct word encoded by the library once; forgets all after KNOWN_WORDS words."""
 
@@ -116,28 +127,47 @@ class Vocabulary:
         i = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
         return np.where((self.h1[i] == h1) & (self.h2[i] == h2), i, -1)
 
-    def encode(self, words: list[str]) -> list[list[int]]:
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words in any order, and where each word's begin and how many they are."""
+        raw = X.gather(data, starts, ends, 1)
+        edge = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        kind = _KIND[raw]
+        kind[edge[1:] - 1] = 0
+        worst = np.maximum.reduceat(kind, edge[:-1]) if len(starts) else kind
         # NFC, the tokenizer's first step, makes a letter and a mark of some letters, which are pieces of their own
-        letters = [w.lower().isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in words]
-        plain = [k for k, yes in enumerate(letters) if yes]
-        rest = [k for k, yes in enumerate(letters) if not yes]
-        out: list[list[int]] = [[]] * len(words)
-        for i in range(0, len(plain), 2000):  # letters alone are one piece each, so many can share a call
-            part = plain[i : i + 2000]
-            e = self.tokenizer.encode(" ".join([words[k] for k in part]), add_special_tokens=False)
-            piece = np.array(e.word_ids, np.int64)
-            if piece.max(initial=-1) + 1 != len(part):  # a word has one piece at least, so some word here has more
-                rest += part
-                continue
-            cuts = np.searchsorted(piece, np.arange(len(part) + 1))
-            ids = e.ids
-            for k, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[k] = ids[a:b]
-        for i in range(0, len(rest), 2000):
-            part = rest[i : i + 2000]
-            for k, e in zip(part, self.tokenizer.encode_batch([words[k] for k in part], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        return out
+        far = np.array([k for k in np.flatnonzero(worst == 1).tolist() if _is_letters(raw[edge[k] : edge[k + 1] - 1].tobytes().decode())], np.int64)
+        near = np.flatnonzero(worst == 0)
+        rest = [np.setdiff1d(np.flatnonzero(worst > 0), far, assume_unique=True)]
+        size, at, pool, total = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [np.empty(0, np.uint32)], 0
+
+        def keep(words: np.ndarray, n: np.ndarray, ids: list[int]) -> None:
+            nonlocal total
+            size[words], at[words] = n, total + np.cumsum(n) - n
+            pool.append(np.array(ids, np.uint32))
+            total += len(ids)
+
+        def words_at(part: np.ndarray) -> str:
+            return X.gather(raw, edge[part], edge[part + 1])[:-1].tobytes().decode()
+
+        tokenize = self.tokenizer.model.tokenize
+        for i in range(0, len(near), 2000):  # a to z are what the tokenizer's first steps leave as they are, so its model can start at once
+            part = near[i : i + 2000]
+            got = [[t.id for t in tokenize(w)] for w in words_at(part).split(" ")]
+            keep(part, np.array([len(x) for x in got], np.int64), list(chain.from_iterable(got)))
+        for i in range(0, len(far), 200):  # letters alone are one piece each, so many can share a call
+            part = far[i : i + 200]
+            e = self.tokenizer.encode(words_at(part), add_special_tokens=False)
+            n = np.bincount(np.array(e.word_ids, np.int64))
+            if len(n) != len(part):  # a word has one piece at least, so some word here has more
+                rest.append(part)
+            else:
+                keep(part, n, e.ids)
+        left = np.concatenate(rest)
+        for i in range(0, len(left), 2000):
+            part = left[i : i + 2000]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words_at(part).split(" "), add_special_tokens=False)]
+            keep(part, np.array([len(x) for x in got], np.int64), list(chain.from_iterable(got)))
+        return np.concatenate(pool), at, size
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
@@ -151,18 +181,15 @@ class Vocabulary:
             self.clear()
         new = np.flatnonzero(self._find(k1, k2) < 0)
         if len(new):
-            got = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
-            size = np.array([len(x) for x in got], np.int64)
-            at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate((self.pool, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))))
+            pool, at, size = self.encode(data, starts[one[new]], ends[one[new]])
+            at += len(self.pool)
+            self.pool = np.concatenate((self.pool, pool))
             where = np.searchsorted(self.h1, k1[new])  # k1 is ascending, so the words stay in order
             self.h1, self.h2 = np.insert(self.h1, where, k1[new]), np.insert(self.h2, where, k2[new])
             self.at, self.size = np.insert(self.at, where, at.astype(np.uint32)), np.insert(self.size, where, size.astype(np.uint32))
         i = self._find(k1, k2)
         if (i < 0).any():  # only where hashes clash; encode those words directly
-            got = self.encode([data[a:b].tobytes().decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-            size = np.array([len(x) for x in got], np.int64)
-            pool, at = np.fromiter((x for y in got for x in y), np.uint32, int(size.sum())), np.cumsum(size) - size
+            pool, at, size = self.encode(data, starts[one], ends[one])
         else:
             pool, at, size = self.pool, self.at[i].astype(np.int64), self.size[i].astype(np.int64)
         size, at = size[back], at[back]
