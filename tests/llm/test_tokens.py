@@ -53,3 +53,20 @@ def test_documents_of_such_letters(spark, tmp_path):
     t = Tokenizer.from_file(FILE)
     want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in rows}
     assert {r.doc_id: r.ids_crc32 for r in K.read_tokens(spark, str(tmp_path / "t")).collect()} == want
+
+
+def test_words_that_the_model_takes_at_once():
+    """Every letter by itself, between others and before its neighbour, as the whole tokenizer encodes it."""
+    letters = [chr(c) for c in range(128, 0x20000) if K._is_one_piece(chr(c))]
+    assert len(letters) > 40_000
+    words = letters + [a + b for a, b in zip(letters, letters[1:])] + ["a" + x + "b" for x in letters]
+    want = Tokenizer.from_file(FILE).encode_batch(words, add_special_tokens=False)
+    assert K.Vocabulary(FILE).encode(words) == [e.ids for e in want]
+
+
+def test_rows_of_one_doc_id_are_parted(spark, tmp_path):
+    rows = [(None, f"text {i:03d} {'w ' * 50}") for i in range(200)]
+    K.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path / "t"), FILE)
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() > 1
+    got = sorted((r.start, r.n_tokens) for r in K.read_tokens(spark, str(tmp_path / "t")).collect())
+    assert [s for s, _ in got] == [sum(n for _, n in got[:i]) for i in range(200)]

@@ -30,6 +30,8 @@ SHARD_TOKENS = 1 << 19
 KNOWN_WORDS = 5 << 18
 BLOCK_BYTES = 1 << 20
 END = 2
+#: Characters of a text that part rows with equal doc_ids between tasks; their order is that of whole texts.
+HEAD = 64
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -101,10 +103,23 @@ _KIND[97:123], _KIND[65:91] = 0, 1
 _KIND[128:] = 1
 
 
+#: The characters that stand for bytes in the tokenizer's pieces: printable bytes are themselves, the others follow from U+0100 on.
+_SHOWN = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+_OTHERS = sorted(set(range(256)) - _SHOWN)
+_BYTE = {b: 256 + k for k, b in enumerate(_OTHERS)}
+
+
 def _is_letters(word: str) -> bool:
     return word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
 
 
+def _is_one_piece(word: str) -> bool:
+    """Do the tokenizer's first steps leave this word as it is, in one piece? Lower-case letters that old tables and new ones call so."""
+    old = unicodedata.ucd_3_2_0
+    letters = word.isalpha() and all(c.lower() == c and old.category(c)[0] == "L" for c in word)
+    return letters and old.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", word)
+
+
 class Vocabulary:
     """Ids of words, each distinct word encoded by the library once; forgets all after KNOWN_WORDS words."""
 
@@ -127,17 +142,28 @@ class Vocabulary:
         i = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
         return np.where((self.h1[i] == h1) & (self.h2[i] == h2), i, -1)
 
-    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the words in any order, and where each word's begin and how many they are."""
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; words hold no white space."""
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        starts = ends - np.array([len(x) for x in raw], np.int64)
+        pool, at, size = self.encode_spans(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
+        return [pool[a : a + n].tolist() for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+
+    def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in any order, and where each word's begin and how many they are."""
         raw = X.gather(data, starts, ends, 1)
         edge = np.concatenate(([0], np.cumsum(ends - starts + 1)))
         kind = _KIND[raw]
         kind[edge[1:] - 1] = 0
         worst = np.maximum.reduceat(kind, edge[:-1]) if len(starts) else kind
+        high = np.flatnonzero(worst == 1)
+        spelt = [raw[a:b].tobytes().decode() for a, b in zip(edge[high].tolist(), (edge[high + 1] - 1).tolist(), strict=True)]
+        whole = np.array([_is_one_piece(w) for w in spelt], bool)
+        near = np.concatenate((np.flatnonzero(worst == 0), high[whole]))
         # NFC, the tokenizer's first step, makes a letter and a mark of some letters, which are pieces of their own
-        far = np.array([k for k in np.flatnonzero(worst == 1).tolist() if _is_letters(raw[edge[k] : edge[k + 1] - 1].tobytes().decode())], np.int64)
-        near = np.flatnonzero(worst == 0)
-        rest = [np.setdiff1d(np.flatnonzero(worst > 0), far, assume_unique=True)]
+        far = np.array([k for k, w, done in zip(high.tolist(), spelt, whole.tolist(), strict=True) if not done and _is_letters(w)], np.int64)
+        rest = [np.setdiff1d(np.flatnonzero(worst > 0), np.concatenate((far, high[whole])), assume_unique=True)]
         size, at, pool, total = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [np.empty(0, np.uint32)], 0
 
         def keep(words: np.ndarray, n: np.ndarray, ids: list[int]) -> None:
@@ -150,9 +176,10 @@ class Vocabulary:
             return X.gather(raw, edge[part], edge[part + 1])[:-1].tobytes().decode()
 
         tokenize = self.tokenizer.model.tokenize
-        for i in range(0, len(near), 2000):  # a to z are what the tokenizer's first steps leave as they are, so its model can start at once
+        for i in range(0, len(near), 2000):  # what the tokenizer's first steps leave as it is: its model can start at once, on bytes shown as characters
             part = near[i : i + 2000]
-            got = [[t.id for t in tokenize(w)] for w in words_at(part).split(" ")]
+            shown = X.gather(raw, edge[part], edge[part + 1])[:-1].tobytes().decode("latin-1").split(" ")
+            got = [[t.id for t in tokenize(w if w.isascii() else w.translate(_BYTE))] for w in shown]
             keep(part, np.array([len(x) for x in got], np.int64), list(chain.from_iterable(got)))
         for i in range(0, len(far), 200):  # letters alone are one piece each, so many can share a call
             part = far[i : i + 200]
@@ -181,7 +208,7 @@ class Vocabulary:
             self.clear()
         new = np.flatnonzero(self._find(k1, k2) < 0)
         if len(new):
-            pool, at, size = self.encode(data, starts[one[new]], ends[one[new]])
+            pool, at, size = self.encode_spans(data, starts[one[new]], ends[one[new]])
             at += len(self.pool)
             self.pool = np.concatenate((self.pool, pool))
             where = np.searchsorted(self.h1, k1[new])  # k1 is ascending, so the words stay in order
@@ -189,7 +216,7 @@ class Vocabulary:
             self.at, self.size = np.insert(self.at, where, at.astype(np.uint32)), np.insert(self.size, where, size.astype(np.uint32))
         i = self._find(k1, k2)
         if (i < 0).any():  # only where hashes clash; encode those words directly
-            pool, at, size = self.encode(data, starts[one], ends[one])
+            pool, at, size = self.encode_spans(data, starts[one], ends[one])
         else:
             pool, at, size = self.pool, self.at[i].astype(np.int64), self.size[i].astype(np.int64)
         size, at = size[back], at[back]
@@ -260,11 +287,11 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int = END
 
     A shard is one row: part and seq give its place, start the ids of its part before it, doc_ids and sizes its documents in
     order, codes the ids as directly addressable codes. Null texts are empty and still get their end id. Null doc_ids come
-    first, rows with equal doc_ids in the order of their texts. Further columns are ignored; an empty table gives no shards.
+    first, rows with equal doc_ids in the order of their texts: tasks part them by the texts' first HEAD characters. Further columns are ignored; an empty table gives no shards.
     """
     docs = documents.select("doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.repartitionByRange(parts, "doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     shards = docs.mapInArrow(X.task(_pack(tokenizer, end, shard_tokens)), "part int, seq int, start long, doc_ids array<bigint>, sizes array<bigint>, codes binary")
     shards.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
