@@ -14,6 +14,9 @@ from tidemark import shared
 from tidemark.functions.scalar import ratio, throughput
 from tidemark.operators.ordered import by_log, by_month, carried
 
+#: Chains of fewer rows are sent to the tasks that look for their parents.
+SENT_ROWS = 50_000
+
 
 def list_backups(catalog: DataFrame, descending: bool = False) -> DataFrame:
     return catalog.orderBy("server", F.col("label").desc() if descending else F.col("label"))
@@ -41,14 +44,14 @@ def _links(catalog: DataFrame) -> DataFrame:
 
 def _jumps(links: DataFrame) -> Iterator[DataFrame]:
     """(server, label, up) with up 1, 2, 4, ... parents above label, until no chain is that long."""
-    jump, steps = shared.kept(links), 1
+    jump, steps = shared.written(links), 1
     n = jump.count()
     while not jump.isEmpty():
         if steps > n:
             raise ValueError("parents of a snapshot lead back to it")
         yield jump
         further = jump.select("server", F.col("label").alias("up"), F.col("up").alias("_up"))
-        jump, steps = shared.kept(jump.join(further, ["server", "up"]).select("server", "label", F.col("_up").alias("up"))), steps * 2
+        jump, steps = shared.written(jump.join(further, ["server", "up"]).select("server", "label", F.col("_up").alias("up"))), steps * 2
 
 
 def backup_chain(catalog: DataFrame) -> DataFrame:
@@ -87,31 +90,42 @@ def backup_root(catalog: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
-def label_chains(catalog: DataFrame, asked: DataFrame, inclusive: bool = True) -> DataFrame:
+def label_chains(catalog: DataFrame, asked: DataFrame, inclusive: bool = True, strict: bool = True) -> DataFrame:
     """(server, newest, oldest, label, depth) of the chain of each row asked for (server, newest, oldest): from newest (itself only where
     inclusive) down to oldest, or where that is null to the first full snapshot.
 
-    Only these chains are followed, by doubling. When the rows are computed, an error is raised for a newest that the catalog lacks or that is its own
-    oldest, and for a chain that ends before it gets there, as a parent is missing or oldest isn't in it.
+    Only these chains are followed, by doubling, and no further than they reach. When the rows are computed, an error is raised for a newest that the
+    catalog lacks or that is its own oldest, and for a chain that ends before it gets there, as a parent is missing or oldest isn't in it; where not
+    strict, such chains are left out instead.
     """
     asked = asked.select("server", "newest", "oldest").distinct()
     c = catalog.select(F.col("server").alias("_s"), F.col("label").alias("_l"), "type", "parent_label")
     key = ["server", "newest", "oldest"]
-    chain = asked.join(c, (F.col("server") == F.col("_s")) & (F.col("newest") == F.col("_l")), "left").select(*key, F.col("_l").alias("label"), F.lit(0).alias("depth"))
-    chain = shared.kept(chain)
-    for k, jump in enumerate(_jumps(_links(catalog))):
-        chain = shared.kept(chain.union(chain.join(jump, ["server", "label"]).select(*key, F.col("up").alias("label"), (F.col("depth") + (1 << k)).cast("int").alias("depth"))))
-    known = chain.join(c, (F.col("server") == F.col("_s")) & (F.col("label") == F.col("_l")), "left")
+    chain = shared.kept(asked.select(*key, F.col("newest").alias("label"), F.lit(0).alias("depth")))
+    # parents that the catalog lacks have no parents themselves, so they can only end a chain, and are dropped below
+    links = catalog.filter("type <> 'full' AND parent_label IS NOT NULL").select("server", "label", F.col("parent_label").alias("up")).distinct()
+    rows = chain.count()
+    sent = lambda df: F.broadcast(df) if rows < SENT_ROWS else df
+    for k, jump in enumerate(_jumps(links)):
+        further = shared.kept(jump.join(sent(chain), ["server", "label"]).select(*key, F.col("up").alias("label"), (F.col("depth") + (1 << k)).cast("int").alias("depth")))
+        if further.isEmpty():
+            break
+        chain = shared.kept(chain.union(further))
+        rows = chain.count()
+    there = c.join(sent(chain.select(F.col("server").alias("_s"), F.col("label").alias("_l")).distinct()), ["_s", "_l"], "left_semi")
+    known = chain.join(there, (F.col("server") == F.col("_s")) & (F.col("label") == F.col("_l")), "left").filter("depth = 0 OR _l IS NOT NULL")
+    known = shared.kept(known.select(*key, F.col("_l").alias("label"), "depth", "type", "parent_label").distinct())
     ends = known.groupBy(*key).agg(F.max_by(F.struct("label", "type", "parent_label"), "depth").alias("end"), F.max(F.when(F.col("label") == F.col("oldest"), F.col("depth"))).alias("at"), F.max("depth").alias("deepest"))
+    fails = lambda *cs: (F.raise_error(F.concat(*cs)) if strict else F.lit(None)).cast("int")
     stop = (
-        F.when(F.col("end.label").isNull(), F.raise_error(F.concat(F.lit("there is no snapshot "), "newest")).cast("int"))
-        .when(F.col("newest") == F.col("oldest"), F.raise_error(F.concat(F.lit("the newest snapshot of a chain can't be its oldest: "), "newest")).cast("int"))
+        F.when(F.col("end.label").isNull(), fails(F.lit("there is no snapshot "), "newest"))
+        .when(F.col("newest") == F.col("oldest"), fails(F.lit("the newest snapshot of a chain can't be its oldest: "), "newest"))
         .when(F.col("oldest").isNotNull() & F.col("at").isNotNull(), F.col("at"))
         .when(F.col("oldest").isNull() & (F.col("end.type") == "full"), F.col("deepest"))
-        .otherwise(F.raise_error(F.concat(F.lit("the chain of "), "newest", F.lit(" ends at "), "end.label", F.lit(" without "), F.coalesce("oldest", "end.parent_label", F.lit("a full snapshot")))).cast("int"))
+        .otherwise(fails(F.lit("the chain of "), "newest", F.lit(" ends at "), "end.label", F.lit(" without "), F.coalesce("oldest", "end.parent_label", F.lit("a full snapshot"))))
     )
     ends = ends.select(*[F.col(k).alias(f"_{k}") for k in key], stop.alias("stop"))
-    out = chain.join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).filter((F.col("depth") <= F.col("stop")) & (F.col("depth") >= (0 if inclusive else 1)))
+    out = known.select(*key, "label", "depth").distinct().join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).filter((F.col("depth") <= F.col("stop")) & (F.col("depth") >= (0 if inclusive else 1)))
     return out.select(*key, "label", "depth")
 
 

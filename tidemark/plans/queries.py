@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import shared
 from tidemark.functions import scalar as X
 from tidemark.functions import text as Y
 from tidemark.operators import catalog as C
@@ -59,10 +60,9 @@ def _all_targets(c: DataFrame) -> DataFrame:
 
 def _chains(c: DataFrame) -> DataFrame:
     """Chains of each server's newest snapshot that is not full, where they are whole."""
-    root = C.backup_root(c).join(c.filter("type = 'full'").select("server", F.col("label").alias("root")), ["server", "root"], "left_semi")
-    new = c.filter("type <> 'full'").join(c.select("server", F.col("label").alias("parent_label")), ["server", "parent_label"], "left_semi").groupBy("server").agg(F.max("label").alias("newest"))
-    asked = new.join(root.select("server", F.col("label").alias("newest")), ["server", "newest"]).select("server", "newest", F.lit(None).cast("string").alias("oldest"))
-    return C.label_chains(c, asked).select("server", "newest", "label", "depth")
+    c = shared.written(c.select("server", "label", "type", "parent_label"))  # read several times, and its parents are a sort of each server
+    new = c.filter("type <> 'full'").join(c.select(F.col("label").alias("parent_label")), "parent_label", "left_semi").groupBy("server").agg(F.max("label").alias("newest"))
+    return C.label_chains(c, new.withColumn("oldest", F.lit(None).cast("string")), strict=False).select("server", "newest", "label", "depth")
 
 
 SELECT = "SELECT lsn, prev_lsn, xid, rmgr, tot_len, fpi_len, description"
