@@ -119,3 +119,33 @@ def test_linked_sets_meet_in_what_they_keep():
         links = [(a, b) for a in range(len(rows)) for b in range(a) if size[a] and sim.den * len(sets[a] & sets[b]) >= sim.num * len(sets[a] | sets[b])]
         assert len(links) > 100 and all(kept[a] & kept[b] for a, b in links)
         assert spare.max() > 0
+
+
+def test_parities_bound_and_second_pass_stays_small():
+    """The bound never exceeds the difference, and near copies just below the similarity, whose count vectors agree, make no pairs."""
+    r = np.random.default_rng(5)
+    base, sets = r.integers(0, 1 << 63, 700, dtype=np.uint64), []
+    for k in range(60):
+        size = int(r.integers(60, 700)) if k < 20 else 300
+        own = base[:size].copy()
+        own[r.permutation(size)[: size // 9 if k >= 20 else int(r.integers(0, size // 4))]] ^= np.uint64(0x1FFFFF) * np.uint64(r.integers(1, 1 << 30))
+        sets.append(np.unique(own))
+    v, first = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    i, j = np.triu_indices(60, 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    bound = S.least_apart(S.parities(v, first), i, j)
+    close = apart <= 130
+    assert (bound <= apart).all() and close.sum() > 500 and (bound[close] >= 0.7 * apart[close]).all()
+
+    sim = S.Similarity(5, 5, 6)
+    c, size = S.count_vectors(v, first), np.diff(first)
+    node = pa.array([b"%03d" % k for k in range(60)])
+    t = pa.RecordBatch.from_pydict({
+        "sig": pa.array([1] * 60), "node": node, "block": pa.array([0] * 60), "label": node, "size": pa.array(size),
+        "vec": pa.array([x.astype("<u4").tobytes() for x in c]), "parity": pa.array(S.parities(v, first), pa.binary()),
+    })
+    got = {(int(a), int(b)) for x in J._second_pass(sim)(iter([t])) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)}
+    common = (size[i] + size[j] - apart) // 2
+    links = {(a, b) for a, b, n, u in zip(i.tolist(), j.tolist(), common, size[i] + size[j] - common, strict=True) if sim.den * n >= sim.num * u}
+    loose = len(J.surviving(sim, size, c)[0])
+    assert links <= got and len(got) <= len(links) + 20 and loose > len(links) + 500

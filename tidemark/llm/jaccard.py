@@ -8,8 +8,9 @@ most into an R-tree; bounds by the upper corners of two tree nodes discard all p
 most pairs. What is left is verified on the sets themselves.
 
 To find components without all pairs of a dense group, a first pass verifies one pair for each point that isn't the first
-of its neighbourhood; a second pass takes every surviving pair that the links so far don't already connect. Together no link
-between different components is lost.
+of its neighbourhood; a second pass takes every surviving pair that the links so far don't already connect. There pairs must also
+pass a bound by parities of finer groups, which hardly any pass that do not link: near copies just below the similarity are as many
+as the square of their group. Together no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -271,17 +272,21 @@ def _first_pass(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _second_pass(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b): every surviving pair of nodes that are not yet in one component."""
+    """(a, b): every pair of nodes that are not yet in one component and survive, by their parities too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["sig", "block"]):
             label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
             if t.num_rows < 2 or (label == label[0]).all():
                 continue
-            i, j = surviving(sim, *_points(t))
-            node = t["node"].to_pylist()
+            size, c = _points(t)
+            i, j = surviving(sim, size, c)
             apart = label[i] != label[j]
-            pairs = sorted({(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True)})
+            i, j = i[apart], j[apart]
+            both = size[i] + size[j]
+            near = S.least_apart([x.as_buffer() for x in t["parity"]], i, j) <= both - 2 * sim.need(size[i], size[j])
+            node = t["node"].to_pylist()
+            pairs = sorted({(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True)})
             for k in range(0, len(pairs), 200_000):
                 a, b = zip(*pairs[k : k + 200_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -297,7 +302,8 @@ def _points_and_sets(sim: S.Similarity) -> Callable[[Iterator[pa.RecordBatch]],
             wide = c.max(1, initial=0) > 255
             vec = [c[i].astype("<u4" if wide[i] else np.uint8).tobytes() for i in range(len(c))]
             values = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([t["node"].combine_chunks(), pa.array(np.diff(first), pa.int64()), pa.array(vec, pa.binary()), values], names=["node", "size", "vec", "shingles"])
+            columns = [t["node"].combine_chunks(), pa.array(np.diff(first), pa.int64()), pa.array(vec, pa.binary()), pa.array(S.parities(v, first), pa.binary()), values]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "vec", "parity", "shingles"])
 
     return run
 
@@ -334,7 +340,7 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     stands = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("node", "d.doc_id", "d.text_key")
     stands = stands.join(met.select("node").distinct(), "node", "left_semi")
     texts = docs.join(stands, X.same_row(docs, stands)).select(stands["node"], docs["text"]).dropDuplicates(["node"])
-    points = X.written(texts.mapInArrow(X.task(_points_and_sets(sim)), "node binary, size long, vec binary, shingles array<bigint>"))
+    points = X.written(texts.mapInArrow(X.task(_points_and_sets(sim)), "node binary, size long, vec binary, parity binary, shingles array<bigint>"))
     vectors = points.select("node", "size", "vec")
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -354,7 +360,7 @@ def link_documents(documents: DataFrame, sim: S.Similarity, meeting: int = MEETI
     rows = rows.join(apart, "sig", "left_semi")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("k", k).withColumn("block", F.least("own", "k") * F.col("blocks") + F.greatest("own", "k"))
-    rows = rows.join(vectors, "node").select("sig", "node", "block", "label", "size", "vec")
+    rows = rows.join(points.select("node", "size", "vec", "parity"), "node").select("sig", "node", "block", "label", "size", "vec", "parity")
     second = rows.repartition(n_parts, "sig", "block").sortWithinPartitions("sig", "block", "node").mapInArrow(X.task(_second_pass(sim)), "a binary, b binary").distinct()
     second = X.written(second.join(pairs, ["a", "b"], "left_anti"))
     more = X.written(_verified(sim, second, points.select("node", "shingles")))

@@ -102,6 +102,32 @@ def count_vectors(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
 
 
+def parities(v: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set the parities of how many of its shingles fall into each of w groups, w a power of two of four times its size or more."""
+    size = np.diff(first)
+    width = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64))
+    base = np.cumsum(width) - width
+    slot = np.repeat(base, size) + (v & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=int(width.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return [raw[a : a + n] for a, n in zip((base // 8).tolist(), (width // 8).tolist(), strict=True)]
+
+
+def least_apart(vectors: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound, by their parities, of how many shingles only one of each pair of sets holds: each odd group holds one at least."""
+    width = np.array([len(x) for x in vectors], np.int64)
+    both, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(both).tolist():
+        pairs = np.flatnonzero(both == w)
+        used, back = np.unique(np.concatenate((i[pairs], j[pairs])), return_inverse=True)
+        # a wider vector folds: its groups are parts of the narrower one's
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(vectors[x], np.uint64).reshape(-1, w // 8), axis=0) for x in used.tolist()])
+        a, b = back.reshape(2, -1)
+        for k in range(0, len(pairs), 8192):
+            out[pairs[k : k + 8192]] = np.bitwise_count(table[a[k : k + 8192]] ^ table[b[k : k + 8192]]).sum(1)
+    return out
+
+
 def tops(band: np.ndarray) -> np.ndarray:
     """A size that no set of the band exceeds."""
     return np.floor(BAND ** (band + 1.0) + 1).astype(np.int64)
