@@ -35,3 +35,13 @@ def test_contexts_tell_keys_from_others(spark, n):
     texts = known + unseen + loose
     got = {texts[i][a:b] for i, a, b in added(spark, texts)}
     assert got == {"user77ataddress"}
+
+
+@pytest.mark.parametrize("confirmed", [0, 40])
+def test_lone_key_follows_its_shapes_record(spark, confirmed):
+    """A key whose contexts say nothing is found only where contexts confirm others of its shape; one behind prose is not found."""
+    hexa = lambda k: f"{'0123456789abcdef'[k % 16] * 8}{k:032d}"
+    prose = [f"item {k} of hash x{k}y" for k in range(40)] + [f"item 99 of hash {hexa(1000)}"]
+    texts = [f'a token = "{hexa(k)}" there' for k in range(confirmed)] + prose + [f"alone {hexa(2000)}", hexa(2001)]
+    got = {texts[i][a:b] for i, a, b in added(spark, texts)}
+    assert got == ({*map(hexa, range(confirmed)), hexa(2000), hexa(2001)} if confirmed else set())

@@ -3,7 +3,8 @@
 Matches of the base patterns are the seeds. The words before a match (and what the word itself starts with, as in `id:`) make lexical
 patterns, with and without the label that they name; patterns and the word values that they introduce form a graph. Round after round Spark scores
 a pattern by the scores of its values, and a value by its prior and its patterns. The prior is 1 for seeds and PRIOR for words in the
-shape of a key, which alone is below the threshold: such a word counts only where its contexts introduce others like it. Only patterns that
+shape of a key, which alone is below the threshold: such a word counts where its contexts introduce others like it. Where its contexts introduce
+nothing else, so that they say nothing, the shape counts as far as contexts confirm it elsewhere. Only patterns that
 reach CONFIDENT on SUPPORT values at least count. Values that reach the threshold become spans of the kind `id`.
 """
 
@@ -106,7 +107,17 @@ def _occurrences(found: DataFrame) -> DataFrame:
     return w.select("doc_id", "text_key", "start", "stop", "value", "seed", F.col("value").rlike(SHAPE).alias("shaped"), "patterns", F.when(~labelled, F.xxhash64(one)).alias("context"))
 
 
-def _scored(occurrences: DataFrame, totals: DataFrame, rounds: int) -> DataFrame:
+def _alone(edges: DataFrame, priors: DataFrame, values: DataFrame, least: float) -> DataFrame:
+    """(value, score) of key-shaped values whose patterns introduce fewer than SUPPORT values each: the share of the other such values that
+    contexts confirm. With none of those the share is 0."""
+    shaped, keys = priors.filter(F.col("score") == PRIOR).select("value"), F.col("prior") == PRIOR
+    wide = edges.groupBy("p").agg(F.count("*").alias("n"), F.count_if(keys).alias("k")).filter(f"n >= {SUPPORT} AND k > 0").select("p")
+    heard = edges.filter(keys).join(shaped, "value", "left_semi").join(wide, "p", "left_semi").select("value").distinct()
+    share = heard.join(values, "value", "left").agg((F.count_if(F.col("score") >= least) / (F.count("*") + 1)).alias("score"))
+    return shaped.join(heard, "value", "left_anti").crossJoin(share)
+
+
+def _scored(occurrences: DataFrame, totals: DataFrame, rounds: int, least: float) -> DataFrame:
     """(value, score) of the values that a confident pattern introduces, or that have a prior: edges join values to patterns, and scores go
     to and fro between them. value is a hash of the word in lower case.
 
@@ -121,14 +132,14 @@ def _scored(occurrences: DataFrame, totals: DataFrame, rounds: int) -> DataFrame
     edges = X.kept(edges.join(share, "context", "left").select("value", "p", "bare", "prior", F.coalesce("share", F.lit(1.0)).alias("share")))
     priors = edges.groupBy("value").agg(F.max("prior").alias("score")).filter("score > 0")
     doubt = priors.select("value", F.log(1 - F.col("score")).alias("doubt"))
-    values, edges = priors, edges.filter("NOT bare").select("value", "p", "share")
+    values, edges = priors, edges.filter("NOT bare").select("value", "p", "share", "prior")
     for _ in range(rounds):
         # a pattern that introduces mostly unknown words, as every frequent word does, is dropped here and not joined back
         p = edges.join(values, "value", "left").groupBy("p").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1) * F.max("share")).alias("trust"), F.count_if(F.col("score") >= PRIOR).alias("support"))
         p = p.filter((F.col("trust") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("p", "trust")
         led = edges.join(p, "p").select("value", F.log(1 - F.lit(0.95) * F.col("trust")).alias("doubt"))
         values = X.kept(led.unionByName(doubt).groupBy("value").agg((1 - F.exp(F.sum("doubt"))).alias("score")))
-    return values
+    return values.unionByName(_alone(edges, priors, values, least)).groupBy("value").agg(F.max("score").alias("score"))
 
 
 def find_pii(documents: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
@@ -142,7 +153,7 @@ def find_pii(documents: DataFrame, rounds: int = ROUNDS, least: float = LEAST) -
     """
     found = X.kept(_matches(documents))
     occurrences = X.kept(_occurrences(found))
-    values = _scored(occurrences, _counted(documents), rounds).filter(F.col("score") >= least).select(F.col("value").alias("v"))
+    values = _scored(occurrences, _counted(documents), rounds, least).filter(F.col("score") >= least).select(F.col("value").alias("v"))
     new = occurrences.filter(~F.col("seed") & (F.char_length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]"))
     new = new.join(values, F.xxhash64(F.lower("value")) == F.col("v"), "left_semi")
     spans = found.filter("kind < 4").select("doc_id", "text_key", "kind", "start", "stop")
