@@ -187,7 +187,8 @@ def surviving(sim: S.Similarity, size: np.ndarray, c: np.ndarray) -> tuple[np.nd
 
     top = np.arange(len(levels[-1][1]))
     work = [(len(levels) - 1, np.repeat(top, len(top)), np.tile(top, len(top)))]
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    point = order.astype(np.int32)  # pairs may be as many as the square of n: four bytes an end, and no second copy
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int32), np.empty(0, np.int32))]
     while work:  # depth first, in pieces, so that few pairs are open at a time
         level, a, b = work.pop()
         keep = a < b if not level else a <= b
@@ -195,12 +196,13 @@ def surviving(sim: S.Similarity, size: np.ndarray, c: np.ndarray) -> tuple[np.nd
         keep = enough(level, a, b)
         a, b = a[keep], b[keep]
         if not level:
-            out.append((a, b))
+            a, b = point[a], point[b]
+            out.append((np.minimum(a, b), np.maximum(a, b)))
             continue
         for k in range(0, len(a), 256):
             work.append((level - 1, *_pairs_below(a[k : k + 256], b[k : k + 256], len(levels[level - 1][1]))))
-    i, j = (order[np.concatenate(x)] for x in zip(*out, strict=True))
-    return np.minimum(i, j), np.maximum(i, j)
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i, j
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:

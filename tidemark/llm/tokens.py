@@ -14,6 +14,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -242,7 +243,10 @@ def cut_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     return new_starts, new_ends, first + before[first]
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
+@cache
+def _vocabulary(file: str) -> Vocabulary:
+    """One for all tasks of a worker, which looks this function up by its name: the library keeps some memory of each tokenizer that was used and dropped."""
+    return Vocabulary(file)
 
 
 def encode_block(vocabulary: Vocabulary, column: pa.ChunkedArray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +262,7 @@ def encode_block(vocabulary: Vocabulary, column: pa.ChunkedArray, end: int) -> t
 
 def _pack(file: str, end: int, shard_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _VOCABULARIES.setdefault(file, Vocabulary(file)) if file not in _VOCABULARIES else _VOCABULARIES[file]
+        vocabulary = _vocabulary(file)
         part, seq, start, docs, sizes, ids = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def shard() -> pa.RecordBatch:
@@ -269,15 +273,18 @@ def _pack(file: str, end: int, shard_tokens: int) -> Callable[[Iterator[pa.Recor
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "start", "doc_ids", "sizes", "codes"])
 
-        for t in X.blocks(batches, "text", BLOCK_BYTES):
-            i, n = encode_block(vocabulary, t["text"], end)
-            docs.append(t["doc_id"].combine_chunks())
-            sizes.append(n)
-            ids.append(i)
-            if sum(map(len, ids)) >= shard_tokens:
+        try:
+            for t in X.blocks(batches, "text", BLOCK_BYTES):
+                i, n = encode_block(vocabulary, t["text"], end)
+                docs.append(t["doc_id"].combine_chunks())
+                sizes.append(n)
+                ids.append(i)
+                if sum(map(len, ids)) >= shard_tokens:
+                    yield shard()
+            if ids:
                 yield shard()
-        if ids:
-            yield shard()
+        finally:
+            vocabulary.clear()  # words go with the task
 
     return run
 
