@@ -150,3 +150,14 @@ def test_clashing_hashes_of_words(monkeypatch):
     windows = [tuple(words[i : i + 3]) for i in range(12)]
     assert [g >= 0 for g in got] == [windows.count(x) > 1 for x in windows]
     assert all((got[i] == got[j]) == (windows[i] == windows[j]) for i in range(12) for j in range(12) if got[i] >= 0 and got[j] >= 0)
+
+
+def test_a_shared_passage_of_over_50_words_goes_from_400_bytes_on(spark):
+    """The contract counts bytes, neither words nor characters: 60 words of 399 bytes stay, 400 go."""
+    fills = {"short": "x" * 40, "long": "x" * 41, "wide": "x" * 39 + "é"}
+    passages = {name: " ".join(f"{name[0]}{i:04d}" for i in range(60)) + fill for name, fill in fills.items()}
+    assert {name: (len(p.split()), len(p), len(p.encode())) for name, p in passages.items()} == {"short": (60, 399, 399), "long": (60, 400, 400), "wide": (60, 399, 400)}
+    rows = [(10 * i + j, f"{a}{p}{b}") for i, p in enumerate(passages.values()) for j, (a, b) in enumerate(("[]", "()", "<>"))]
+    got = R.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_tokens", "n_removed", "n_spans").collect()
+    want = {0: (401, 0, 0), 1: (402, 400, 1), 2: (402, 400, 1)}
+    assert {r[0]: tuple(r[1:]) for r in got} == {10 * i + j: want[i] for i in want for j in range(3)}
